@@ -36,7 +36,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 4, min_toke
     d = docs.select(F.xxhash64("doc_id", "text").alias("_ld_k"), "text").where("text is not null")
     lines = d.select("_ld_k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     toks = lines.select("_ld_k", "pos", F.split(_masked(F.col("line")), " ").alias("t"))
-    leaf = toks.where(F.size("t") >= min_tokens).select("_ld_k", "pos", _leaf(F.col("t"), depth).alias("leaf"))
+    leaf = checkpointed(toks.where(F.size("t") >= min_tokens).select("_ld_k", "pos", _leaf(F.col("t"), depth).alias("leaf")))
     wide = leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     places = leaf.join(wide, "leaf").groupBy("_ld_k").agg(F.collect_set("pos").alias("at"))
     text = d.join(places, "_ld_k").select("_ld_k", F.split("text", "\n").alias("l"), F.explode("at").alias("pos")).dropDuplicates(["_ld_k", "pos"])
