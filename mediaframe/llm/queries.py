@@ -20,6 +20,15 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaframe.llm.media import decode_media, encode_media
+
+    d = decode_media(encode_media(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    tail = F.expr("substring(pixels, greatest(length(pixels) - 15, 1), 16)")
+    return d.select("doc_id", "n_bytes", F.length("pixels").cast("long").alias("payload_bytes"), F.sha2("pixels", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+                    F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediaframe.llm.packing import pack
 
