@@ -20,6 +20,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("_ld_lines").alias("n_lines"), F.col("_ld_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaframe.llm.near_vectors import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediaframe.llm.media import decode_media, encode_media
 
@@ -41,6 +47,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaframe.llm.language_model import fit, scored
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.expr(HELD_OUT) == 1, F.lit(False))
+    s = scored(docs, fit(docs.where(~held_out)))
+    return s.select("doc_id", held_out.alias("held_out"), F.col("_n_tokens").alias("n_tokens"), F.col("_n_known").alias("n_known"), F.col("_train_tokens").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediaframe.llm.quality import fit, scored
 
