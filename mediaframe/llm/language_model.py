@@ -32,7 +32,7 @@ from mediaframe.llm import _text as T
 START, END, TYPES = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03))
 LEVELS = np.array(sorted({m << k for m in (4, 5, 6, 7) for k in range(60)} | {1, 2, 3}), np.float64)
 SEGMENT_BYTES = 8 << 20
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _K = np.uint64(0x9E6C63D0876A9A35)
 
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 160 << 20,
         def run(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
             w, c, p, n, h, t = merge(parts)
             keys = np.concatenate((p, T.mix(w) & ~_HIGH | w & _HIGH, _type_keys(h)))
-            return pd.DataFrame({"segment": [key[0]], "words": [w.tobytes()], "counts": [c.tobytes()], "filter": [Filter.segment(keys, np.concatenate((n, c, t)), bits).tobytes()]})
+            return pd.DataFrame({"segment": [key[0]], "words": [w.tobytes()], "counts": [c.astype(np.uint32).tobytes()], "filter": [Filter.segment(keys, np.concatenate((n, c, t)), bits).tobytes()]})
 
         return run
 
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 160 << 20,
 def _table(model: dict, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     rows = sorted(model["built"].where(f"segment >= {low} and segment < {high}").select("segment", "words", "counts").toLocalIterator(), key=lambda r: r.segment)
     join = lambda x, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(b, t) for b in x)])
-    return join([r.words for r in rows], np.uint64), join([r.counts for r in rows], np.int64).astype(np.uint32)
+    return join([r.words for r in rows], np.uint64), join([r.counts for r in rows], np.uint32)
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:

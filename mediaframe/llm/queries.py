@@ -35,6 +35,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaframe.llm.jaccard_join import near_documents
+
+    return near_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediaframe.llm.packing import pack
 
