@@ -5,7 +5,7 @@ shingles: in one global order (those found in many documents last, else by hash)
 their first common shingle among the first n - ceil(t n) + 1 of each. A class is therefore replicated to the regions of
 that many pivots, and each linked pair meets in one. Regions, joined on their own, come packed in arrays by segment of
 the hash. A region of at most `direct` classes is compared as it is (a few pairs a row); in a larger one, classes are
-pivots in turn, four times as many each round: all others are compared with them, links merge components, and the region
+pivots in turn, 1, then about 64, then 64 times as many each round: all others are compared with them, links merge components, and the region
 is joined again without its used pivots as long as it holds more than one component. Two classes are compared only if
 their distances from the region's first pivot, where known, differ by at most 1 - t (triangle inequality).
 
@@ -166,6 +166,18 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "all"])
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after more links: the links are contracted to components first, so only what changes is worked on."""
+    if links.isEmpty():
+        return labels
+    name = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias("l" + x))
+    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti")
+    every = labels.union(nodes.select("node", F.col("node").alias("component")))
+    return checkpointed(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
 def near_documents(docs: DataFrame, direct: int = 8) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs (columns doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -221,15 +233,14 @@ def near_documents(docs: DataFrame, direct: int = 8) -> DataFrame:
         todo = meet.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
         new = measured(passing(todo))
         known = known.unionByName(new)
-        edges = checkpointed(edges.union(new.where(linked).select("a", "b")))
-        labels = components(edges)
+        labels = _merged(labels, new.where(linked).select("a", "b"))
         rest = r.join(chosen.withColumnRenamed("p", "c"), ["s", "c"], "left_anti").select("s", "c", "d0")
         if pivots == 1:
             far = known.select("a", "b", (1 - F.col("common") / F.col("all")).alias("d"))
             far = far.union(far.select("b", "a", "d")).toDF("c", "p", "d")
             rest = rest.join(chosen, "s").join(far, ["c", "p"], "left").select("s", "c", F.col("d").alias("d0"))
         region = checkpointed(rest)
-        pivots *= 4
+        pivots *= 64
     root = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("component", "c").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     of = root.join(least, "root").select(F.col("c").alias("cc"), "component_id")
