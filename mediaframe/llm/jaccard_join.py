@@ -5,7 +5,7 @@ shingles: in one global order (those found in many documents last, else by hash)
 their first common shingle among the first n - ceil(t n) + 1 of each. A class is therefore replicated to the regions of
 that many pivots, and each linked pair meets in one. Regions, joined on their own, come packed in arrays by segment of
 the hash. A region of at most `direct` classes is compared as it is (a few pairs a row); in a larger one, classes are
-pivots in turn, 1, then about 64, then 64 times as many each round: all others are compared with them, links merge components, and the region
+pivots in turn, one, then about four times as many each round (all of a region of at most `small` classes): all others are compared with them, links merge components, and the region
 is joined again without its used pivots as long as it holds more than one component. Two classes are compared only if
 their distances from the region's first pivot, where known, differ by at most 1 - t (triangle inequality).
 
@@ -178,13 +178,14 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return checkpointed(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
 
 
-def near_documents(docs: DataFrame, direct: int = 8) -> DataFrame:
+def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs (columns doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = checkpointed(docs.mapInArrow(_described, "doc_id long, n long, c long, sig binary, hot binary, hot_n binary"))
     rows = described.where("n >= 0")
     size = rows.agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = classes.repartition("c").persist()  # joined in every round; kept by key, so only the pairs are shuffled
     hot = _hot(described, size.d)
     power = max(5, int(np.ceil(np.log2(max(1, 3 * size.n / SEGMENT_BYTES)))))
     met = checkpointed(_regions(docs, hot, min(power, 30), direct))
@@ -207,7 +208,7 @@ def near_documents(docs: DataFrame, direct: int = 8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(keep)), pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], ["c", "members"])
 
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want")
-    sets = checkpointed(texts.mapInArrow(sets_of, "c long, members binary").dropDuplicates(["c"]))
+    sets = checkpointed(texts.mapInArrow(sets_of, "c long, members binary").dropDuplicates(["c"])).repartition("c").persist()
 
     def measured(pairs: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("c").alias(x), F.col("members").alias("m" + x))
@@ -226,7 +227,7 @@ def near_documents(docs: DataFrame, direct: int = 8) -> DataFrame:
         # each round's pivots of a region: the first in a hashed order, and about as many more as the round allows
         chosen = r.groupBy("s").agg(F.min_by("c", "turn").alias("p"))
         if pivots > 1:
-            chosen = chosen.union(r.where((F.col("turn") / F.lit(2.0**64) + 0.5) * F.col("k") < pivots).select("s", "c")).distinct()
+            chosen = chosen.union(r.where((F.col("turn") / F.lit(2.0**64) + 0.5) * F.col("k") < F.when(F.col("k") <= small, F.col("k") + 1).otherwise(pivots)).select("s", "c")).distinct()
         of_pivot = chosen.join(r.select("s", F.col("c").alias("p"), F.col("label").alias("pl"), F.col("d0").alias("pd0")), ["s", "p"])
         near = F.coalesce(F.abs(F.col("d0") - F.col("pd0")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
         meet = r.join(of_pivot, "s").where(F.col("label") != F.col("pl")).where(near)
@@ -240,7 +241,7 @@ def near_documents(docs: DataFrame, direct: int = 8) -> DataFrame:
             far = far.union(far.select("b", "a", "d")).toDF("c", "p", "d")
             rest = rest.join(chosen, "s").join(far, ["c", "p"], "left").select("s", "c", F.col("d").alias("d0"))
         region = checkpointed(rest)
-        pivots *= 64
+        pivots *= 4
     root = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("component", "c").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     of = root.join(least, "root").select(F.col("c").alias("cc"), "component_id")
