@@ -35,6 +35,12 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaframe.llm.repeats import remove_repeats
+
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediaframe.llm.jaccard_join import near_documents
 
