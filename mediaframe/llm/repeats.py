@@ -9,7 +9,9 @@ Different regions of a gram are indexed: the regions of a bucket of grams form o
 Burrows-Wheeler transform is built with suffix positions sampled at both ends of every run. The longest match of a
 position with its neighbour in suffix order is computed only at run ends; elsewhere it is one less than at the position
 before, so streaming over the text gives the matching statistics of all positions, and those of 200 or more are marked.
-A gram with more than `most` different regions is dealt over chunks, each indexed on its own; strings that repeat within no
+Where a gram has more than `most` different regions (the edges of a passage that very many documents share), it and the
+grams around it are chosen last in a second round, so that strings at the passage's edges choose grams of their own and
+those inside have equal regions. A gram that still has more than `most` different regions is dealt over chunks, each indexed on its own; strings that repeat within no
 chunk are then compared across chunks by hash, one row a chunk and string, added up before the shuffle.
 
 Nulls: a null text is empty (no bytes). Repeated rows are documents of their own, so their long strings repeat; extra
@@ -34,8 +36,8 @@ GRAM = 32
 BUCKET_BYTES = 1 << 19
 
 
-def regions(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Document, start in it, number of strings, gram hash and content hash of each region of the texts."""
+def regions(data: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Document, start in it, number of strings, gram hash and content hash of each region of the texts. Grams in hot (sorted) are chosen only by strings without others."""
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
@@ -43,7 +45,14 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     _, inv = T.powers(len(data) + 1)
     gram = T.mix((pre[GRAM:] - pre[:-GRAM]) * inv[: len(data) - GRAM + 1])
     bits = np.uint64(len(data).bit_length())
-    key = gram >> bits << bits | np.arange(len(gram), dtype=np.uint64)
+    rank = gram >> np.uint64(1)
+    if hot is not None and len(hot):
+        seen = np.zeros(1 << 20, bool)
+        seen[hot & np.uint64((1 << 20) - 1)] = True
+        may = np.flatnonzero(seen[gram & np.uint64((1 << 20) - 1)])
+        k = np.minimum(np.searchsorted(hot, gram[may]), len(hot) - 1)
+        rank[may[hot[k] == gram[may]]] |= np.uint64(1 << 63)
+    key = rank >> bits << bits | np.arange(len(gram), dtype=np.uint64)
     span, low = length - GRAM + 1, key
     have = 1
     while have * 2 <= span:
@@ -83,18 +92,26 @@ class RunLengthIndex:
         text[~body] = np.arange(len(strings))  # the marks, each smaller than any byte and unlike the others
         self.text, self.end = text, (self.start + self.size)[owner]
         n = len(text)
-        rank, have = text.copy(), 1
-        while True:  # ranks by the first `have` symbols, doubled
-            nxt = np.full(n, -1)
-            nxt[: n - have] = rank[have:] if have < n else nxt[: n - have]
-            order = np.argsort(rank * (int(rank.max()) + 2) + nxt + 1, kind="stable")
-            a, b = rank[order], nxt[order]
-            new = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-            rank = np.empty(n, np.int64)
+        left = self.end - np.arange(n)  # symbols before the mark
+        low = np.where(body, text - len(strings) + 1, 0)
+        first = np.zeros(n, np.int64)
+        for k in range(7):  # the next seven symbols, nothing after a mark
+            first = first << 9
+            first[: n - k] |= np.where(left[: n - k] >= k, low[k:], 0)
+        order = np.argsort(first, kind="stable")
+        a = first[order]
+        new = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (left[order[1:]] < 7))))  # those with a mark stand alone, in the marks' order
+        rank, have = np.empty(n, np.int64), 7
+        rank[order] = new
+        while new[-1] < n - 1 and have <= depth:  # ranks by the first `have` symbols, doubled
+            nxt = np.zeros(n, np.int64)
+            nxt[: n - have] = rank[have:] + 1
+            key = rank * (n + 1) + nxt
+            order = np.argsort(key)
+            a = key[order]
+            new = np.concatenate(([0], np.cumsum(a[1:] != a[:-1])))
             rank[order] = new
             have *= 2
-            if new[-1] == n - 1 or have > depth:
-                break
         last = text[order - 1]  # the transform
         head = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
         tail = np.append(head[1:], n) - 1
@@ -138,12 +155,12 @@ def _spans(starts: np.ndarray) -> bytes:
     return np.stack((starts[first], np.diff(np.append(first, len(starts)))), 1).astype(np.int32).tobytes()
 
 
-def _occurrences(length: int):
+def _occurrences(length: int, hot=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = T.text_buffer(b.column(1))
             for i, j in T.runs(offsets, 2 << 20):
-                doc, start, count, gram, text = regions(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
+                doc, start, count, gram, text = regions(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, None if hot is None else hot.value)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc + i)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(gram), pa.array(text)], ["k", "start", "n", "gram", "text"])
 
     return run
@@ -207,19 +224,46 @@ def _removed(length: int):
     return run
 
 
+def _hot_grams(key: DataFrame, region: DataFrame, per: DataFrame, length: int, most: int) -> np.ndarray:
+    """The grams around those with more than `most` different regions, of about eight regions each; at most the 2**14 hottest are looked at. Any list gives the same result, as it only sets which gram a string chooses."""
+    top = per.where(F.col("r") > most).orderBy(F.desc("r"), "gram").limit(1 << 14).select("gram")
+    some = region.where(F.col("r") > most).where(F.pmod(F.xxhash64("text", F.lit(2)), F.ceil(F.col("r") / 8)) == 0).join(top, "gram", "left_semi")
+    some = some.select("at.k", F.struct("gram", "text", F.lit(0).alias("chunk"), F.lit(False).alias("many"), "at.start", "at.n").alias("x"))
+    cut = key.join(some.groupBy("k").agg(F.collect_list("x").alias("asked")), "k").select("text", "asked").mapInArrow(_cut(length), "gram long, text long, chunk int, many boolean, body binary")
+
+    def grams(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for body in g.body:
+            pre = T.prefix_hash(np.frombuffer(body, np.uint8))
+            _, inv = T.powers(len(body) + 1)
+            found.append(np.unique(T.mix((pre[GRAM:] - pre[:-GRAM]) * inv[: len(body) - GRAM + 1])))
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        return pd.DataFrame({"g": [h[n >= min(2, len(found))].tobytes()]})
+
+    rows = cut.groupBy("gram").applyInPandas(grams, "g binary").collect()  # at most 2**14 rows of a few kB
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.g, np.uint64) for r in rows)]))
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, most: int = 512) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is the text's bytes without those in a string of length bytes that starts anywhere else too."""
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))  # rows alike share marks
     key = docs.select("k", "text")
-    occ = key.mapInArrow(_occurrences(length), "k long, start int, n int, gram long, text long")
-    region = occ.groupBy("gram", "text").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "start", "n")).alias("at"))
-    many = occ.groupBy("gram").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("gram")
-    region = checkpointed(region.join(many, "gram"))
-    per = region.groupBy("gram").agg(F.count(F.lit(1)).alias("r"), F.sum(F.col("at.n") + length).alias("b")).where("r > 1")
+
+    def found_regions(hot=None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        occ = key.mapInArrow(_occurrences(length, hot), "k long, start int, n int, gram long, text long")
+        each = occ.groupBy("gram", "text").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "start", "n")).alias("at"))
+        many = each.groupBy("gram").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("r"), F.sum(F.col("at.n") + length).alias("b")).where("g > 1")
+        region = checkpointed(each.join(many, "gram"))
+        return occ, region, region.where("r > 1").groupBy("gram").agg(F.first("r").alias("r"), F.first("b").alias("b"))
+
+    occ, region, per = found_regions()
+    hot = _hot_grams(key, region, per, length, most)
+    if len(hot):
+        occ, region, per = found_regions(docs.sparkSession.sparkContext.broadcast(hot))
     size = per.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first().b
     buckets = max(1, int(size // BUCKET_BYTES))
     chunk = F.when(F.col("r") > most, F.pmod(F.xxhash64("text", F.lit(1)), F.ceil(F.col("r") / most))).otherwise(0).cast("int")
-    ask = region.join(per.select("gram", "r"), "gram").select("gram", "text", chunk.alias("chunk"), (F.col("r") > most).alias("many"), "at.k", "at.start", "at.n")
+    ask = region.where("r > 1").select("gram", "text", chunk.alias("chunk"), (F.col("r") > most).alias("many"), "at.k", "at.start", "at.n")
     asked = ask.groupBy("k").agg(F.collect_list(F.struct("gram", "text", "chunk", "many", "start", "n")).alias("asked"))
     cut = key.join(asked, "k").select("text", "asked").mapInArrow(_cut(length), "gram long, text long, chunk int, many boolean, body binary")
     # grams in one chunk share buckets of about the same size; each chunk of the others has a bucket of its own
