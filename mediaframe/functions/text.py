@@ -187,7 +187,7 @@ def min_sec(sec) -> Column:
 
 
 def clip_name(show: str, index, code, start, end) -> Column:
-    return F.format_string(f"{show}_%04d_%s_%s_%s.mov", _c(index), _c(code), sanitize_timecode(start), sanitize_timecode(end))
+    return F.when(_c(index).isNotNull(), F.format_string(f"{show}_%04d_%s_%s_%s.mov", _c(index), _c(code), sanitize_timecode(start), sanitize_timecode(end)))
 
 
 def numbered_name(prefix: str, index, ext: str, width: Column | int = 2) -> Column:

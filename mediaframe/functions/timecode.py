@@ -51,7 +51,7 @@ def frames_to_timecode(frames: Column | str, fps: Column | float = 24.0) -> Colu
     n, fps = _c(frames), F.lit(fps)
     sec = n / fps
     long = lambda x: x.cast("bigint")
-    return F.format_string("%02d:%02d:%02d:%02d", long(F.floor(sec / 3600)), long(F.floor(F.pmod(sec, F.lit(3600.0)) / 60)), long(F.pmod(sec, F.lit(60.0))), long(F.pmod(n.cast("double"), fps.cast("double"))))
+    return F.when(n.isNotNull(), F.format_string("%02d:%02d:%02d:%02d", long(F.floor(sec / 3600)), long(F.floor(F.pmod(sec, F.lit(3600.0)) / 60)), long(F.pmod(sec, F.lit(60.0))), long(F.pmod(n.cast("double"), fps.cast("double")))))
 
 
 def frames_to_seconds(frames: Column | str, fps: Column | float = 24.0) -> Column:
@@ -88,7 +88,7 @@ def clip_bounds_fractional(start: Column | str, end: Column | str, fps: float =
 def format_duration(sec: Column | str) -> Column:
     """HH:MM:SS.mmm."""
     s = _c(sec).cast("double")
-    return F.format_string("%02d:%02d:%06.3f", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600.0)) / 60), F.pmod(s, F.lit(60.0)))
+    return F.when(s.isNotNull(), F.format_string("%02d:%02d:%06.3f", F.floor(s / 3600), F.floor(F.pmod(s, F.lit(3600.0)) / 60), F.pmod(s, F.lit(60.0))))
 
 
 def parse_cut_time(c: Column | str, fps: float | None = None) -> Column:
