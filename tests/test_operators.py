@@ -41,7 +41,7 @@ def test_spotting_rows(spark):
     got = {r._ord: r for r in P.plan_shots(d, "SHOW001", "s", "e", "name", "name").collect()}
     assert got[0].clip == "SHOW001_0001_VUB_00-00-15-01_00-00-17-07.mov"
     assert [got[i].status for i in (0, 1, 2, 3, 5)] == ["planned", "planned", "planned", "duplicate", "invalid"] and 4 not in got
-    assert [(got[i].code, got[i].start_frame, got[i].frames, got[i].index) for i in (0, 1, 2)] == [("VUB", 361, 54, 1), ("EDGE", 463, 45, 2), ("CRIT", 685, 82, 3)]
+    assert [(got[i].code, got[i].start_frame, got[i].frames, got[i]["index"]) for i in (0, 1, 2)] == [("VUB", 361, 54, 1), ("EDGE", 463, 45, 2), ("CRIT", 685, 82, 3)]
     for r in d.where("_ord < 3").withColumn("d2", TC.recompute_duration(F.col("s"), F.col("e"), 24.0)).collect():
         assert r.d2 == r.dur
 
