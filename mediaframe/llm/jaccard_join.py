@@ -5,7 +5,7 @@ shingles: in one global order (those found in many documents last, else by hash)
 their first common shingle among the first n - ceil(t n) + 1 of each. A class is therefore replicated to the regions of
 that many pivots, and each linked pair meets in one. Regions, joined on their own, come packed in arrays by segment of
 the hash. A region of at most `direct` classes is compared as it is (a few pairs a row); in a larger one, classes are
-pivots in turn, one, then about four times as many each round (all of a region of at most `small` classes): all others are compared with them, links merge components, and the region
+pivots in turn, one, then about 64, then 64 times as many each round (all of a region of at most `small` classes): all others are compared with them, links merge components, and the region
 is joined again without its used pivots as long as it holds more than one component. Two classes are compared only if
 their distances from the region's first pivot, where known, differ by at most 1 - t (triangle inequality).
 
@@ -241,7 +241,7 @@ def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFra
             far = far.union(far.select("b", "a", "d")).toDF("c", "p", "d")
             rest = rest.join(chosen, "s").join(far, ["c", "p"], "left").select("s", "c", F.col("d").alias("d0"))
         region = checkpointed(rest)
-        pivots *= 4
+        pivots *= 64
     root = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("component", "c").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     of = root.join(least, "root").select(F.col("c").alias("cc"), "component_id")
