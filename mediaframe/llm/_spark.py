@@ -16,6 +16,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a partition of a table of ids. Small tables dealt over many partitions make more files and tasks than data.
+ROWS, LEAST_PARTS = 1 << 16, 8
+
+
+def parts(rows: int) -> int:
+    return max(LEAST_PARTS, -(-rows // ROWS))
+
+
+def sized(df: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """df, a table of narrow rows, checkpointed in partitions of about ROWS rows, and its number of rows; most: a bound on that number, where one is known before."""
+    out = checkpointed(df if most is None else df.coalesce(parts(most)))
+    n = out.count()
+    return out.coalesce(parts(n)), n
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,19 +42,19 @@ def components(edges: DataFrame) -> DataFrame:
     the number of nodes falls geometrically whatever their numbering, and no node's edges are gathered in one place.
     """
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    e = checkpointed(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
+    e, n = sized(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
     maps = []
-    while not e.isEmpty():
+    while n:
         both = e.union(e.select(F.col("b"), F.col("a"))).toDF("a", "b")
         near = both.groupBy("a").agg(F.least(F.first(order("a")), F.min(order("b")))["v"].alias("to"))
-        near = checkpointed(near.withColumnRenamed("a", "node"))
+        near, _ = sized(near.withColumnRenamed("a", "node"), 2 * n)
         maps.append(near)
         left = e.join(near.toDF("a", "x"), "a").join(near.toDF("b", "y"), "b")
-        e = checkpointed(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        e, n = sized(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n)
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = maps[-1]
     for m in reversed(maps[:-1]):
         out = m.join(out.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("to"))
     least = out.groupBy("to").agg(F.min("node").alias("component"))
-    return checkpointed(out.join(least, "to").select("node", "component"))
+    return sized(out.join(least, "to").select("node", "component"))[0]

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.llm import _text as T
-from mediaframe.llm._spark import checkpointed, components
+from mediaframe.llm._spark import checkpointed, components, parts, sized
 
 NUM, DEN = 3, 4  # the similarity, 0.75
 HOT_SHARE, HOT_LEAST = 1 << 14, 8
@@ -175,7 +175,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti")
     every = labels.union(nodes.select("node", F.col("node").alias("component")))
-    return checkpointed(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+    return sized(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))[0]
 
 
 def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFrame:
@@ -189,15 +189,16 @@ def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFra
     hot = _hot(described, size.d)
     power = max(5, int(np.ceil(np.log2(max(1, 3 * size.n / SEGMENT_BYTES)))))
     met = checkpointed(_regions(docs, hot, min(power, 30), direct))
-    region = met.where("s >= 0").select("s", F.col("a").alias("c"))
-    pairs = met.where("s < 0").select("a", "b").distinct()
+    n_met = met.agg(F.count_if(F.col("s") >= 0).alias("regions"), F.count_if(F.col("s") < 0).alias("pairs")).first()
+    region, left = met.where("s >= 0").select("s", F.col("a").alias("c")).coalesce(parts(n_met.regions)), n_met.regions
+    pairs = met.where("s < 0").select("a", "b").coalesce(parts(n_met.pairs)).distinct()
 
     def passing(pairs: DataFrame) -> DataFrame:
         side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("s" + x))
         near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)")
         return near.select("a", "b", "sa", "sb", F.col("na").cast("long"), F.col("nb").cast("long")).mapInArrow(_passing, "a long, b long")
 
-    first = checkpointed(passing(pairs))
+    first, _ = sized(passing(pairs))
     needed = first.select("a").union(first.select("b")).union(region.select("c")).toDF("c").distinct()
     # one text of each class whose sets are needed; equal sets can have several rows with the least doc_id, so one is chosen again below
     chosen = classes.join(needed, "c", "left_semi").select(F.col("least").alias("id"), F.col("c").alias("want"))
@@ -212,7 +213,7 @@ def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFra
 
     def measured(pairs: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("c").alias(x), F.col("members").alias("m" + x))
-        return checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(_measured, "a long, b long, common long, all long"))
+        return sized(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(_measured, "a long, b long, common long, all long"))[0]
 
     linked = F.col("common") * DEN >= F.col("all") * NUM
     known = measured(first)
@@ -220,14 +221,15 @@ def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFra
     labels = components(edges)
     pivots = 1
     region = region.withColumn("d0", F.lit(None).cast("double"))
-    while not region.isEmpty():
+    while left:
         r = region.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component")
         several = r.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
-        r = checkpointed(r.join(several.select("s", "k"), "s").withColumn("turn", F.xxhash64("c", F.lit(pivots))))
+        r, left = sized(r.join(several.select("s", "k"), "s").withColumn("turn", F.xxhash64("c", F.lit(pivots))), left)
         # each round's pivots of a region: the first in a hashed order, and about as many more as the round allows
         chosen = r.groupBy("s").agg(F.min_by("c", "turn").alias("p"))
         if pivots > 1:
             chosen = chosen.union(r.where((F.col("turn") / F.lit(2.0**64) + 0.5) * F.col("k") < F.when(F.col("k") <= small, F.col("k") + 1).otherwise(pivots)).select("s", "c")).distinct()
+        chosen, _ = sized(chosen, left)
         of_pivot = chosen.join(r.select("s", F.col("c").alias("p"), F.col("label").alias("pl"), F.col("d0").alias("pd0")), ["s", "p"])
         near = F.coalesce(F.abs(F.col("d0") - F.col("pd0")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
         meet = r.join(of_pivot, "s").where(F.col("label") != F.col("pl")).where(near)
@@ -240,7 +242,7 @@ def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFra
             far = known.select("a", "b", (1 - F.col("common") / F.col("all")).alias("d"))
             far = far.union(far.select("b", "a", "d")).toDF("c", "p", "d")
             rest = rest.join(chosen, "s").join(far, ["c", "p"], "left").select("s", "c", F.col("d").alias("d0"))
-        region = checkpointed(rest)
+        region, left = sized(rest, left)
         pivots *= 64
     root = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("component", "c").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
