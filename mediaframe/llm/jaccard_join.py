@@ -7,7 +7,8 @@ that many pivots, and each linked pair meets in one. Regions, joined on their ow
 the hash. A region of at most `direct` classes is compared as it is (a few pairs a row); in a larger one, classes are
 pivots in turn, one, then about 64, then 64 times as many each round (all of a region of at most `small` classes): all others are compared with them, links merge components, and the region
 is joined again without its used pivots as long as it holds more than one component. Two classes are compared only if
-their distances from the region's first pivot, where known, differ by at most 1 - t (triangle inequality).
+their distances from the region's first pivot, where known, differ by at most 1 - t (triangle inequality), and if the
+region's shingle can be their first common one: each must have enough shingles from there on, as nothing before is common.
 
 A pair is first tested by counts of shingles in as many buckets as the sets are long (their L1 distance is at most the
 symmetric difference); what passes is decided on the whole sets.
@@ -19,6 +20,7 @@ are ignored. An empty table gives an empty result. Shingles and sets are identif
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,13 +102,13 @@ def _hot(described: DataFrame, n_docs: int) -> np.ndarray:
 
 
 def _regions(docs: DataFrame, hot: np.ndarray, power: int, direct: int) -> DataFrame:
-    """Rows (s, a, b): a pair of classes to compare in a small region (s null), or a class a of a large region s (b null)."""
+    """Rows (s, a, b, n, rest): a pair of classes to compare in a small region (s -1), or a class a of a large region s, its size and how many of its shingles are not before the region's."""
     known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = known.value
         for _, sets in _runs(batches, 0):
-            out_s, out_c = [], []
+            out_s, out_c, out_n, out_at = [], [], [], []
             for s, c in zip(sets, class_ids(sets).tolist(), strict=True):
                 n = len(s)
                 if not n:
@@ -118,35 +120,41 @@ def _regions(docs: DataFrame, hot: np.ndarray, power: int, direct: int) -> DataF
                     s = np.concatenate((s[~is_hot], s[is_hot]))
                 out_s.append(s[:p])
                 out_c.append(np.full(p, c, np.int64))
+                out_n.append(np.full(p, n, np.uint32))
+                out_at.append(np.minimum(np.arange(p), 65535).astype(np.uint16))
             if not out_s:
                 continue
-            s, c = np.concatenate(out_s), np.concatenate(out_c)
+            s = np.concatenate(out_s)
             order = np.argsort(s, kind="stable")
-            s, c = s[order], c[order]
+            s, c, size, place = s[order], *(np.concatenate(x)[order] for x in (out_c, out_n, out_at))
             cut = np.searchsorted(s >> np.uint64(64 - power), np.arange(1, 1 << power, dtype=np.uint64))
             low = (s >> np.uint64(32 - power) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(range(1 << power), pa.int32()), *(pa.array([x.tobytes() for x in np.split(v, cut)], pa.binary()) for v in (low, c))], ["segment", "s", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(1 << power), pa.int32()), *(pa.array([x.tobytes() for x in np.split(v, cut)], pa.binary()) for v in (low, c, size, place))], ["segment", "s", "c", "n", "place"])
 
     def meet(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        s, c = (np.frombuffer(b"".join(parts[k]), t) for k, t in (("s", np.uint32), ("c", np.int64)))
-        order = np.lexsort((c, s))
-        s, c = s[order], c[order]
+        s, c, n, place = (np.frombuffer(b"".join(parts[k]), t) for k, t in (("s", np.uint32), ("c", np.int64), ("n", np.uint32), ("place", np.uint16)))
+        order = np.lexsort((place, c, s))
+        s, c, n = s[order], c[order], n[order].astype(np.int64)
+        rest = n - place[order]
         new = np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1]))) if len(s) else np.zeros(0, bool)
-        s, c = s[new], c[new]
+        s, c, n, rest = s[new], c[new], n[new], rest[new]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(s)))
         pairs = []
         for k in range(2, direct + 1):
             at = first[size == k]
-            pairs += [np.stack((c[at + i], c[at + j]), 1) for i in range(k) for j in range(i + 1, k)]
+            for i, j in itertools.combinations(range(k), 2):
+                x = at[(DEN + NUM) * np.minimum(rest[at + i], rest[at + j]) >= NUM * (n[at + i] + n[at + j])]
+                pairs.append(np.stack((c[x + i], c[x + j]), 1))
         pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
         large = np.repeat(size > direct, size)
         region = (np.int64(key[0]) << 32) | s[large].astype(np.int64)
-        none = np.full(len(pairs), -1, np.int64)
-        return pd.DataFrame({"s": np.concatenate((none, region)), "a": np.concatenate((pairs[:, 0], c[large])), "b": np.concatenate((pairs[:, 1], np.zeros(large.sum(), np.int64)))})
+        none, zero = np.full(len(pairs), -1, np.int64), np.zeros(len(pairs), np.int64)
+        return pd.DataFrame({"s": np.concatenate((none, region)), "a": np.concatenate((pairs[:, 0], c[large])), "b": np.concatenate((pairs[:, 1], np.zeros(large.sum(), np.int64))),
+                             "n": np.concatenate((zero, n[large])), "rest": np.concatenate((zero, rest[large]))})
 
-    packed = docs.select("text").mapInArrow(replicate, "segment int, s binary, c binary")
-    return packed.groupBy("segment").applyInPandas(meet, "s long, a long, b long")
+    packed = docs.select("text").mapInArrow(replicate, "segment int, s binary, c binary, n binary, place binary")
+    return packed.groupBy("segment").applyInPandas(meet, "s long, a long, b long, n long, rest long")
 
 
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +198,7 @@ def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFra
     power = max(5, int(np.ceil(np.log2(max(1, 3 * size.n / SEGMENT_BYTES)))))
     met = checkpointed(_regions(docs, hot, min(power, 30), direct))
     n_met = met.agg(F.count_if(F.col("s") >= 0).alias("regions"), F.count_if(F.col("s") < 0).alias("pairs")).first()
-    region, left = met.where("s >= 0").select("s", F.col("a").alias("c")).coalesce(parts(n_met.regions)), n_met.regions
+    region, left = met.where("s >= 0").select("s", F.col("a").alias("c"), "n", "rest").coalesce(parts(n_met.regions)), n_met.regions
     pairs = met.where("s < 0").select("a", "b").coalesce(parts(n_met.pairs)).distinct()
 
     def passing(pairs: DataFrame) -> DataFrame:
@@ -230,18 +238,19 @@ def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFra
         if pivots > 1:
             chosen = chosen.union(r.where((F.col("turn") / F.lit(2.0**64) + 0.5) * F.col("k") < F.when(F.col("k") <= small, F.col("k") + 1).otherwise(pivots)).select("s", "c")).distinct()
         chosen, _ = sized(chosen, left)
-        of_pivot = chosen.join(r.select("s", F.col("c").alias("p"), F.col("label").alias("pl"), F.col("d0").alias("pd0")), ["s", "p"])
+        of_pivot = chosen.join(r.select("s", F.col("c").alias("p"), F.col("label").alias("pl"), F.col("d0").alias("pd0"), F.col("n").alias("pn"), F.col("rest").alias("p_rest")), ["s", "p"])
         near = F.coalesce(F.abs(F.col("d0") - F.col("pd0")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
+        near &= F.least("rest", "p_rest") * (DEN + NUM) >= (F.col("n") + F.col("pn")) * NUM
         meet = r.join(of_pivot, "s").where(F.col("label") != F.col("pl")).where(near)
         todo = meet.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
         new = measured(passing(todo))
         known = known.unionByName(new)
         labels = _merged(labels, new.where(linked).select("a", "b"))
-        rest = r.join(chosen.withColumnRenamed("p", "c"), ["s", "c"], "left_anti").select("s", "c", "d0")
+        rest = r.join(chosen.withColumnRenamed("p", "c"), ["s", "c"], "left_anti").select("s", "c", "n", "rest", "d0")
         if pivots == 1:
             far = known.select("a", "b", (1 - F.col("common") / F.col("all")).alias("d"))
             far = far.union(far.select("b", "a", "d")).toDF("c", "p", "d")
-            rest = rest.join(chosen, "s").join(far, ["c", "p"], "left").select("s", "c", F.col("d").alias("d0"))
+            rest = rest.join(chosen, "s").join(far, ["c", "p"], "left").select("s", "c", "n", "rest", F.col("d").alias("d0"))
         region, left = sized(rest, left)
         pivots *= 64
     root = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("component", "c").alias("root"))
