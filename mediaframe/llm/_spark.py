@@ -43,11 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
     e, n = sized(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct())
-    maps = []
+    maps, nodes = [], 2 * n
     while n:
         both = e.union(e.select(F.col("b"), F.col("a"))).toDF("a", "b")
         near = both.groupBy("a").agg(F.least(F.first(order("a")), F.min(order("b")))["v"].alias("to"))
-        near, _ = sized(near.withColumnRenamed("a", "node"), 2 * n)
+        near = checkpointed(near.withColumnRenamed("a", "node").coalesce(parts(2 * n)))
         maps.append(near)
         left = e.join(near.toDF("a", "x"), "a").join(near.toDF("b", "y"), "b")
         e, n = sized(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n)
@@ -57,4 +57,4 @@ def components(edges: DataFrame) -> DataFrame:
     for m in reversed(maps[:-1]):
         out = m.join(out.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("to"))
     least = out.groupBy("to").agg(F.min("node").alias("component"))
-    return sized(out.join(least, "to").select("node", "component"))[0]
+    return checkpointed(out.join(least, "to").select("node", "component").coalesce(parts(nodes)))

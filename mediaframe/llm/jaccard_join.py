@@ -237,7 +237,7 @@ def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFra
         chosen = r.groupBy("s").agg(F.min_by("c", "turn").alias("p"))
         if pivots > 1:
             chosen = chosen.union(r.where((F.col("turn") / F.lit(2.0**64) + 0.5) * F.col("k") < F.when(F.col("k") <= small, F.col("k") + 1).otherwise(pivots)).select("s", "c")).distinct()
-        chosen, _ = sized(chosen, left)
+        chosen = checkpointed(chosen.coalesce(parts(left)))
         of_pivot = chosen.join(r.select("s", F.col("c").alias("p"), F.col("label").alias("pl"), F.col("d0").alias("pd0"), F.col("n").alias("pn"), F.col("rest").alias("p_rest")), ["s", "p"])
         near = F.coalesce(F.abs(F.col("d0") - F.col("pd0")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
         near &= F.least("rest", "p_rest") * (DEN + NUM) >= (F.col("n") + F.col("pn")) * NUM
