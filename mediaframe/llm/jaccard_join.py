@@ -217,7 +217,7 @@ def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(keep)), pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], ["c", "members"])
 
     texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want")
-    sets = checkpointed(texts.mapInArrow(sets_of, "c long, members binary").dropDuplicates(["c"])).repartition("c").persist()
+    sets = texts.mapInArrow(sets_of, "c long, members binary").repartition("c").dropDuplicates(["c"]).persist()  # shuffled once; lost parts are made again from the texts
 
     def measured(pairs: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("c").alias(x), F.col("members").alias("m" + x))
