@@ -35,6 +35,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_merging(df: DataFrame) -> DataFrame:
+    """df as a side of a join by sorting and merging: rounds of small broadcasts would fill the driver, which keeps a page for each."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component the smallest node reachable; nodes without edges are absent.
 
@@ -49,12 +54,12 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.groupBy("a").agg(F.least(F.first(order("a")), F.min(order("b")))["v"].alias("to"))
         near = checkpointed(near.withColumnRenamed("a", "node").coalesce(parts(2 * n)))
         maps.append(near)
-        left = e.join(near.toDF("a", "x"), "a").join(near.toDF("b", "y"), "b")
+        left = e.join(by_merging(near.toDF("a", "x")), "a").join(by_merging(near.toDF("b", "y")), "b")
         e, n = sized(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), n)
     if not maps:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     out = maps[-1]
     for m in reversed(maps[:-1]):
-        out = m.join(out.toDF("to", "root"), "to", "left").select("node", F.coalesce("root", "to").alias("to"))
+        out = m.join(by_merging(out.toDF("to", "root")), "to", "left").select("node", F.coalesce("root", "to").alias("to"))
     least = out.groupBy("to").agg(F.min("node").alias("component"))
-    return checkpointed(out.join(least, "to").select("node", "component").coalesce(parts(nodes)))
+    return checkpointed(out.join(by_merging(least), "to").select("node", "component").coalesce(parts(nodes)))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.llm import _text as T
-from mediaframe.llm._spark import checkpointed, components, parts, sized
+from mediaframe.llm._spark import by_merging, checkpointed, components, parts, sized
 
 NUM, DEN = 3, 4  # the similarity, 0.75
 HOT_SHARE, HOT_LEAST = 1 << 14, 8
@@ -179,11 +179,11 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return labels
     name = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias("l" + x))
-    between = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    between = links.join(by_merging(name("a")), "a", "left").join(by_merging(name("b")), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(labels, "node", "left_anti")
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(by_merging(labels), "node", "left_anti")
     every = labels.union(nodes.select("node", F.col("node").alias("component")))
-    return sized(every.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))[0]
+    return sized(every.join(by_merging(moved), "component", "left").select("node", F.coalesce("to", "component").alias("component")))[0]
 
 
 def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFrame:
@@ -230,31 +230,31 @@ def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFra
     pivots = 1
     region = region.withColumn("d0", F.lit(None).cast("double"))
     while left:
-        r = region.join(labels.select(F.col("node").alias("c"), "component"), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component")
+        r = region.join(by_merging(labels.select(F.col("node").alias("c"), "component")), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component")
         several = r.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
-        r, left = sized(r.join(several.select("s", "k"), "s").withColumn("turn", F.xxhash64("c", F.lit(pivots))), left)
+        r, left = sized(r.join(by_merging(several.select("s", "k")), "s").withColumn("turn", F.xxhash64("c", F.lit(pivots))), left)
         # each round's pivots of a region: the first in a hashed order, and about as many more as the round allows
         chosen = r.groupBy("s").agg(F.min_by("c", "turn").alias("p"))
         if pivots > 1:
             chosen = chosen.union(r.where((F.col("turn") / F.lit(2.0**64) + 0.5) * F.col("k") < F.when(F.col("k") <= small, F.col("k") + 1).otherwise(pivots)).select("s", "c")).distinct()
         chosen = checkpointed(chosen.coalesce(parts(left)))
-        of_pivot = chosen.join(r.select("s", F.col("c").alias("p"), F.col("label").alias("pl"), F.col("d0").alias("pd0"), F.col("n").alias("pn"), F.col("rest").alias("p_rest")), ["s", "p"])
+        of_pivot = by_merging(chosen).join(r.select("s", F.col("c").alias("p"), F.col("label").alias("pl"), F.col("d0").alias("pd0"), F.col("n").alias("pn"), F.col("rest").alias("p_rest")), ["s", "p"])
         near = F.coalesce(F.abs(F.col("d0") - F.col("pd0")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
         near &= F.least("rest", "p_rest") * (DEN + NUM) >= (F.col("n") + F.col("pn")) * NUM
         meet = r.join(of_pivot, "s").where(F.col("label") != F.col("pl")).where(near)
-        todo = meet.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+        todo = meet.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct().join(by_merging(known.select("a", "b")), ["a", "b"], "left_anti")
         new = measured(passing(todo))
         known = known.unionByName(new)
         labels = _merged(labels, new.where(linked).select("a", "b"))
-        rest = r.join(chosen.withColumnRenamed("p", "c"), ["s", "c"], "left_anti").select("s", "c", "n", "rest", "d0")
+        rest = r.join(by_merging(chosen.withColumnRenamed("p", "c")), ["s", "c"], "left_anti").select("s", "c", "n", "rest", "d0")
         if pivots == 1:
             far = known.select("a", "b", (1 - F.col("common") / F.col("all")).alias("d"))
             far = far.union(far.select("b", "a", "d")).toDF("c", "p", "d")
-            rest = rest.join(chosen, "s").join(far, ["c", "p"], "left").select("s", "c", "n", "rest", F.col("d").alias("d0"))
+            rest = rest.join(by_merging(chosen), "s").join(by_merging(far), ["c", "p"], "left").select("s", "c", "n", "rest", F.col("d").alias("d0"))
         region, left = sized(rest, left)
         pivots *= 64
     root = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("component", "c").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = root.join(least, "root").select(F.col("c").alias("cc"), "component_id")
+    of = root.join(by_merging(least), "root").select(F.col("c").alias("cc"), "component_id")
     out = rows.join(of, (F.col("c") == F.col("cc")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
