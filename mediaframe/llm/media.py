@@ -17,7 +17,7 @@ from pyspark.sql.types import BinaryType, LongType, StringType, StructField, Str
 
 from mediaframe.llm import _text as T
 
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
 
 
 def _appended(b: pa.RecordBatch, columns: dict) -> pa.RecordBatch:
