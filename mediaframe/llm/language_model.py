@@ -9,9 +9,10 @@ to 1 at most, but for false positives.
 
 Counting gathers packed arrays of keys and counts by segment of the key's hash; a segment is merged by one task, and there
 are as many as the text needs (a key's counts are added up before the shuffle, so a hot word is one entry a task). The
-filter has `bits` bits an entry as long as that is within `max_filter_bytes`; beyond, it keeps that size and its rate of
-false positives rises. Exact counts of words, which only the base score needs, are broadcast in waves of segments within
-`max_table_bytes`, each adding its words' part.
+filter has `bits` bits an entry at every size. It and the exact counts of words, which only the base score needs, are
+broadcast in waves of segments within `max_filter_bytes` and `max_table_bytes` (a wave has one segment at least). Waves
+are jobs of their own with a written result between, which keeps the levels found so far, three bytes a token: of the
+word, of the types after the word before it, and of the bigram. The last wave turns them into scores.
 
 Nulls and ties: a null text counts as empty (one end token), a null doc_id is hashed as ''; repeated rows are scored
 each and count each. Without training tokens N = V = 0. An empty table gives an empty result.
@@ -26,8 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
 
 from mediaframe.llm import _text as T
+from mediaframe.llm._spark import checkpointed
 
 START, END, TYPES = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03))
 LEVELS = np.array(sorted({m << k for m in (4, 5, 6, 7) for k in range(60)} | {1, 2, 3}), np.float64)
@@ -77,8 +80,9 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Filter:
     """The log-frequency filter: words of 64 bits by segment, one word and four of its bits an entry."""
 
-    def __init__(self, words: np.ndarray, first: np.ndarray, shift: int) -> None:
-        self.words, self.first, self.shift = words, first, np.uint64(shift)
+    def __init__(self, words: np.ndarray, first: np.ndarray, shift: int, low: int = 0) -> None:
+        """The segments from low on."""
+        self.words, self.first, self.shift, self.low = words, first, np.uint64(shift), low
         self.size = np.diff(first).astype(np.uint64)
 
     @staticmethod
@@ -103,7 +107,7 @@ class Filter:
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """How many levels of each key are there, by probing until one misses."""
         out = np.zeros(len(keys), np.int64)
-        seg = (keys >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), np.int64)
+        seg = (keys >> self.shift).astype(np.int64) - self.low if self.shift < 64 else np.zeros(len(keys), np.int64)
         first, size = self.first[seg], self.size[seg]
         open_ = np.arange(len(keys))
         for level in range(len(LEVELS)):
@@ -147,27 +151,31 @@ def fit(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 160 << 20,
     def _type_keys(h: np.ndarray) -> np.ndarray:
         return (h & _HIGH) | (T.mix((h & _HIGH) + TYPES) >> np.uint64(32))
 
-    def build(bits: float):
-        def run(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-            w, c, p, n, h, t = merge(parts)
-            keys = np.concatenate((p, T.mix(w) & ~_HIGH | w & _HIGH, _type_keys(h)))
-            return pd.DataFrame({"segment": [key[0]], "words": [w.tobytes()], "counts": [c.astype(np.uint32).tobytes()], "filter": [Filter.segment(keys, np.concatenate((n, c, t)), bits).tobytes()]})
-
-        return run
+    def build(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        w, c, p, n, h, t = merge(parts)
+        keys = np.concatenate((p, T.mix(w) & ~_HIGH | w & _HIGH, _type_keys(h)))
+        return pd.DataFrame({"segment": [key[0]], "words": [w.tobytes()], "counts": [c.astype(np.uint32).tobytes()], "filter": [Filter.segment(keys, np.concatenate((n, c, t)), bits).tobytes()], "n": [int(c.sum())]})
 
     packed = docs.select("text").mapInArrow(count, "segment int, words binary, pairs binary")
-    from mediaframe.llm._spark import checkpointed
-
-    built = checkpointed(packed.groupBy("segment").applyInPandas(build(bits), "segment int, words binary, counts binary, filter binary"))
-    sums = built.agg(F.coalesce(F.sum(F.length("filter")), F.lit(0)).alias("f"), F.coalesce(F.sum(F.length("words")), F.lit(0)).alias("w")).first()
-    if sums.f > max_filter_bytes:
-        built = checkpointed(packed.groupBy("segment").applyInPandas(build(bits * max_filter_bytes / sums.f), "segment int, words binary, counts binary, filter binary"))
-    got = {r.segment: np.frombuffer(r.filter, np.uint64) for r in built.select("segment", "filter").toLocalIterator()}
-    parts = [got.get(s, np.zeros(1, np.uint64)) for s in range(1 << power)]
-    total = built.select(F.explode(F.array(F.length("words") / 8)).alias("v")).agg(F.sum("v").cast("long")).first()[0] or 0
-    step = max(1, int((1 << power) * max_table_bytes / max(1, 2 * sums.w)))
-    model = {"filter": np.concatenate(parts), "first": np.concatenate(([0], np.cumsum([len(p) for p in parts]))), "shift": int(shift), "V": int(total), "built": built, "segments": 1 << power, "step": step, "docs": size.d}
-    return model
+    built = checkpointed(packed.groupBy("segment").applyInPandas(build, "segment int, words binary, counts binary, filter binary, n long"))
+    rows = built.select("segment", F.length("filter").alias("f"), (F.length("words") / 8).cast("long").alias("v"), "n").collect()
+    by = {r.segment: r for r in rows}
+    waves, f, v = [0], 0, 0
+    for s in sorted(by):
+        f, v = f + by[s].f, v + by[s].v
+        if s > waves[-1] and (f > max_filter_bytes or 12 * v > max_table_bytes):
+            waves.append(s)
+            f, v = by[s].f, by[s].v
+    waves = list(zip(waves, [*waves[1:], 1 << power], strict=True))
+    model = {"shift": int(shift), "N": sum(r.n for r in rows), "V": sum(r.v for r in rows), "built": built, "waves": waves, "docs": size.d}
+    return model | dict(zip(("filter", "first"), _filter(model, *waves[0]), strict=True))
+
+
+def _filter(model: dict, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """The filter's words of segments low to high, and where each begins."""
+    got = {r.segment: np.frombuffer(r.filter, np.uint64) for r in model["built"].where(f"segment >= {low} and segment < {high}").select("segment", "filter").toLocalIterator()}
+    parts = [got.get(s, np.zeros(1, np.uint64)) for s in range(low, high)]
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
 def _table(model: dict, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,68 +184,79 @@ def _table(model: dict, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
     return join([r.words for r in rows], np.uint64), join([r.counts for r in rows], np.uint32)
 
 
+def _segment(keys: np.ndarray, shift: np.uint64, low: int, high: int) -> np.ndarray:
+    seg = (keys >> shift).astype(np.int64)
+    return (seg >= low) & (seg < high)
+
+
 def scored(docs: DataFrame, model: dict) -> DataFrame:
     """Adds _n_tokens, _n_known, _base (base score), _score and _train_tokens to docs (which have a column text)."""
     sc = docs.sparkSession.sparkContext
     names = docs.columns
     at_text = names.index("text")
-    keep = {k: model[k] for k in ("filter", "first", "shift")}
-    filt = sc.broadcast(keep)
-    waves = []
-    total = 0
-    for low in range(0, model["segments"], model["step"]):
-        k, c = _table(model, low, min(low + model["step"], model["segments"]))
-        total += int(c.sum(dtype=np.int64))
-        waves.append((low, sc.broadcast((k, c))))
-    shift, step, n_all, v_all, n_docs = np.uint64(model["shift"]), model["step"], total, model["V"], model["docs"]
-    floor = n_all + 0.5 * (v_all + 1)
-    added = ["_n_tokens", "_n_known", "_base", "_score"]
+    waves, shift, n_all, n_docs = model["waves"], np.uint64(model["shift"]), model["N"], model["docs"]
+    floor = n_all + 0.5 * (model["V"] + 1)
+    added = {"_n_tokens": LongType(), "_n_known": LongType(), "_base": DoubleType(), "_score": DoubleType(), "_levels": BinaryType()}
     out = docs
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
-
-    for number, (low, table) in enumerate(waves):
+    for low, high in waves:
+        filt = sc.broadcast((model["filter"], model["first"]) if not low else _filter(model, low, high))
+        table = sc.broadcast(_table(model, low, high))
+        last = (low, high) == waves[-1]
+        names_now = [*names, *(a for a in added if not (last and a == "_levels"))]
 
-        def run(batches: Iterator[pa.RecordBatch], number: int = number, low: int = low, table=table) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high, filt=filt, table=table, last: bool = last, names_now: list = names_now) -> Iterator[pa.RecordBatch]:
             keys, counts = table.value
-            f = Filter(*filt.value.values()) if not number else None
+            f = Filter(*filt.value, int(shift), low)
             for b in batches:
                 data, offsets = T.text_buffer(b.column(at_text))
-                cols: list[list] = [[] for _ in added]
                 for i, j in T.runs(offsets, RUN_BYTES):
+                    rows = b.slice(i, j - i)
                     w, pair, at = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                     u, back = np.unique(w, return_inverse=True)
-                    seg = (u >> shift).astype(np.int64)
-                    mine = (seg >= low) & (seg < low + step)
+                    mine = _segment(u, shift, low, high)
                     k = np.minimum(np.searchsorted(keys, u), max(0, len(keys) - 1))
                     hit = mine & (keys[k] == u) if len(keys) else np.zeros(len(u), bool)
                     c = np.where(hit, counts[k] if len(keys) else 0, 0).astype(np.float64)
                     part = np.where(mine, np.log10((c + 0.5) / floor), 0.0)
-                    cols[0].append(np.diff(at))
-                    cols[1].append(np.add.reduceat(hit[back].astype(np.int64), at[:-1]))
-                    cols[2].append(np.add.reduceat(part[back], at[:-1]))
-                    if f is None:
-                        continue
-                    got = f.levels(T.mix(u) & ~_HIGH | u & _HIGH)
-                    single = (_LOW[got] + 0.5) / floor
-                    history = np.append(_UP[got], float(n_docs))
-                    kinds = np.append(u, START) & _HIGH
-                    types = _UP[f.levels(kinds | (T.mix(kinds + TYPES) >> np.uint64(32)))]
+                    known, base = np.add.reduceat(hit[back].astype(np.int64), at[:-1]), np.add.reduceat(part[back], at[:-1])
+                    levels = np.zeros((len(w), 3), np.uint8)
+                    if low:
+                        known, base = known + rows.column("_n_known").to_numpy(), base + rows.column("_base").to_numpy()
+                        levels = np.frombuffer(b"".join(rows.column("_levels").to_pylist()), np.uint8).reshape(-1, 3).copy()
+
+                    def look(x: np.ndarray) -> np.ndarray:  # levels of the keys of this wave's segments
+                        got, here = np.zeros(len(x), np.uint8), _segment(x, shift, low, high)
+                        got[here] = f.levels(x[here])
+                        return got
+
                     prev = np.empty(len(w), np.int64)
                     prev[1:] = back[:-1]
                     prev[at[:-1]] = len(u)
+                    kinds = np.append(u, START) & _HIGH
                     p, again = np.unique(pair, return_inverse=True)
-                    both = _LOW[f.levels(p)][again]
-                    ch, th = np.maximum(history[prev], both), types[prev]
-                    both = np.where(th > 0, both, 0.0)
-                    prob = np.where(th > 0, (both + th * single[back]) / np.maximum(ch + th, 1e-300), single[back])
-                    cols[3].append(np.add.reduceat(np.log10(np.minimum(prob, 1.0)), at[:-1]))
-                new = [np.concatenate(x) if x else None for x in cols]
-                if number:
-                    old = [b.column(names_now.index(a)).to_numpy() for a in added]
-                    new = [old[0], old[1] + new[1], old[2] + new[2], old[3]]
-                base = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n not in added]
-                yield pa.RecordBatch.from_arrays([*base, *(pa.array(x) for x in new)], names_now)
-
-        names_now = [*names, *added]
-        out = out.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(a, t) for a, t in zip(added, (LongType(), LongType(), DoubleType(), DoubleType()), strict=True))]))
+                    # a key is in one wave's segments, in the others its level is 0
+                    levels[:, 0] += look(T.mix(u) & ~_HIGH | u & _HIGH)[back]
+                    levels[:, 1] += look(kinds | (T.mix(kinds + TYPES) >> np.uint64(32)))[prev]
+                    levels[:, 2] += look(p)[again]
+                    score = np.zeros(len(known))
+                    if last:
+                        history = np.empty(len(w))
+                        history[1:] = _UP[levels[:-1, 0]]
+                        history[at[:-1]] = float(n_docs)
+                        single, th = (_LOW[levels[:, 0]] + 0.5) / floor, _UP[levels[:, 1]]
+                        both = _LOW[levels[:, 2]]
+                        ch = np.maximum(history, both)
+                        both = np.where(th > 0, both, 0.0)
+                        prob = np.where(th > 0, (both + th * single) / np.maximum(ch + th, 1e-300), single)
+                        score = np.add.reduceat(np.log10(np.minimum(prob, 1.0)), at[:-1])
+                    new = [pa.array(x) for x in (np.diff(at), known, base, score)]
+                    if not last:
+                        new.append(pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((3 * at).astype(np.int32)), pa.py_buffer(levels)]))
+                    yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], *new], names_now)
+
+        out = out.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(a, added[a]) for a in names_now[len(names) :])]))
+        if not last:
+            out = checkpointed(out)
+            filt.destroy()
+            table.destroy()
     return out.withColumn("_train_tokens", F.lit(n_all).cast("long"))

@@ -85,3 +85,16 @@ def test_query_on_the_fixture(spark):
         ts = tokens(docs[r.doc_id])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ts), sum(c[w] > 0 for w in ts), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ts), rel=1e-9)
+
+
+def test_bounds_do_not_change_scores(spark):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.3, 60).clip(1, 5000)) for _ in range(300)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    train = df.where("doc_id < 200")
+    free, bound = L.fit(train), L.fit(train, max_filter_bytes=4000, max_table_bytes=8000)
+    want, got = ({x.doc_id: x[2:] for x in L.scored(df, m).collect()} for m in (free, bound))
+    assert len(got) == 300
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, rel=1e-12)
+    assert len(free["waves"]) == 1 < len(bound["waves"]) and bound["filter"].nbytes <= 4000
