@@ -4,7 +4,8 @@ A line's tokens are what single blanks separate after trimming (tabs and the lik
 is a variable field, `<*>`. The tree's path of a line is its number of tokens and its first `depth` tokens. In a leaf, a
 token stays in the template if at least `min_docs` lines of the leaf have it at that place; any other becomes `<*>`.
 A template recurs if at least `min_docs` documents have it and at least `min_constant` of its tokens are constant; its
-lines are dropped wherever they stand. Lines of fewer than `min_tokens` tokens are left alone.
+lines are dropped wherever they stand. Lines of fewer than `min_tokens` tokens are left alone, or with `short` take part
+too, if all of their tokens are constant and they are not blank.
 
 The tree is never held in one place: leaves, supports and templates are counted by hash-partitioned, partially
 aggregated jobs, and only leaves with enough lines go on to the token level.
@@ -31,12 +32,15 @@ def _leaf(tokens: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 4, min_tokens: int = 4, min_constant: float = 0.6) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 4, min_tokens: int = 4, min_constant: float = 0.6, short: bool = False) -> DataFrame:
     """Rows (_ld_k, _ld_drop): the key of a document (hash of doc_id and text) and the places of its lines to drop."""
     d = docs.select(F.xxhash64("doc_id", "text").alias("_ld_k"), "text").where("text is not null")
     lines = d.select("_ld_k", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     toks = lines.select("_ld_k", "pos", F.split(_masked(F.col("line")), " ").alias("t"))
-    leaf = checkpointed(toks.where(F.size("t") >= min_tokens).select("_ld_k", "pos", _leaf(F.col("t"), depth).alias("leaf")))
+    long_enough = F.size("t") >= min_tokens
+    if short:
+        long_enough |= ~F.array_contains("t", "<*>") & (F.element_at("t", 1) != "")
+    leaf = checkpointed(toks.where(long_enough).select("_ld_k", "pos", _leaf(F.col("t"), depth).alias("leaf")))
     wide = leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
     places = leaf.join(wide, "leaf").groupBy("_ld_k").agg(F.collect_set("pos").alias("at"))
     text = d.join(places, "_ld_k").select("_ld_k", F.split("text", "\n").alias("l"), F.explode("at").alias("pos")).dropDuplicates(["_ld_k", "pos"])
@@ -48,7 +52,8 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 4, min_toke
     templates = kept.groupBy("_ld_k", "pos").agg(F.first("leaf").alias("leaf"), F.array_sort(F.collect_list(F.struct("p", "x"))).alias("c"))
     size = cand.select(F.col("_ld_k").alias("k2"), F.col("pos").alias("pos2"), F.size("t").alias("n"))
     templates = templates.join(size, (F.col("_ld_k") == F.col("k2")) & (F.col("pos") == F.col("pos2")))
-    templates = checkpointed(templates.where(F.size("c") >= F.col("n") * min_constant).select("_ld_k", "pos", F.xxhash64("leaf", "c").alias("tpl")))
+    least = F.when(F.col("n") < min_tokens, F.col("n")).otherwise(F.col("n") * min_constant)
+    templates = checkpointed(templates.where(F.size("c") >= least).select("_ld_k", "pos", F.xxhash64("leaf", "c").alias("tpl")))
     often = templates.select("tpl", "_ld_k").distinct().groupBy("tpl").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("tpl")
     return templates.join(often, "tpl").groupBy("_ld_k").agg(F.collect_set("pos").alias("_ld_drop"))
 

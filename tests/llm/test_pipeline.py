@@ -27,3 +27,15 @@ def test_empty_and_null_rows(spark, tmp_path):
         for name, stage in pipeline.STAGES:
             rows = stage(spark, rows, sf)
             rows.collect()
+
+
+def _docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+OWN = [" ".join(chr(97 + i) * k for k in range(1, 9)) for i in range(20)]
+
+
+def test_short_lines_do_not_recur_after_line_dedup(spark):
+    out = pipeline.drop_lines(spark, _docs(spark, [(i, f"All rights reserved.\n{x}") for i, x in enumerate(OWN)]), None)
+    assert out.where("text like '%rights%'").count() <= 1 and out.count() == 20

@@ -197,6 +197,13 @@ def test_copies_are_left_alone(spark):
     assert line_dedup.drop_recurring_lines(df).where("text = ''").count() == 20
 
 
+def test_short_recurring_lines(spark):
+    own = [" ".join(chr(97 + i) * k for k in range(1, 9)) for i in range(10)]
+    df = spark.createDataFrame([(i, f"All rights reserved.\n\nPage {i}\nMore\n{x}\nShare {x[0]}{x[0]}") for i, x in enumerate(own)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.drop_recurring_lines(df, short=True).collect()}
+    assert got == {i: f"\nPage {i}\n{x}\nShare {x[0]}{x[0]}" for i, x in enumerate(own)}
+
+
 def test_quality_ranks_held_out_rows(spark):
     d, sf = "/root/testdata/sf0.01", None
     from mediaframe.llm.queries import op9_quality
