@@ -24,8 +24,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines of one token and more go, except from documents that mostly consist of them (copies, which the next stage compares whole)."""
-    return line_dedup.drop_recurring_lines(docs, most=0.5, short=True).select(*docs.columns)
+    """Recurring lines of one token and more go from all documents but each template's first (so that of copies one stays whole)."""
+    return line_dedup.drop_recurring_lines(docs, short=True, keep_first=True).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

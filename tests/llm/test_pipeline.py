@@ -39,3 +39,11 @@ OWN = [" ".join(chr(97 + i) * k for k in range(1, 9)) for i in range(20)]
 def test_short_lines_do_not_recur_after_line_dedup(spark):
     out = pipeline.drop_lines(spark, _docs(spark, [(i, f"All rights reserved.\n{x}") for i, x in enumerate(OWN)]), None)
     assert out.where("text like '%rights%'").count() <= 1 and out.count() == 20
+
+
+def test_documents_of_boilerplate_lose_it_too(spark):
+    lines = "Sign up for our weekly letter and never miss a story\nAll of the content here belongs to its owners"
+    copies = [(100 + i, "This whole document stands here several times over\nand each of its lines does too") for i in range(9)]
+    docs = _docs(spark, [(i, f"{lines}\n{x}") for i, x in enumerate(OWN)] + copies)
+    got = {r.doc_id: r.text for r in pipeline.drop_lines(spark, docs, None).collect()}
+    assert got == {i: x if i else f"{lines}\n{x}" for i, x in enumerate(OWN)} | {d: t if d == 100 else "" for d, t in copies}
