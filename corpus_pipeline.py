@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaframe.llm import jaccard_join, line_dedup, mixing, packing, quality
-from mediaframe.llm._spark import read_table
+from mediaframe.llm._spark import checkpointed, read_table, row_hash
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +29,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    near = jaccard_join.near_documents(docs).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(near, F.col("doc_id") == F.col("_id"), "left_anti")
+    """Of each group of linked documents one row stays, the one with the smallest id (null last, then by its hash). Rows are told apart by their hash, as ids can repeat or be null; equal rows are interchangeable."""
+    rows = docs.withColumn("_row", row_hash(docs))
+    near = jaccard_join.near_documents(rows.select(F.col("_row").alias("doc_id"), "text")).where("n_shingles > 0")
+    near = checkpointed(near.groupBy(F.col("doc_id").alias("_row"), F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("n")))
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("id")).dropDuplicates(["_row"])
+    first = near.join(ids, "_row").groupBy("c").agg(F.min("id")["_row"].alias("first"))
+    gone = checkpointed(near.join(first, "c").where("_row <> first or n > 1").select("_row", (F.col("_row") == F.col("first")).alias("again")))
+    once = rows.join(gone.where("again"), "_row", "left_semi").dropDuplicates(["_row"])
+    return rows.join(gone, "_row", "left_anti").unionByName(once).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

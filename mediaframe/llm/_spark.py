@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,6 +35,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns, nulls told apart by column: what tells rows apart where ids repeat or are null; only equal rows share it."""
+    return F.xxhash64(*df.columns, *(F.col(c).isNull() for c in df.columns))
+
+
 def by_merging(df: DataFrame) -> DataFrame:
     """df as a side of a join by sorting and merging: rounds of small broadcasts would fill the driver, which keeps a page for each."""
     return df.hint("merge")

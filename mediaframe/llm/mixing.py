@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediaframe.llm._spark import row_hash
+
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,12 +64,13 @@ def apportion(rows: DataFrame, by: list[str], share: Column, seats: Column, tie:
     return joined.withColumn("quota", F.col("_base") + F.coalesce("_won", F.lit(0))).drop("_share", "_seats", "_exact", "_base", "_left", "_id", "_won", "_won_id")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 64, shard_docs: int = 2048, seed: str = "mix-1") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 64, shard_docs: int = 2048, seed: str = "mix-1", row: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, and start and quota terms (line_start, shard, passes, extra, blocks, turn) by which taken_words() cuts the text.
 
-    taken never exceeds most times the size. A source's taken words differ from its target by a few blocks for each shard.
+    row: a column, returned too, that breaks further ties in the order. taken never exceeds most times the size. A source's taken words differ from its target by a few blocks for each shard.
     """
-    d = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    own = [row] if row else []
+    d = docs.select("doc_id", "source", *own, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     d = d.withColumn("key", key)
     sources = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -77,7 +80,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
     s = apportion(s, [], F.col("target"), F.floor(F.sum("source_size").over(Window.partitionBy()) / block + F.lit(0.5)), ["rank"]).withColumnRenamed("quota", "source_quota")
     number = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     d = d.join(s.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("shard", number % F.col("shards"))
-    line = Window.partitionBy("rank", "shard").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = Window.partitionBy("rank", "shard").orderBy("key", "doc_id", *own).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = d.withColumn("line_end", F.sum("size").over(line)).withColumn("line_start", F.col("line_end") - F.col("size"))
     shards = d.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     shards = apportion(shards, ["rank"], F.col("shard_size"), F.col("source_quota"), ["rank", "shard"])
@@ -93,13 +96,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, bl
         return F.expr(f"CASE WHEN blocks = 0 THEN 0 ELSE ((({x} div {block}) + turn) * extra div blocks) * {block} + ({x} % {block}) * (((({x} div {block}) + turn + 1) * extra div blocks) - ((({x} div {block}) + turn) * extra div blocks)) END")
 
     taken = F.col("passes") * F.col("size") + before("line_end") - before("line_start")
-    return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", "line_start", "passes", "extra", "blocks", "turn")
+    return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "shard", "line_start", "passes", "extra", "blocks", "turn", *own)
 
 
 def mixed_texts(docs: DataFrame, block: int = 64, **how) -> DataFrame:
     """docs as the mix takes them, the same columns: documents of which nothing is taken go, others hold their whole text once a pass and then the words of their chosen blocks; n_chars follows. Texts taken exactly once stay as they are."""
-    m = mix(docs, block=block, **how).select(F.col("doc_id").alias("_id"), "size", "taken", "line_start", "passes", "extra", "blocks", "turn").where("taken > 0").distinct()
-    d = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_id")))
+    rows = docs.withColumn("_row", row_hash(docs))
+    m = mix(rows, block=block, row="_row", **how).select("_row", "size", "taken", "line_start", "passes", "extra", "blocks", "turn").where("taken > 0")
+    d = rows.dropDuplicates(["_row"]).join(m, "_row")  # of equal rows each has its own row in m
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), 1)
     chosen = F.expr(f"filter(_words, (w, i) -> (((line_start + i) div {block}) + turn + 1) * extra div blocks > (((line_start + i) div {block}) + turn) * extra div blocks)")
     part = F.when(F.col("taken") > F.col("passes") * F.col("size"), F.array_join(chosen, " "))

@@ -1,4 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
+
+from mediaframe.llm import mixing
+from mediaframe.llm._spark import row_hash
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -47,3 +51,19 @@ def test_documents_of_boilerplate_lose_it_too(spark):
     docs = _docs(spark, [(i, f"{lines}\n{x}") for i, x in enumerate(OWN)] + copies)
     got = {r.doc_id: r.text for r in pipeline.drop_lines(spark, docs, None).collect()}
     assert got == {i: x if i else f"{lines}\n{x}" for i, x in enumerate(OWN)} | {d: t if d == 100 else "" for d, t in copies}
+
+
+def test_rows_are_told_apart_where_ids_repeat_or_are_null(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    docs = _docs(spark, [(1, a), (1, a), (2, a), (2, b), (3, c), (None, c), (None, c), (None, d), (None, d), (7, ""), (7, "")])
+    got = pipeline.drop_near_copies(spark, docs, None).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, a), (2, b), (3, c), (None, d), (7, ""), (7, "")], key=str)
+
+
+def test_mix_takes_repeated_and_null_ids_row_by_row(spark):
+    texts = [" ".join(f"{x}{k}" for k in range(100)) for x in OWN[:3]]
+    docs = _docs(spark, [(1, texts[0])] * 4 + [(1, texts[1])] * 2 + [(None, x) for x in texts])
+    taken = mixing.mix(docs.withColumn("_row", row_hash(docs)), row="_row").agg(F.sum("taken"), F.count_if(F.col("taken") > 0)).first()
+    out = pipeline.mix_sources(spark, docs, None)
+    assert tuple(out.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))), F.count(F.lit(1))).first()) == tuple(taken)
+    assert out.count() <= 9
