@@ -4,18 +4,20 @@ Equal sets are one class. Whole documents are all about equally far (1) from eac
 shingles: in one global order (those found in many documents last, else by hash) two sets of similarity t or more have
 their first common shingle among the first n - ceil(t n) + 1 of each. A class is therefore replicated to the regions of
 that many pivots, and each linked pair meets in one. Regions, joined on their own, come packed in arrays by segment of
-the hash. A region of at most `direct` classes is compared as it is (a few pairs a row); in a larger one, classes are
-pivots in turn, one, then about 64, then 64 times as many each round (all of a region of at most `small` classes): all others are compared with them, links merge components, and the region
-is joined again without its used pivots as long as it holds more than one component. Two classes are compared only if
-their distances from the region's first pivot, where known, differ by at most 1 - t (triangle inequality), and if the
-region's shingle can be their first common one: each must have enough shingles from there on, as nothing before is common.
+the hash, those of hot shingles by class. A region of at most `direct` classes is compared as it is (a few pairs a row).
+A larger one gets a class as pivot: all others are compared with it, links merge components, and where a region still
+holds several, its classes are joined in pairs of blocks, those of different components only. A block pair first names
+the classes that its bounds leave, then decides them on the whole sets and returns a spanning forest of its links.
 
-A pair is first tested by counts of shingles in as many buckets as the sets are long (their L1 distance is at most the
-symmetric difference); what passes is decided on the whole sets.
+Two classes are compared only if their distances from the region's pivot, where known, differ by at most 1 - t (triangle
+inequality), and if the region's shingle can be their first common one: each must have enough shingles from there on, as
+nothing before is common. A pair is first tested by counts of shingles in as many buckets as the sets are long (their L1
+distance is at most the symmetric difference); what passes is decided on the whole sets.
 
 Nulls and ties: a null or empty text, or one without words, has the empty set and links with nothing. Rows that repeat are
 documents of their own; a null doc_id takes part but never is a component's number unless alone (then null). Extra columns
-are ignored. An empty table gives an empty result. Shingles and sets are identified by 64-bit hashes.
+are ignored, whatever their names. A text longer than a run is a run of its own, so memory grows with the longest text.
+An empty table gives an empty result. Shingles and sets are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -30,11 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.llm import _text as T
-from mediaframe.llm._spark import by_merging, checkpointed, components, parts, sized
+from mediaframe.llm._spark import by_merging, checkpointed, components, sized
 
 NUM, DEN = 3, 4  # the similarity, 0.75
-HOT_SHARE, HOT_LEAST = 1 << 14, 8
+HOT_SHARE, HOT_LEAST, HOT_MOST = 1 << 14, 8, 1 << 19
 SEGMENT_BYTES = 4 << 20
+#: Entries of regions that a task packs together; rows of ids (16 bytes each) that are broadcast at most, beyond which they are joined by shuffling.
+ENTRIES, BROADCAST_ROWS = 1 << 20, 1 << 20
+PIVOT_PAIRS = 512
 _END = np.uint64(0xB5297A4D2C1B3E6F)
 
 
@@ -89,7 +94,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _hot(described: DataFrame, n_docs: int) -> np.ndarray:
-    """Shingles found in about one of 2**14 documents or more: at most 2**14 times the mean number of shingles. They only set the order."""
+    """Shingles found in about one of 2**14 documents or more, the most frequent HOT_MOST at most. They only set the order (and where a region is spread), so any list gives the same links."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -97,47 +102,62 @@ def _hot(described: DataFrame, n_docs: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, np.int64)), pa.array(np.frombuffer(c, np.uint32).astype(np.int64))], ["s", "k"])
 
     rows = described.where("n = -1").select("hot", "hot_n").mapInArrow(unpack, "s long, k long")
-    rows = rows.groupBy("s").agg(F.sum("k").alias("k")).where(F.col("k") >= max(HOT_LEAST, n_docs // HOT_SHARE))
+    rows = rows.groupBy("s").agg(F.sum("k").alias("k")).where(F.col("k") >= max(HOT_LEAST, n_docs // HOT_SHARE)).orderBy(F.desc("k"), "s").limit(HOT_MOST)
     return np.sort(rows.select("s").toArrow()["s"].to_numpy().view(np.uint64))
 
 
 def _regions(docs: DataFrame, hot: np.ndarray, power: int, direct: int) -> DataFrame:
-    """Rows (s, a, b, n, rest): a pair of classes to compare in a small region (s -1), or a class a of a large region s, its size and how many of its shingles are not before the region's."""
+    """Rows (kind, s, a, b, n, rest): a pair of classes to compare in a small region (kind 0), or a class a of a large region s (kind 1) or of one whose shingle is hot (kind 2), its size and how many of its shingles are not before the region's."""
     known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = known.value
+        """Packed rows, those of a segment together; of hot shingles by the class, so that no region meets in one task."""
+        h, seen, kept, waiting = known.value, set(), [], 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            s, c, n, place, warm = (np.concatenate(x) for x in zip(*kept, strict=True))
+            to = np.where(warm, -1 - (c.view(np.uint64) & np.uint64((1 << power) - 1)).astype(np.int64), (s >> np.uint64(64 - power)).astype(np.int64))
+            order = np.argsort(to, kind="stable")
+            s, c, n, place, to = s[order], c[order], n[order], place[order], to[order]
+            low = (s >> np.uint64(32 - power) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            first = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1])))
+            ends = np.append(first[1:], len(to))
+            for k in range(0, len(first), 4096):
+                cut = list(zip(first[k : k + 4096].tolist(), ends[k : k + 4096].tolist(), strict=True))
+                shingle = [(s if to[i] < 0 else low)[i:j].tobytes() for i, j in cut]
+                yield pa.RecordBatch.from_arrays([pa.array(to[first[k : k + 4096]].astype(np.int32)), pa.array(shingle, pa.binary()), *(pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (c, n, place))], ["segment", "s", "c", "n", "place"])
+
         for _, sets in _runs(batches, 0):
-            out_s, out_c, out_n, out_at = [], [], [], []
             for s, c in zip(sets, class_ids(sets).tolist(), strict=True):
                 n = len(s)
-                if not n:
+                if not n or c in seen:
                     continue
+                if len(seen) >= 1 << 19:
+                    seen.clear()  # copies that come again are merged where they meet
+                seen.add(c)
                 p = n - -(-NUM * n // DEN) + 1
+                warm = np.zeros(n, bool)
                 if len(h):
-                    k = np.minimum(np.searchsorted(h, s), len(h) - 1)
-                    is_hot = h[k] == s
-                    s = np.concatenate((s[~is_hot], s[is_hot]))
-                out_s.append(s[:p])
-                out_c.append(np.full(p, c, np.int64))
-                out_n.append(np.full(p, n, np.uint32))
-                out_at.append(np.minimum(np.arange(p), 65535).astype(np.uint16))
-            if not out_s:
-                continue
-            s = np.concatenate(out_s)
-            order = np.argsort(s, kind="stable")
-            s, c, size, place = s[order], *(np.concatenate(x)[order] for x in (out_c, out_n, out_at))
-            cut = np.searchsorted(s >> np.uint64(64 - power), np.arange(1, 1 << power, dtype=np.uint64))
-            low = (s >> np.uint64(32 - power) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([pa.array(range(1 << power), pa.int32()), *(pa.array([x.tobytes() for x in np.split(v, cut)], pa.binary()) for v in (low, c, size, place))], ["segment", "s", "c", "n", "place"])
+                    warm = h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s
+                    s, warm = np.concatenate((s[~warm], s[warm])), np.sort(warm)
+                kept.append((s[:p], np.full(p, c, np.int64), np.full(p, n, np.uint32), np.minimum(np.arange(p), 65535).astype(np.uint16), warm[:p]))
+                waiting += p
+                if waiting >= ENTRIES:
+                    yield from packed()
+                    kept, waiting = [], 0
+        if kept:
+            yield from packed()
 
     def meet(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        s, c, n, place = (np.frombuffer(b"".join(parts[k]), t) for k, t in (("s", np.uint32), ("c", np.int64), ("n", np.uint32), ("place", np.uint16)))
+        warm = key[0] < 0
+        s, c, n, place = (np.frombuffer(b"".join(parts[k]), t) for k, t in (("s", np.uint64 if warm else np.uint32), ("c", np.int64), ("n", np.uint32), ("place", np.uint16)))
         order = np.lexsort((place, c, s))
         s, c, n = s[order], c[order], n[order].astype(np.int64)
         rest = n - place[order]
         new = np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1]))) if len(s) else np.zeros(0, bool)
         s, c, n, rest = s[new], c[new], n[new], rest[new]
+        if warm:
+            return pd.DataFrame({"kind": np.full(len(s), 2, np.int32), "s": (s ^ np.uint64(1 << 63)).view(np.int64), "a": c, "b": np.zeros(len(s), np.int64), "n": n, "rest": rest})
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(s)))
         pairs = []
@@ -149,18 +169,18 @@ def _regions(docs: DataFrame, hot: np.ndarray, power: int, direct: int) -> DataF
         pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.zeros((0, 2), np.int64)
         large = np.repeat(size > direct, size)
         region = (np.int64(key[0]) << 32) | s[large].astype(np.int64)
-        none, zero = np.full(len(pairs), -1, np.int64), np.zeros(len(pairs), np.int64)
-        return pd.DataFrame({"s": np.concatenate((none, region)), "a": np.concatenate((pairs[:, 0], c[large])), "b": np.concatenate((pairs[:, 1], np.zeros(large.sum(), np.int64))),
-                             "n": np.concatenate((zero, n[large])), "rest": np.concatenate((zero, rest[large]))})
+        zero = np.zeros(len(pairs), np.int64)
+        return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int32), (len(pairs), int(large.sum()))), "s": np.concatenate((zero, region)), "a": np.concatenate((pairs[:, 0], c[large])),
+                             "b": np.concatenate((pairs[:, 1], np.zeros(large.sum(), np.int64))), "n": np.concatenate((zero, n[large])), "rest": np.concatenate((zero, rest[large]))})
 
     packed = docs.select("text").mapInArrow(replicate, "segment int, s binary, c binary, n binary, place binary")
-    return packed.groupBy("segment").applyInPandas(meet, "s long, a long, b long, n long, rest long")
+    return packed.groupBy("segment").applyInPandas(meet, "kind int, s long, a long, b long, n long, rest long")
 
 
 def _passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         cols = [b.column(k).to_pylist() for k in range(2, 6)]
-        yield b.select([0, 1]).filter(pa.array([may_link(*x) for x in zip(*cols, strict=True)], pa.bool_()))
+        yield b.select([0, 1, 6]).filter(pa.array([may_link(*x) for x in zip(*cols, strict=True)], pa.bool_()))
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,87 +194,147 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "all"])
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels (node, component) after more links: the links are contracted to components first, so only what changes is worked on."""
-    if links.isEmpty():
-        return labels
-    name = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias("l" + x))
-    between = links.join(by_merging(name("a")), "a", "left").join(by_merging(name("b")), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    moved = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
-    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(by_merging(labels), "node", "left_anti")
-    every = labels.union(nodes.select("node", F.col("node").alias("component")))
-    return sized(every.join(by_merging(moved), "component", "left").select("node", F.coalesce("to", "component").alias("component")))[0]
-
-
-def near_documents(docs: DataFrame, direct: int = 8, small: int = 64) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of docs (columns doc_id, text)."""
+def _near_pairs(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    """Rows of a group of region blocks (their places in g) that can be links: labels differ, neither is the region's pivot, sizes, places and distances from the pivot are within their bounds, and so are the signatures."""
+    n, rest, label, own, star = (g[k].to_numpy() for k in ("n", "rest", "label", "own", "star"))
+    d0 = g.d0.to_numpy(np.float64)
+    sig = [np.frombuffer(x, np.uint8).astype(np.int32) for x in g.sig]
+    length = np.array([len(x) for x in sig])
+    full = np.array([x.max() == 255 for x in sig])
+    for (_, i, j), at in g.groupby(["s", "i", "j"]).indices.items():
+        left = at[(own[at] == i) & ~star[at]]
+        right = left if i == j else at[(own[at] == j) & ~star[at]]
+        for k in range(0, len(left), 256):
+            x = left[k : k + 256, None]
+            ok = (label[x] != label[right]) & (NUM * np.maximum(n[x], n[right]) <= DEN * np.minimum(n[x], n[right])) & ((DEN + NUM) * np.minimum(rest[x], rest[right]) >= NUM * (n[x] + n[right]))
+            ok &= ~(np.abs(d0[x] - d0[right]) > 1 - NUM / DEN + 1e-9)  # the triangle inequality; an unknown distance excludes nothing
+            if i == j:
+                ok &= x < right
+            a, b = np.nonzero(ok)
+            a, b = left[k + a], right[b]
+            short = np.minimum(length[a], length[b])
+            for m in np.unique(short).tolist():
+                u, v = a[short == m], b[short == m]
+                ids, back = np.unique(np.concatenate((u, v)), return_inverse=True)
+                folded = np.stack([sig[r].reshape(-1, m).sum(0) for r in ids])
+                for q in range(0, len(u), 4096):
+                    x, y = u[q : q + 4096], v[q : q + 4096]
+                    apart = np.abs(folded[back[q : q + len(x)]] - folded[back[len(u) + q : len(u) + q + len(x)]]).sum(1)
+                    near = ((DEN + NUM) * apart <= (DEN - NUM) * (n[x] + n[y])) | full[x] | full[y]
+                    yield from zip(x[near].tolist(), y[near].tolist(), strict=True)
+
+
+def _asked(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a group whose sets are needed to decide its pairs."""
+    at = sorted({r for pair in _near_pairs(g) for r in pair})
+    return g.iloc[at]
+
+
+def _joined(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """Links between labels of a group, as many as join what its links join."""
+    sets = [np.frombuffer(x, np.uint64) for x in g.members]
+    root = {x: x for x in g.label.unique().tolist()}
+    label = g.label.tolist()
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for a, b in _near_pairs(g):
+        x, y = top(label[a]), top(label[b])
+        if x != y:
+            k = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if k * DEN >= (len(sets[a]) + len(sets[b]) - k) * NUM:
+                root[max(x, y)] = min(x, y)
+                out.append((label[a], label[b]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def near_documents(docs: DataFrame, direct: int = 8, block: int = 1024) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of docs (columns doc_id, text). direct: regions of at most so many classes are compared as they are; block: classes of a block of a larger one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = checkpointed(docs.mapInArrow(_described, "doc_id long, n long, c long, sig binary, hot binary, hot_n binary"))
     rows = described.where("n >= 0")
     size = rows.agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = classes.repartition("c").persist()  # joined in every round; kept by key, so only the pairs are shuffled
-    hot = _hot(described, size.d)
-    power = max(5, int(np.ceil(np.log2(max(1, 3 * size.n / SEGMENT_BYTES)))))
-    met = checkpointed(_regions(docs, hot, min(power, 30), direct))
-    n_met = met.agg(F.count_if(F.col("s") >= 0).alias("regions"), F.count_if(F.col("s") < 0).alias("pairs")).first()
-    region, left = met.where("s >= 0").select("s", F.col("a").alias("c"), "n", "rest").coalesce(parts(n_met.regions)), n_met.regions
-    pairs = met.where("s < 0").select("a", "b").coalesce(parts(n_met.pairs)).distinct()
-
-    def passing(pairs: DataFrame) -> DataFrame:
-        side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("s" + x))
-        near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)")
-        return near.select("a", "b", "sa", "sb", F.col("na").cast("long"), F.col("nb").cast("long")).mapInArrow(_passing, "a long, b long")
-
-    first, _ = sized(passing(pairs))
-    needed = first.select("a").union(first.select("b")).union(region.select("c")).toDF("c").distinct()
-    # one text of each class whose sets are needed; equal sets can have several rows with the least doc_id, so one is chosen again below
-    chosen = classes.join(needed, "c", "left_semi").select(F.col("least").alias("id"), F.col("c").alias("want"))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets in _runs(batches, 0):
-            keep = class_ids(sets) == b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(keep)), pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], ["c", "members"])
-
-    texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want")
-    sets = texts.mapInArrow(sets_of, "c long, members binary").repartition("c").dropDuplicates(["c"]).persist()  # shuffled once; lost parts are made again from the texts
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("c").alias(x), F.col("members").alias("m" + x))
-        return sized(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(_measured, "a long, b long, common long, all long"))[0]
-
-    linked = F.col("common") * DEN >= F.col("all") * NUM
-    known = measured(first)
-    edges = known.where(linked).select("a", "b")
-    labels = components(edges)
-    pivots = 1
-    region = region.withColumn("d0", F.lit(None).cast("double"))
-    while left:
-        r = region.join(by_merging(labels.select(F.col("node").alias("c"), "component")), "c", "left").withColumn("label", F.coalesce("component", "c")).drop("component")
-        several = r.groupBy("s").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x <> y")
-        r, left = sized(r.join(by_merging(several.select("s", "k")), "s").withColumn("turn", F.xxhash64("c", F.lit(pivots))), left)
-        # each round's pivots of a region: the first in a hashed order, and about as many more as the round allows
-        chosen = r.groupBy("s").agg(F.min_by("c", "turn").alias("p"))
-        if pivots > 1:
-            chosen = chosen.union(r.where((F.col("turn") / F.lit(2.0**64) + 0.5) * F.col("k") < F.when(F.col("k") <= small, F.col("k") + 1).otherwise(pivots)).select("s", "c")).distinct()
-        chosen = checkpointed(chosen.coalesce(parts(left)))
-        of_pivot = by_merging(chosen).join(r.select("s", F.col("c").alias("p"), F.col("label").alias("pl"), F.col("d0").alias("pd0"), F.col("n").alias("pn"), F.col("rest").alias("p_rest")), ["s", "p"])
-        near = F.coalesce(F.abs(F.col("d0") - F.col("pd0")) <= 1 - NUM / DEN + 1e-9, F.lit(True))
-        near &= F.least("rest", "p_rest") * (DEN + NUM) >= (F.col("n") + F.col("pn")) * NUM
-        meet = r.join(of_pivot, "s").where(F.col("label") != F.col("pl")).where(near)
-        todo = meet.select(F.least("c", "p").alias("a"), F.greatest("c", "p").alias("b")).distinct().join(by_merging(known.select("a", "b")), ["a", "b"], "left_anti")
-        new = measured(passing(todo))
-        known = known.unionByName(new)
-        labels = _merged(labels, new.where(linked).select("a", "b"))
-        rest = r.join(by_merging(chosen.withColumnRenamed("p", "c")), ["s", "c"], "left_anti").select("s", "c", "n", "rest", "d0")
-        if pivots == 1:
-            far = known.select("a", "b", (1 - F.col("common") / F.col("all")).alias("d"))
-            far = far.union(far.select("b", "a", "d")).toDF("c", "p", "d")
-            rest = rest.join(by_merging(chosen), "s").join(by_merging(far), ["c", "p"], "left").select("s", "c", "n", "rest", F.col("d").alias("d0"))
-        region, left = sized(rest, left)
-        pivots *= 64
-    root = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").select("c", "least", F.coalesce("component", "c").alias("root"))
+    classes = classes.repartition("c").persist()  # kept by key, so only what is joined to it is shuffled
+    power = min(30, max(5, int(np.ceil(np.log2(max(1, 3 * size.n / SEGMENT_BYTES))))))
+    met = checkpointed(_regions(docs, _hot(described, size.d), power, direct))
+
+    # regions with the same classes are one: their links' first common shingle is that of the first of them
+    member = met.where("kind > 0").select("kind", "s", F.col("a").alias("c"), "n", "rest")
+    pivot = F.min_by(F.struct("c", "n", "rest"), F.xxhash64("c")).alias("pivot")
+    regions = member.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"), pivot).where("k > 1")
+    regions = regions.groupBy("kind", "k", "x", "y").agg(F.min_by(F.struct("s", "pivot"), "s").alias("r")).select("kind", "k", "r.s", "r.pivot")
+    regions, n_regions = sized(regions)
+
+    def of_regions(member: DataFrame, table: DataFrame) -> DataFrame:
+        """Members with their region's row; a hot region can be large, so its row, one of HOT_MOST at most, goes to the members."""
+        return member.where("kind = 1").join(by_merging(table.where("kind = 1")), ["kind", "s"]).unionByName(member.where("kind = 2").join(F.broadcast(table.where("kind = 2")), ["kind", "s"]))
+
+    def fetched(wanted: DataFrame) -> DataFrame:
+        """Sets (c, members) of the classes in wanted (c), from one text of each; equal sets can have several rows with the least doc_id, so one is chosen again."""
+        chosen, n = sized(classes.join(wanted.distinct(), "c", "left_semi").select(F.col("least").alias("id"), F.col("c").alias("want")))
+        chosen = F.broadcast(chosen) if n <= BROADCAST_ROWS else by_merging(chosen)
+
+        def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b, sets in _runs(batches, 0):
+                keep = class_ids(sets) == b.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(keep)), pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], ["c", "members"])
+
+        texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want")
+        return texts.mapInArrow(sets_of, "c long, members binary").repartition("c").dropDuplicates(["c"]).persist()  # shuffled once; lost parts are made again from the texts
+
+    # first round: the pairs of small regions, and each larger region's classes with its pivot. A pair begins with the class
+    # of the lesser hash, as each pivot is in its region; a pivot's pairs are dealt over copies of it, one for PIVOT_PAIRS
+    spread = lambda k: F.ceil(F.col(k) / PIVOT_PAIRS).cast("int").alias("m")
+    first = F.xxhash64("a") < F.xxhash64("b")
+    small = met.where("kind = 0").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), F.lit(1).alias("m"))
+    at_pivot = of_regions(member, regions).where("c <> pivot.c").where(f"{DEN + NUM} * least(rest, pivot.rest) >= {NUM} * (n + pivot.n)")
+    pairs = small.union(at_pivot.select("pivot.c", "c", spread("k"))).groupBy("a", "b").agg(F.max("m").alias("m")).withColumn("part", F.pmod(F.xxhash64("b"), "m").cast("int"))
+    copies = regions.where(F.col("k") > PIVOT_PAIRS).select("pivot.c", spread("k")).groupBy("c").agg(F.max("m").alias("m"))
+
+    def copied(table: DataFrame) -> DataFrame:
+        return table.join(by_merging(copies), "c", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1))).drop("m")
+
+    side = lambda t, x: t.select(F.col("c").alias(x), F.col("n").alias("n" + x), F.col("sig").alias("s" + x), *(["part"] if x == "a" else []))
+    close = pairs.join(by_merging(side(copied(classes), "a")), ["a", "part"]).join(by_merging(side(classes, "b")), "b").where(f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)")
+    close, _ = sized(close.select("a", "b", "sa", "sb", "na", "nb", "part").mapInArrow(_passing, "a long, b long, part int"))
+    sets = fetched(close.select(F.col("a").alias("c")).union(close.select("b")))
+    of = lambda t, x: t.select(F.col("c").alias(x), F.col("members").alias("m" + x), *(["part"] if x == "a" else []))
+    known = close.join(by_merging(of(copied(sets), "a")), ["a", "part"]).join(by_merging(of(sets, "b")), "b").select("a", "b", "ma", "mb").mapInArrow(_measured, "a long, b long, common long, all long")
+    known, _ = sized(known)
+    sets.unpersist()
+    labels = components(known.where(F.col("common") * DEN >= F.col("all") * NUM).select("a", "b"))
+
+    # second round: larger regions with several components, in pairs of blocks, classes of different components only
+    if n_regions:
+        far = known.select("a", "b", (1 - F.col("common") / F.col("all")).alias("d0"))
+        far = far.union(far.select("b", "a", "d0")).toDF("c", "p", "d0")
+        r = of_regions(member, regions).join(by_merging(labels.toDF("c", "component")), "c", "left").withColumn("label", F.coalesce("component", "c"))
+        several = r.groupBy("kind", "s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("kind", "s")
+        r = of_regions(r, several).where("k > 2").select("s", "k", "c", "n", "rest", "label", F.col("pivot.c").alias("p"), (F.col("c") == F.col("pivot.c")).alias("star"))
+        r, left = sized(r)
+    if n_regions and left:
+        r = r.join(by_merging(far), ["c", "p"], "left").join(by_merging(classes.select("c", "sig")), "c")
+        blocks = F.ceil(F.col("k") / block).cast("int")
+        r = r.withColumn("own", F.pmod(F.xxhash64("c", F.lit(2)), blocks).cast("int"))
+        r = r.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+        bucket = F.when(blocks == 1, F.pmod(F.xxhash64("s"), F.lit(-(-left // block)))).otherwise(F.xxhash64("s", "i", "j"))
+        r = r.select(bucket.alias("g"), "s", "i", "j", "own", "c", "n", "rest", "label", "star", "d0", "sig")
+        asked, n_asked = sized(r.groupBy("g").applyInPandas(_asked, r.schema))
+        if n_asked:
+            sets = fetched(asked.select("c"))
+            found = asked.join(by_merging(sets), "c").groupBy("g").applyInPandas(_joined, "a long, b long")
+            moved = components(found).toDF("component", "to")
+            sets.unpersist()
+            nodes = moved.select(F.col("component").alias("node")).join(by_merging(labels), "node", "left_anti").select("node", F.col("node").alias("component"))
+            labels = labels.union(nodes).join(by_merging(moved), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    root = classes.join(by_merging(labels.withColumnRenamed("node", "c")), "c", "left").select("c", "least", F.coalesce("component", "c").alias("root"))
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = root.join(by_merging(least), "root").select(F.col("c").alias("cc"), "component_id")
-    out = rows.join(of, (F.col("c") == F.col("cc")) & (F.col("n") > 0), "left")
+    found = checkpointed(root.join(by_merging(least), "root").select(F.col("c").alias("cc"), "component_id"))
+    classes.unpersist()
+    out = rows.select("doc_id", "n", "c").join(found, (F.col("c") == F.col("cc")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

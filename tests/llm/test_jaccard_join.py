@@ -50,18 +50,48 @@ def rows_():
 ODD = [(2000, None), (2001, ""), (2002, " \n"), (2003, "one two"), (2004, "ONE  two"), (2005, "One two three four five"), (2006, "w " * 3000), (2007, "w " * 2999), (2008, "a b c d e f g h"), (2008, "a b c d e f g h")]
 
 
-@pytest.mark.parametrize("direct", [8, 2])
-def test_equals_brute_force(spark, direct, monkeypatch):
+@pytest.mark.parametrize(("direct", "block"), [(8, 1024), (2, 1024), (1, 3)])
+def test_equals_brute_force(spark, direct, block, monkeypatch):
+    """direct 1 has every region of two classes or more go through pivots and pairs of blocks."""
     rows = rows_() + ODD
     if direct == 2:
         monkeypatch.setattr(J, "HOT_LEAST", 10**6)
+    monkeypatch.setattr(J, "PIVOT_PAIRS", 2 * direct)
     df = spark.createDataFrame([(a, b, 0, "x") for a, b in rows], "doc_id long, text string, n long, s string").repartition(5)
-    got = sorted(tuple(x) for x in J.near_documents(df, direct=direct).collect())
+    got = sorted(tuple(x) for x in J.near_documents(df, direct=direct, block=block).collect())
     want = brute(rows)
     assert got == want
     assert 8 < len({c for *_, c in want}) < len(rows) - 10
 
 
+@pytest.mark.parametrize("block", [4, 1024])
+def test_hot_shingles_and_chains(spark, block, monkeypatch):
+    """Shingles that all documents share, groups within them, and chains whose ends don't link with the region's pivot."""
+    r = np.random.default_rng(8)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for _ in range(6):
+        own = [f"o{x}" for x in r.integers(0, 10**6, 24)]
+        for _ in range(8):
+            own = [w if r.random() > 0.04 else f"e{r.integers(10**6)}" for w in own]  # each drifts from the one before
+            k = int(r.integers(0, 20))
+            rows.append((len(rows) * 7 % 991, " ".join(shared[k:] + own if len(rows) % 2 else own + shared[k:])))
+    rows += [(900 + k, " ".join(shared)) for k in range(30)]
+    monkeypatch.setattr(J, "PIVOT_PAIRS", 4)
+    monkeypatch.setattr(J, "HOT_LEAST", 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    want = brute(rows)
+    assert sorted(tuple(x) for x in J.near_documents(df, direct=2, block=block).collect()) == want
+    assert 4 < len({c for *_, c in want}) < len(rows) - 30
+
+
+def test_text_longer_than_a_run(spark):
+    long = " ".join(f"w{k * k % 100_003}" for k in range(900_000))
+    rows = [(1, long), (2, long + " more"), (3, long.upper()), (4, "other words stand here too")]
+    got = sorted(map(tuple, J.near_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert [(d, c) for d, _, c in got] == [(1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_empty_and_null_ids(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (None, None), (4, "a b c d e")], "doc_id long, text string")
     assert J.near_documents(df.limit(0)).count() == 0
