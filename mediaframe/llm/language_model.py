@@ -8,14 +8,19 @@ quarter apart); counts above the line are rounded down and below the line up, so
 to 1 at most, but for false positives.
 
 Counting gathers packed arrays of keys and counts by segment of the key's hash; a segment is merged by one task, and there
-are as many as the text needs (a key's counts are added up before the shuffle, so a hot word is one entry a task). The
-filter has `bits` bits an entry at every size. It and the exact counts of words, which only the base score needs, are
-broadcast in waves of segments within `max_filter_bytes` and `max_table_bytes` (a wave has one segment at least). Waves
-are jobs of their own with a written result between, which keeps the levels found so far, three bytes a token: of the
-word, of the types after the word before it, and of the bigram. The last wave turns them into scores.
+are as many as the text needs. A task adds up its runs before the shuffle (a hot word is one entry of some million), and
+sends only segments that hold something. All bigrams of a history are in one segment, which so grows with the vocabulary.
+
+The filter has `bits` bits an entry at every size. It and the exact counts of words, which only the base score needs, are
+broadcast in waves of segments within `max_filter_bytes` and `max_table_bytes` (a wave has 1 of at most 4096 parts at
+least). Waves are jobs of their own with a written result between, which keeps the levels found so far, three bytes a
+token: of the word, of the types after the word before it, and of the bigram. The last wave turns them into scores.
+release() drops the last wave's broadcasts once the scores are written.
 
 Nulls and ties: a null text counts as empty (one end token), a null doc_id is hashed as ''; repeated rows are scored
-each and count each. Without training tokens N = V = 0. An empty table gives an empty result.
+each and count each. Extra columns pass through (names that begin with `_lm_` are reserved). A text longer than a run is
+a run of its own, so memory grows with the longest text. Without training tokens N = V = 0. An empty table gives an empty
+result. Histories are told apart by 32 bits, bigrams of a history by 32 more.
 """
 
 from __future__ import annotations
@@ -34,8 +39,10 @@ from mediaframe.llm._spark import checkpointed
 
 START, END, TYPES = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03))
 LEVELS = np.array(sorted({m << k for m in (4, 5, 6, 7) for k in range(60)} | {1, 2, 3}), np.float64)
-SEGMENT_BYTES = 8 << 20
-RUN_BYTES = 4 << 20
+SEGMENT_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
+#: Keys that a task adds up before it sends them; parts by which waves are cut.
+ENTRIES, PARTS = 3 << 19, 4096
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _K = np.uint64(0x9E6C63D0876A9A35)
 
@@ -80,10 +87,10 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 class Filter:
     """The log-frequency filter: words of 64 bits by segment, one word and four of its bits an entry."""
 
-    def __init__(self, words: np.ndarray, first: np.ndarray, shift: int, low: int = 0) -> None:
-        """The segments from low on."""
+    def __init__(self, words: np.ndarray, first: np.ndarray, shift: int, low: int = 0, size: np.ndarray | None = None) -> None:
+        """The segments from low on; first: where each begins (and ends, where no sizes are given)."""
         self.words, self.first, self.shift, self.low = words, first, np.uint64(shift), low
-        self.size = np.diff(first).astype(np.uint64)
+        self.size = (np.diff(first) if size is None else size).astype(np.uint64)
 
     @staticmethod
     def entry(keys: np.ndarray, level: np.ndarray | int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,21 +131,43 @@ _UP = np.concatenate(([0.0], LEVELS[1:] - 1, [LEVELS[-1]]))
 
 
 def fit(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 160 << 20, max_table_bytes: int = 160 << 20) -> dict:
-    """Counts of the texts of docs: filter parts, waves of exact word counts, N and V."""
+    """Counts of the texts of docs: filter and exact word counts by segment, the waves of segments, N and V."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("d")).first()
     power = max(5, int(np.ceil(np.log2(max(1, size.n / SEGMENT_BYTES)))))
     shift = np.uint64(64 - power)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[tuple]] = [[], []]  # words and bigrams, with their counts
+
+        def merged() -> list[tuple]:
+            return [_counted(*(np.concatenate(x) for x in zip(*w, strict=True))) for w in waiting]
+
+        def sent(both: list[tuple]) -> Iterator[pa.RecordBatch]:
+            cuts = [np.unique(keys >> shift, return_index=True) for keys, _ in both]
+            segments = np.unique(np.concatenate([seg for seg, _ in cuts]))
+            packed = []
+            for (keys, n), (seg, first) in zip(both, cuts, strict=True):
+                at = dict(zip(seg.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True), strict=True))
+                packed.append([_pack(keys[slice(*at.get(x, (0, 0)))], n[slice(*at.get(x, (0, 0)))]) for x in segments.tolist()])
+            for k in range(0, len(segments), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(segments[k : k + 1024].astype(np.int32)), *(pa.array(x[k : k + 1024], pa.binary()) for x in packed)], ["segment", "words", "pairs"])
+
+        n = 0
         for b in batches:
             data, offsets = T.text_buffer(b.column(0))
             for i, j in T.runs(offsets, RUN_BYTES):
                 w, pair, _ = tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                blobs = []
-                for keys, n in (_counted(w), _counted(pair)):
-                    cut = np.searchsorted(keys >> shift, np.arange(1, 1 << power, dtype=np.uint64))
-                    blobs.append([_pack(k, c) for k, c in zip(np.split(keys, cut), np.split(n, cut), strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(range(1 << power), pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["segment", "words", "pairs"])
+                for one, keys in zip(waiting, (w, pair), strict=True):
+                    one.append(_counted(keys))
+                    n += len(one[-1][0])
+                if n >= ENTRIES:
+                    both = merged()
+                    waiting, n = [[x] for x in both], sum(len(x[0]) for x in both)
+                    if n >= ENTRIES // 2:
+                        yield from sent(both)
+                        waiting, n = [[], []], 0
+        if waiting[0]:
+            yield from sent(merged())
 
     def merge(parts: pd.DataFrame) -> tuple:
         words, pairs = ([_unpack(x) for x in parts[c]] for c in ("words", "pairs"))
@@ -154,34 +183,44 @@ def fit(docs: DataFrame, bits: float = 12.0, max_filter_bytes: int = 160 << 20,
     def build(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
         w, c, p, n, h, t = merge(parts)
         keys = np.concatenate((p, T.mix(w) & ~_HIGH | w & _HIGH, _type_keys(h)))
-        return pd.DataFrame({"segment": [key[0]], "words": [w.tobytes()], "counts": [c.astype(np.uint32).tobytes()], "filter": [Filter.segment(keys, np.concatenate((n, c, t)), bits).tobytes()], "n": [int(c.sum())]})
+        return pd.DataFrame({"segment": [key[0]], "words": [w.tobytes()], "counts": [c.tobytes()], "filter": [Filter.segment(keys, np.concatenate((n, c, t)), bits).tobytes()], "n": [int(c.sum())]})
 
     packed = docs.select("text").mapInArrow(count, "segment int, words binary, pairs binary")
     built = checkpointed(packed.groupBy("segment").applyInPandas(build, "segment int, words binary, counts binary, filter binary, n long"))
-    rows = built.select("segment", F.length("filter").alias("f"), (F.length("words") / 8).cast("long").alias("v"), "n").collect()
-    by = {r.segment: r for r in rows}
-    waves, f, v = [0], 0, 0
+    each = max(1, (1 << power) // PARTS)
+    rows = built.groupBy(F.expr(f"segment div {each}").alias("part")).agg(F.sum(F.length("filter")).alias("f"), F.sum(F.length("words") / 8).cast("long").alias("v"), F.sum("n").alias("n")).collect()
+    by = {r.part: r for r in rows}
+    waves, f, v = [[0, 0, 0]], 0, 0  # first segment, bytes of the filter, words
     for s in sorted(by):
-        f, v = f + by[s].f, v + by[s].v
-        if s > waves[-1] and (f > max_filter_bytes or 12 * v > max_table_bytes):
-            waves.append(s)
-            f, v = by[s].f, by[s].v
-    waves = list(zip(waves, [*waves[1:], 1 << power], strict=True))
-    model = {"shift": int(shift), "N": sum(r.n for r in rows), "V": sum(r.v for r in rows), "built": built, "waves": waves, "docs": size.d}
-    return model | dict(zip(("filter", "first"), _filter(model, *waves[0]), strict=True))
-
-
-def _filter(model: dict, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter's words of segments low to high, and where each begins."""
-    got = {r.segment: np.frombuffer(r.filter, np.uint64) for r in model["built"].where(f"segment >= {low} and segment < {high}").select("segment", "filter").toLocalIterator()}
-    parts = [got.get(s, np.zeros(1, np.uint64)) for s in range(low, high)]
-    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-
-
-def _table(model: dict, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    rows = sorted(model["built"].where(f"segment >= {low} and segment < {high}").select("segment", "words", "counts").toLocalIterator(), key=lambda r: r.segment)
-    join = lambda x, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(b, t) for b in x)])
-    return join([r.words for r in rows], np.uint64), join([r.counts for r in rows], np.uint32)
+        f, v = waves[-1][1] + by[s].f, waves[-1][2] + by[s].v
+        if s * each > waves[-1][0] and (f > max_filter_bytes or 16 * v > max_table_bytes):
+            waves.append([s * each, by[s].f, by[s].v])
+        else:
+            waves[-1][1:] = f, v
+    ends = [w[0] for w in waves[1:]] + [1 << power]
+    waves = [(low, high, f, v) for (low, f, v), high in zip(waves, ends, strict=True)]
+    return {"shift": int(shift), "N": sum(r.n for r in rows), "V": sum(r.v for r in rows), "built": built, "waves": waves, "docs": size.d, "held": []}
+
+
+def release(model: dict) -> None:
+    """Drops the broadcasts that scores not yet written still need."""
+    while model["held"]:
+        model["held"].pop().destroy()
+
+
+def _wave(model: dict, low: int, high: int, n_bytes: int, n_words: int) -> tuple:
+    """The filter of the segments from low to high (its words, and where each segment begins and how many it has) and their words in order with their counts."""
+    filt, keys, counts = np.zeros(1 + n_bytes // 8, np.uint64), np.zeros(n_words, np.uint64), np.zeros(n_words, np.int64)
+    first, size = np.zeros(high - low, np.int64), np.ones(high - low, np.int64)  # a segment that holds nothing is one empty word
+    f, v = 1, 0
+    for r in model["built"].where(f"segment >= {low} and segment < {high}").select("segment", "filter", "words", "counts").toLocalIterator():
+        x, w = np.frombuffer(r.filter, np.uint64), np.frombuffer(r.words, np.uint64)
+        first[r.segment - low], size[r.segment - low] = f, len(x)
+        filt[f : f + len(x)] = x
+        keys[v : v + len(w)], counts[v : v + len(w)] = w, np.frombuffer(r.counts, np.int64)
+        f, v = f + len(x), v + len(w)
+    order = np.argsort(keys)
+    return filt, first, size, keys[order], counts[order]
 
 
 def _segment(keys: np.ndarray, shift: np.uint64, low: int, high: int) -> np.ndarray:
@@ -190,23 +229,22 @@ def _segment(keys: np.ndarray, shift: np.uint64, low: int, high: int) -> np.ndar
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds _n_tokens, _n_known, _base (base score), _score and _train_tokens to docs (which have a column text)."""
+    """Adds _lm_tokens, _lm_known, _lm_base (base score), _lm_score and _lm_train_tokens to docs (which have a column text)."""
     sc = docs.sparkSession.sparkContext
     names = docs.columns
     at_text = names.index("text")
     waves, shift, n_all, n_docs = model["waves"], np.uint64(model["shift"]), model["N"], model["docs"]
     floor = n_all + 0.5 * (model["V"] + 1)
-    added = {"_n_tokens": LongType(), "_n_known": LongType(), "_base": DoubleType(), "_score": DoubleType(), "_levels": BinaryType()}
+    added = {"_lm_tokens": LongType(), "_lm_known": LongType(), "_lm_base": DoubleType(), "_lm_score": DoubleType(), "_lm_levels": BinaryType()}
     out = docs
-    for low, high in waves:
-        filt = sc.broadcast((model["filter"], model["first"]) if not low else _filter(model, low, high))
-        table = sc.broadcast(_table(model, low, high))
-        last = (low, high) == waves[-1]
-        names_now = [*names, *(a for a in added if not (last and a == "_levels"))]
-
-        def run(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high, filt=filt, table=table, last: bool = last, names_now: list = names_now) -> Iterator[pa.RecordBatch]:
-            keys, counts = table.value
-            f = Filter(*filt.value, int(shift), low)
+    for low, high, *sizes in waves:
+        wave = sc.broadcast(_wave(model, low, high, *sizes))
+        last = low == waves[-1][0]
+        names_now = [*names, *(a for a in added if not (last and a == "_lm_levels"))]
+
+        def run(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high, wave=wave, last: bool = last, names_now: list = names_now) -> Iterator[pa.RecordBatch]:
+            words, first, sizes, keys, counts = wave.value
+            f = Filter(words, first, int(shift), low, sizes)
             for b in batches:
                 data, offsets = T.text_buffer(b.column(at_text))
                 for i, j in T.runs(offsets, RUN_BYTES):
@@ -221,8 +259,8 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                     known, base = np.add.reduceat(hit[back].astype(np.int64), at[:-1]), np.add.reduceat(part[back], at[:-1])
                     levels = np.zeros((len(w), 3), np.uint8)
                     if low:
-                        known, base = known + rows.column("_n_known").to_numpy(), base + rows.column("_base").to_numpy()
-                        levels = np.frombuffer(b"".join(rows.column("_levels").to_pylist()), np.uint8).reshape(-1, 3).copy()
+                        known, base = known + rows.column("_lm_known").to_numpy(), base + rows.column("_lm_base").to_numpy()
+                        levels = np.frombuffer(b"".join(rows.column("_lm_levels").to_pylist()), np.uint8).reshape(-1, 3).copy()
 
                     def look(x: np.ndarray) -> np.ndarray:  # levels of the keys of this wave's segments
                         got, here = np.zeros(len(x), np.uint8), _segment(x, shift, low, high)
@@ -257,6 +295,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
         out = out.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(a, added[a]) for a in names_now[len(names) :])]))
         if not last:
             out = checkpointed(out)
-            filt.destroy()
-            table.destroy()
-    return out.withColumn("_train_tokens", F.lit(n_all).cast("long"))
+            wave.destroy()
+        else:
+            model["held"].append(wave)
+    return out.withColumn("_lm_train_tokens", F.lit(n_all).cast("long"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.llm._spark import read_table
+from mediaframe.llm._spark import checkpointed, read_table
 
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 5"
 
@@ -60,12 +60,15 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mediaframe.llm.language_model import fit, scored
+    from mediaframe.llm.language_model import fit, release, scored
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.expr(HELD_OUT) == 1, F.lit(False))
-    s = scored(docs, fit(docs.where(~held_out)))
-    return s.select("doc_id", held_out.alias("held_out"), F.col("_n_tokens").alias("n_tokens"), F.col("_n_known").alias("n_known"), F.col("_train_tokens").alias("train_tokens"), F.col("_base").alias("base_score"), F.col("_score").alias("score"))
+    model = fit(docs.where(~held_out))
+    s = scored(docs, model)
+    out = checkpointed(s.select("doc_id", held_out.alias("held_out"), F.col("_lm_tokens").alias("n_tokens"), F.col("_lm_known").alias("n_known"), F.col("_lm_train_tokens").alias("train_tokens"), F.col("_lm_base").alias("base_score"), F.col("_lm_score").alias("score")))
+    release(model)
+    return out
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +76,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     s = scored(docs, fit(docs, read_table(spark, sf_dir, "labels")))
-    return s.select("doc_id", (F.expr(HELD_OUT) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+    return s.select("doc_id", F.coalesce(F.expr(HELD_OUT) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

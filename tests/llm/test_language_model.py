@@ -39,8 +39,8 @@ def test_equals_the_formulas(spark, limits):
     up = lambda x: next(t for t in L.LEVELS if t > x) - 1 if x else 0
     for r in rows:
         ts = tokens(r.text)
-        assert (r._n_tokens, r._n_known, r._train_tokens) == (len(ts), sum(c[w] > 0 for w in ts), n)
-        assert r._base == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ts), abs=1e-9)
+        assert (r._lm_tokens, r._lm_known, r._lm_train_tokens) == (len(ts), sum(c[w] > 0 for w in ts), n)
+        assert r._lm_base == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ts), abs=1e-9)
         prev, want = "<s>", 0.0
         for w in ts:
             p = (down(c[w]) + 0.5) / (n + 0.5 * (v + 1))
@@ -49,7 +49,33 @@ def test_equals_the_formulas(spark, limits):
                 p = (down(pairs[prev, w]) + t * p) / (max(up(n_docs if prev == "<s>" else c[prev]) if prev != "<s>" else n_docs, down(pairs[prev, w])) + t)
             want += math.log10(p)
             prev = w
-        assert r._score == pytest.approx(want, abs=1e-6)
+        assert r._lm_score == pytest.approx(want, abs=1e-6)
+
+
+def test_default_bits_stay_near_the_formulas(spark):
+    """At 12 bits an entry the scores are those of the exact levels but for false positives, which few tokens meet."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.25, 80).clip(1, 9000)) for _ in range(400)]
+    df = spark.createDataFrame([(i, t, None, 1.0, 2.0) for i, t in enumerate(texts)], "doc_id long, text string, _levels string, _score double, _base double")
+    train = df.where("doc_id < 300")
+    exact, usual = ({x.doc_id: x for x in L.scored(df, L.fit(train, **how)).collect()} for how in ({"bits": 64}, {}))
+    for i, want in exact.items():
+        got = usual[i]
+        assert (got._lm_tokens, got._lm_known, got._lm_base) == (want._lm_tokens, want._lm_known, want._lm_base)
+        assert got._lm_score == pytest.approx(want._lm_score, rel=0.05)
+        assert got._score == 1.0
+
+
+def test_a_text_longer_than_a_run(spark, monkeypatch):
+    monkeypatch.setattr(L, "RUN_BYTES", 64)
+    monkeypatch.setattr(L, "ENTRIES", 16)
+    long = " ".join(f"w{k % 37}" for k in range(500))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*TEXTS, long])], "doc_id long, text string")
+    c, *_ = model([*TEXTS, long])
+    n, v = sum(c.values()), len(c)
+    for r in L.scored(df, L.fit(df)).collect():
+        assert r._lm_train_tokens == n and r._lm_known == r._lm_tokens == len(tokens(r.text))
+        assert r._lm_base == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(r.text)), rel=1e-9)
 
 
 def test_filter_gives_counts_back():
@@ -66,10 +92,10 @@ def test_filter_gives_counts_back():
 def test_bounded_filter_and_empty_tables(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     m = L.fit(df, max_filter_bytes=64)
-    assert m["filter"].nbytes < 600
+    assert all(L._wave(m, *w)[0].nbytes < 600 for w in m["waves"])
     assert L.scored(df, m).count() == 7
     none = L.scored(df, L.fit(df.limit(0))).collect()
-    assert all(r._n_known == 0 and r._train_tokens == 0 for r in none)
+    assert all(r._lm_known == 0 and r._lm_train_tokens == 0 for r in none)
     assert L.scored(df.limit(0), m).count() == 0
 
 
@@ -97,4 +123,4 @@ def test_bounds_do_not_change_scores(spark):
     assert len(got) == 300
     for k, v in want.items():
         assert got[k] == pytest.approx(v, rel=1e-12)
-    assert len(free["waves"]) == 1 < len(bound["waves"]) and bound["filter"].nbytes <= 4000
+    assert len(free["waves"]) == 1 < len(bound["waves"]) and all(L._wave(bound, *w)[0].nbytes <= 4008 for w in bound["waves"])
