@@ -4,10 +4,11 @@ Each input partition is packed on its own, in its scan order, without a shuffle:
 once; its rest goes to the fill level (or a new window) for which the sum of squared counts of partially filled windows
 grows least, found in an array of counts by level. As documents may be cut freely, at most `open_windows` windows stay
 open: beyond that, and at the end, the emptiest window's tokens are cut to top up the fullest ones, so a partition ends
-with one padded window at most. Memory is bounded by the open windows and one Arrow batch.
+with one padded window at most. Memory is bounded by the open windows (8 kB each), the known words and one Arrow batch; a
+text longer than a run is tokenised as a run of its own, so memory grows with the longest text.
 
 Nulls and ties: a null text is empty (a document of one end token); a null doc_id stays null; repeated rows are packed as
-separate documents; of equal changes the highest level is taken. An empty table gives no pieces. A task that is run again
+separate documents; of equal changes the highest level is taken. Other columns are left out, whatever their names. An empty table gives no pieces. A task that is run again
 reads the same split and so makes the same pieces; sequence ids are the partition's number and a count.
 """
 
@@ -18,28 +19,40 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from mediaframe.llm import _text as T
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Word forms, and words without case and final stop, whose ids are kept in a worker; the memory this takes is bounded.
-CACHE_FORMS, CACHE_WORDS = 200_000, 800_000
-#: str.split() takes these for white space, the tokenizer does not.
-_NOT_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Words whose ids are kept in a worker, which bounds the memory this takes.
+CACHE_WORDS = 1_000_000
+RUN_BYTES = 1 << 20
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space and case, and never joins words across white space or letters with signs; each new word is encoded once."""
+    """Ids of texts by a tokenizer that drops white space and the case of A-Z, and never joins words across white space or letters with signs.
+
+    Words (runs of bytes other than ASCII white space) are known by 64-bit hashes, all of a run at once; each new word is
+    encoded once. A stop or comma after ASCII letters is a word of its own. Words with a bar keep their case in the hash,
+    as special tokens have it. A white space character beyond ASCII stays within its word and is left to the tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forms: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.n = np.zeros(1 << 16, np.uint32), 0
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -48,33 +61,55 @@ class WordTokenizer:
             _tokenizers[path] = cls(path)
         return _tokenizers[path]
 
-    def _encoded(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)] if words else []
-
-    def _learn(self, forms: set[str]) -> None:
-        split = []
-        for w in forms:
-            base = w.lower() if w.isascii() else w
-            split.append((w, base[:-1], base[-1]) if base[-1] in ".," and base[:-1].isalpha() else (w, base, ""))
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        new = list({x for _, base, stop in split for x in (base, stop) if x}.difference(self.words))
-        self.words.update(zip(new, self._encoded(new), strict=True))
-        self.words[""] = b""
-        for w, base, stop in split:
-            self.forms[w] = self.words[base] + self.words[stop]
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        size = np.array([len(x) for x in got])
+        flat = np.array([i for x in got for i in x], np.uint32)
+        first = self.n + np.cumsum(size) - size
+        if self.n + len(flat) > len(self.ids):
+            self.ids = np.concatenate((self.ids[: self.n], np.zeros(self.n + 2 * len(flat), np.uint32)))
+        self.ids[self.n : self.n + len(flat)] = flat
+        self.n += len(flat)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.first, self.size = (np.insert(x, at, y[order]) for x, y in ((self.keys, keys), (self.first, first), (self.size, size)))
+
+    def encode_run(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a run, as of text_buffer(), and the number of ids before each row (n + 1)."""
+        starts, ends, _ = T.word_bounds(data, offsets)
+        letters, bars = (np.concatenate(([0], np.cumsum(x))) for x in (_LETTER[data], data == ord("|")))
+        last = data[ends - 1]
+        stop = ends[((last == ord(".")) | (last == ord(","))) & (letters[ends] - letters[starts] == ends - starts - 1) & (ends - starts > 1)] - 1
+        starts, ends = np.sort(np.concatenate((starts, stop))), np.sort(np.concatenate((ends, stop)))
+        lower = T.LOWER[data]
+        for k in np.flatnonzero(bars[ends] > bars[starts]).tolist():
+            lower[starts[k] : ends[k]] = data[starts[k] : ends[k]]
+        h = T.prefix_hash(lower)
+        _, inv = T.powers(len(data) + 1)
+        h = T.mix((h[ends] - h[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+        code, keys = pd.factorize(h)
+        if len(self.keys) > CACHE_WORDS:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            where = np.empty(len(keys), np.int64)
+            where[code[::-1]] = np.arange(len(code))[::-1]  # where each stands first
+            self._learn(keys[new], [data[starts[k] : ends[k]].tobytes() for k in where[new].tolist()])
+            at = np.searchsorted(self.keys, keys)
+        at = at[code]
+        size, first = self.size[at], self.first[at]
+        before = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(first - before[:-1], size) + np.arange(before[-1])]
+        return ids, before[np.searchsorted(starts, offsets)]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for i in range(0, len(texts), 256):
-            part = texts[i : i + 256]
-            words = [None if any(c in t for c in _NOT_SPACE) else t.split() for t in part]
-            if len(self.forms) > CACHE_FORMS:
-                self.forms = {}
-            self._learn(set().union(*(ws for ws in words if ws)).difference(self.forms))
-            get = self.forms.__getitem__
-            for t, ws in zip(part, words, strict=True):
-                yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if ws is None else b"".join(map(get, ws))
+        data, offsets = T.text_buffer(pa.array(texts, pa.large_string()))
+        for i, j in T.runs(offsets, RUN_BYTES):
+            ids, at = self.encode_run(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                yield ids[x:y].astype("<u4").tobytes()
 
 
 class SumOfSquares:
@@ -146,7 +181,7 @@ class SumOfSquares:
         return full + [w for ws in self.levels.values() for w in ws]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, open_windows: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, open_windows: int = 4096) -> DataFrame:
     """Pieces of all documents: doc_id, start (tokens of the document before it), length, ids_crc32, doc_tokens, sequence_id, offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,18 +203,22 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names)
 
         for b in batches:
-            found: list[tuple] = []
-            ids_of = tokens.encode(b.column(1).fill_null("").to_pylist())
-            for doc, ids in zip(b.column(0).to_pylist(), ids_of, strict=True):
-                ids += end
-                total, start = len(ids) // 4, 0
-                while total - start >= size:
-                    found += rows([[(doc, start, ids[4 * start : 4 * (start + size)], total)]])
-                    start += size
-                if start < total:
-                    found += rows(bins.place((doc, start, ids[4 * start :], total), total - start))
-            if found:
-                yield out(found)
+            data, offsets = T.text_buffer(b.column(1))
+            docs_of = b.column(0).to_pylist()
+            for i, j in T.runs(offsets, RUN_BYTES):
+                found: list[tuple] = []
+                flat, at = tokens.encode_run(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                flat, at = flat.astype("<u4", copy=False), at.tolist()
+                for doc, x, y in zip(docs_of[i:j], at[:-1], at[1:], strict=True):
+                    ids = flat[x:y].tobytes() + end
+                    total, start = len(ids) // 4, 0
+                    while total - start >= size:
+                        found += rows([[(doc, start, ids[4 * start : 4 * (start + size)], total)]])
+                        start += size
+                    if start < total:
+                        found += rows(bins.place((doc, start, ids[4 * start :], total), total - start))
+                if found:
+                    yield out(found)
         if found := list(rows(bins.rest())):
             yield out(found)
 

@@ -26,8 +26,39 @@ def test_token_ids_equal_direct_encoding():
     assert [np.frombuffer(x, "<u4").tolist() for x in t.encode(texts)] == want
 
 
+def test_token_ids_of_all_kinds_of_characters():
+    """Words of characters of every class, before stops and commas too, cut by white space of all kinds."""
+    r = np.random.default_rng(12)
+    pools = [[chr(c) for c in range(32, 127)], [chr(c) for c in range(0xA0, 0x250)], list("İıßΣςσΑάǅﬁ½²ªº"), [chr(c) for c in (0x300, 0x301, 0x307, 0x328, 0x1E9B, 0x323)], list("漢字かなカナ한글एकعربي"), list("😀👍🏽\u200d\u00ad\ufeff"),
+             [chr(c) for c in (0, 9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x2003, 0x2028, 0x3000)], list(".,'|<>-"), ["<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'LL", "|A", "|a"], list("abcXYZ")]
+    texts = ["".join(pools[k][r.integers(len(pools[k]))] for k in r.integers(0, len(pools), r.integers(1, 14))) + str(r.choice(["", ".", ",", " x"])) for _ in range(20_000)]
+    t = packing.WordTokenizer(BPE)
+    want = [e.ids for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    bad = [(x, w) for x, g, w in zip(texts, t.encode(texts), want, strict=True) if np.frombuffer(g, "<u4").tolist() != w]
+    assert not bad, bad[:3]
+
+
+def test_packing_query_checks_every_piece(spark):
+    from mediaframe.llm.queries import op6_packing
+
+    sf = "/root/testdata/sf0.001"
+    rows, by_seq, by_doc = _checked(op6_packing(spark, sf).collect(), 2048)
+    t = packing.WordTokenizer(BPE).tokenizer
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert set(by_doc) == set(docs)
+    ids = {d: np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4") for d, x in docs.items()}
+    for r in rows:
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    for d, ps in by_doc.items():
+        ps.sort()
+        assert [s for s, *_ in ps] == np.cumsum([0, *(n for _, n, _ in ps)])[:-1].tolist() and sum(n for _, n, _ in ps) == len(ids[d])
+
+
 def _packed(df, size, open_windows=4):
-    rows = packing.pack(df, BPE, size=size, open_windows=open_windows).collect()
+    return _checked(packing.pack(df, BPE, size=size, open_windows=open_windows).collect(), size)
+
+
+def _checked(rows, size):
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
         by_seq[r.sequence_id].append((r.offset, r.length))
