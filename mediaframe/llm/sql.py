@@ -42,19 +42,22 @@ SELECT l.* EXCLUDE (rid, sh, seats, exact, base, remaining), base + coalesce(won
 
 
 _BEFORE = "CASE WHEN blocks = 0 THEN 0 ELSE (({x} // 64 + turn) * extra // blocks) * 64 + ({x} % 64) * ((({x} // 64 + turn + 1) * extra // blocks) - (({x} // 64 + turn) * extra // blocks)) END"
-MIX = rf"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_WORDS})), 0) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+MIX = rf"""WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_WORDS})), 0) AS BIGINT) AS size, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(ceil(count(*) / 2048.0) AS BIGINT) AS shards FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS rank FROM s0), s2 AS (SELECT *, ([5, 2, 1])[rank % 3 + 1]::DOUBLE AS w FROM s1),
 s3 AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w, coalesce(sum(source_size) OVER (ORDER BY source_size / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fl, coalesce(sum(w) OVER (ORDER BY source_size / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fw FROM s2),
 s4 AS (SELECT *, (total - 3.0 * fl) / (all_w - fw) AS level FROM s3), s5 AS (SELECT *, w * level > 3.0 * source_size AS capped FROM s4), s6 AS (SELECT *, (SELECT arg_min(level, (source_size / w, rank)) FROM s5 WHERE NOT capped) AS free FROM s5),
-s AS (SELECT source, source_size, shards, rank, CAST(CASE WHEN capped THEN 3.0 * source_size ELSE w * free END AS DOUBLE) AS target FROM s6),
-sq AS {_apportion("s", "", "target", "floor(sum(source_size) OVER () / 64 + 0.5)", "rank")},
+s7 AS (SELECT source, source_size, shards, rank, CAST(CASE WHEN capped THEN 3.0 * source_size ELSE w * free END AS DOUBLE) AS target FROM s6),
+s8 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM s7), s AS (SELECT *, target - passes * source_size AS rest FROM s8),
+sq AS {_apportion("s", "", "rest", "floor(sum(rest) OVER () / 64 + 0.5)", "rank")},
 e AS (SELECT d.*, sq.* EXCLUDE (source), CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard FROM d JOIN sq ON d.source IS NOT DISTINCT FROM sq.source),
-ln AS (SELECT *, sum(size) OVER (PARTITION BY rank, shard ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS line_end FROM e),
-h AS (SELECT rank, shard, sum(size) AS shard_size, any_value(quota) AS source_quota FROM e GROUP BY rank, shard), hq AS {_apportion("h", "rank", "shard_size", "source_quota", "rank, shard")},
+ln AS (SELECT *, sum(size) OVER (PARTITION BY rank, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) AS line_end FROM e),
+h AS (SELECT rank, shard, shard // 4096 AS grp, sum(size) AS shard_size, any_value(quota) AS source_quota FROM e GROUP BY rank, shard),
+g AS (SELECT rank, grp, sum(shard_size) AS group_size, any_value(source_quota) AS source_quota FROM h GROUP BY rank, grp), gq AS {_apportion("g", "rank", "group_size", "source_quota", "rank, grp")},
+h2 AS (SELECT h.*, gq.quota AS group_quota FROM h JOIN gq ON h.rank = gq.rank AND h.grp = gq.grp), hq AS {_apportion("h2", "rank, grp", "shard_size", "group_quota", "rank, shard")},
 hb AS (SELECT rank, shard, CAST(ceil(shard_size / 64.0) AS BIGINT) AS blocks, quota, CAST('0x' || substr(md5('mix-1:' || rank || ':' || shard), 1, 6) AS BIGINT) AS t FROM hq),
-hh AS (SELECT rank, shard, blocks, CASE WHEN blocks > 0 THEN least(quota, 3 * blocks) // blocks ELSE 0 END AS passes, CASE WHEN blocks > 0 THEN least(quota, 3 * blocks) % blocks ELSE 0 END AS extra, CASE WHEN blocks > 0 THEN t % blocks ELSE 0 END AS turn FROM hb),
-a AS (SELECT ln.*, CAST(line_end AS BIGINT) AS y, CAST(line_end - size AS BIGINT) AS x, blocks, passes, extra, turn FROM ln JOIN hh USING (rank, shard))
+hh AS (SELECT rank, shard, blocks, least(quota, blocks) AS extra, CASE WHEN blocks > 0 THEN t % blocks ELSE 0 END AS turn FROM hb),
+a AS (SELECT ln.*, CAST(line_end AS BIGINT) AS y, CAST(line_end - size AS BIGINT) AS x, blocks, extra, turn FROM ln JOIN hh USING (rank, shard))
 SELECT doc_id, size, source_size, target, CAST(passes * size + {_BEFORE.replace("{x}", "y")} - {_BEFORE.replace("{x}", "x")} AS BIGINT) AS taken FROM a"""
 
 ORACLES: dict[str, str] = {"op1_line_dedup": LINES, "op2_near_vectors": VECTORS, "op5_jaccard_join": JACCARD, "op7_mixing": MIX}

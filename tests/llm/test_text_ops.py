@@ -148,6 +148,39 @@ def test_mix(odd, spark):
     assert sorted(map(str, m)) == sorted(map(str, again))
 
 
+def _clashing(spark):
+    texts = [" ".join(f"w{k * i % 97}" for k in range(20 + 7 * i)) for i in range(9)]
+    rows = [(i % 3 if i % 4 else None, t, f"s{i % 2}", 5, "x") for i, t in enumerate(texts) for _ in range(1 + i % 3)] + [(1, None, None, None, None), (1, "", "s1", 0, None)] * 2
+    return spark.createDataFrame(rows * 2, "doc_id long, text string, source string, size long, taken string").withColumns({c: F.lit(i) for i, c in enumerate(("turn", "_id", "passes", "extra", "blocks", "line_start", "key", "rank"))})
+
+
+def test_mix_of_repeated_and_null_ids_in_any_order(spark):
+    """The same rows in several orders and partitions give the same mix, and as many words come out as are taken."""
+    df = _clashing(spark)
+    show = lambda x, cols: sorted(map(str, x.select(*cols).collect()))
+    first = mixing.mix(df)
+    want, texts = show(first, ["doc_id", "size", "target", "taken"]), None
+    taken = first.agg(F.sum("taken"), F.sum(F.when(F.col("taken") > 0, 1))).first()
+    assert first.count() == df.count() and first.where("taken > 3 * size").count() == 0
+    for k in range(3):
+        again = df.repartition(k + 2).orderBy(F.rand(k))
+        assert show(mixing.mix(again), ["doc_id", "size", "target", "taken"]) == want
+        out = mixing.mixed_texts(again)
+        assert out.columns == df.columns
+        assert out.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))), F.count(F.lit(1))).first()[:] == taken[:]
+        texts = texts or show(out, df.columns)
+        assert show(out, df.columns) == texts
+
+
+@pytest.mark.parametrize("group", [1, 2, 4096])
+def test_sources_come_near_their_targets(spark, group):
+    rows = [(i, " ".join(["w"] * (5 + i % 40)), f"s{0 if i % 3 else i % 7}") for i in range(400)] + [(1000, "a b c d e f g h i j", "tiny"), (1001, "w " * 70, "small")]
+    m = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_docs=64, group=group)
+    for r in m.groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.countDistinct("shard").alias("n")).collect():
+        assert abs(r.target - r.taken) <= 64 * (r.n + 1), r
+    assert m.where("doc_id = 1001").first().taken == 3 * 70
+
+
 @pytest.mark.parametrize("sizes", [[10], [10, 1, 1], [1, 100, 100, 2], [5, 5, 5, 1000], [0, 3, 0, 9]])
 def test_targets_share_all_sizes(spark, sizes):
     rows = spark.createDataFrame([(f"s{i}" if i else None, n) for i, n in enumerate(sizes)], "source string, source_size long")
