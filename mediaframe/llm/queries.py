@@ -38,7 +38,11 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mediaframe.llm.repeats import remove_repeats
 
-    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+    held: list[DataFrame] = []
+    out = checkpointed(remove_repeats(read_table(spark, sf_dir, "documents"), held=held).drop("kept"))
+    for df in held:
+        df.unpersist()
+    return out
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

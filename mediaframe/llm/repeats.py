@@ -9,13 +9,17 @@ Different regions of a gram are indexed: the regions of a bucket of grams form o
 Burrows-Wheeler transform is built with suffix positions sampled at both ends of every run. The longest match of a
 position with its neighbour in suffix order is computed only at run ends; elsewhere it is one less than at the position
 before, so streaming over the text gives the matching statistics of all positions, and those of 200 or more are marked.
-Where a gram has more than `most` different regions (the edges of a passage that very many documents share), it and the
-grams around it are chosen last in a second round, so that strings at the passage's edges choose grams of their own and
-those inside have equal regions. A gram that still has more than `most` different regions is dealt over chunks, each indexed on its own; strings that repeat within no
-chunk are then compared across chunks by hash, one row a chunk and string, added up before the shuffle.
+A gram with more than `most` different regions (the edges of a passage that very many documents share) is dealt over
+chunks, each indexed on its own; strings that repeat within no chunk are then compared across chunks by hash, one row a
+chunk and string, added up before the shuffle. So no gram's regions meet in one task, however many they are, and the work
+stays in proportion to their text.
 
-Nulls: a null text is empty (no bytes). Repeated rows are documents of their own, so their long strings repeat; extra
-columns are ignored; an empty table gives an empty result.
+Documents are told apart by 128 bits of hashes of doc_id and text, so rows alike in both share their marks. Texts are
+shuffled once: they are kept by that key for cutting out regions and for removing what is found.
+
+Nulls: a null text is empty (no bytes); a null doc_id is a value like any other. Repeated rows are documents of their own,
+so their long strings repeat; extra columns are ignored, whatever their names; a text longer than a run is a run of its
+own, so memory grows with the longest text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.llm import _text as T
-from mediaframe.llm._spark import checkpointed
+from mediaframe.llm._spark import by_merging, checkpointed
 
 GRAM = 32
 BUCKET_BYTES = 1 << 19
 
 
-def regions(data: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Document, start in it, number of strings, gram hash and content hash of each region of the texts. Grams in hot (sorted) are chosen only by strings without others."""
+def regions(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Document, start in it, number of strings, gram hash and content hash of each region of the texts."""
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
@@ -46,12 +50,6 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int, hot: np.ndarray
     gram = T.mix((pre[GRAM:] - pre[:-GRAM]) * inv[: len(data) - GRAM + 1])
     bits = np.uint64(len(data).bit_length())
     rank = gram >> np.uint64(1)
-    if hot is not None and len(hot):
-        seen = np.zeros(1 << 20, bool)
-        seen[hot & np.uint64((1 << 20) - 1)] = True
-        may = np.flatnonzero(seen[gram & np.uint64((1 << 20) - 1)])
-        k = np.minimum(np.searchsorted(hot, gram[may]), len(hot) - 1)
-        rank[may[hot[k] == gram[may]]] |= np.uint64(1 << 63)
     key = rank >> bits << bits | np.arange(len(gram), dtype=np.uint64)
     span, low = length - GRAM + 1, key
     have = 1
@@ -103,15 +101,17 @@ class RunLengthIndex:
         new = np.concatenate(([0], np.cumsum((a[1:] != a[:-1]) | (left[order[1:]] < 7))))  # those with a mark stand alone, in the marks' order
         rank, have = np.empty(n, np.int64), 7
         rank[order] = new
-        while new[-1] < n - 1 and have <= depth:  # ranks by the first `have` symbols, doubled
-            nxt = np.zeros(n, np.int64)
-            nxt[: n - have] = rank[have:] + 1
-            key = rank * (n + 1) + nxt
+        parts = 3 if n < 1 << 20 else 2  # ranks by the first `have` symbols, of which as many as fit make the next key
+        while new[-1] < n - 1 and have <= depth:
+            key = rank
+            for k in range(1, parts):
+                key = key * (n + 1)
+                key[: max(0, n - k * have)] += rank[k * have :] + 1
             order = np.argsort(key)
             a = key[order]
             new = np.concatenate(([0], np.cumsum(a[1:] != a[:-1])))
             rank[order] = new
-            have *= 2
+            have *= parts
         last = text[order - 1]  # the transform
         head = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
         tail = np.append(head[1:], n) - 1
@@ -155,13 +155,16 @@ def _spans(starts: np.ndarray) -> bytes:
     return np.stack((starts[first], np.diff(np.append(first, len(starts)))), 1).astype(np.int32).tobytes()
 
 
-def _occurrences(length: int, hot=None):
+def _occurrences(length: int):
+    """Rows of the regions of each text: the key k, k2, start and number of strings in one number, gram and content hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offsets = T.text_buffer(b.column(1))
+            data, offsets = T.text_buffer(b.column(2))
             for i, j in T.runs(offsets, 2 << 20):
-                doc, start, count, gram, text = regions(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, None if hot is None else hot.value)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc + i)), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(gram), pa.array(text)], ["k", "start", "n", "gram", "text"])
+                doc, start, count, gram, text = regions(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
+                at = pa.array(doc + i)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(start << 32 | count), pa.array(gram), pa.array(text)], ["k", "k2", "at", "gram", "text"])
 
     return run
 
@@ -224,63 +227,40 @@ def _removed(length: int):
     return run
 
 
-def _hot_grams(key: DataFrame, region: DataFrame, per: DataFrame, length: int, most: int) -> np.ndarray:
-    """The grams around those with more than `most` different regions, of about eight regions each; at most the 2**14 hottest are looked at. Any list gives the same result, as it only sets which gram a string chooses."""
-    top = per.where(F.col("r") > most).orderBy(F.desc("r"), "gram").limit(1 << 14).select("gram")
-    some = region.where(F.col("r") > most).where(F.pmod(F.xxhash64("text", F.lit(2)), F.ceil(F.col("r") / 8)) == 0).join(top, "gram", "left_semi")
-    some = some.select("at.k", F.struct("gram", "text", F.lit(0).alias("chunk"), F.lit(False).alias("many"), "at.start", "at.n").alias("x"))
-    cut = key.join(some.groupBy("k").agg(F.collect_list("x").alias("asked")), "k").select("text", "asked").mapInArrow(_cut(length), "gram long, text long, chunk int, many boolean, body binary")
-
-    def grams(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for body in g.body:
-            pre = T.prefix_hash(np.frombuffer(body, np.uint8))
-            _, inv = T.powers(len(body) + 1)
-            found.append(np.unique(T.mix((pre[GRAM:] - pre[:-GRAM]) * inv[: len(body) - GRAM + 1])))
-        h, n = np.unique(np.concatenate(found), return_counts=True)
-        return pd.DataFrame({"g": [h[n >= min(2, len(found))].tobytes()]})
-
-    rows = cut.groupBy("gram").applyInPandas(grams, "g binary").collect()  # at most 2**14 rows of a few kB
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.g, np.uint64) for r in rows)]))
-
-
-def remove_repeats(docs: DataFrame, length: int = 200, most: int = 512) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is the text's bytes without those in a string of length bytes that starts anywhere else too."""
-    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))  # rows alike share marks
-    key = docs.select("k", "text")
-
-    def found_regions(hot=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-        occ = key.mapInArrow(_occurrences(length, hot), "k long, start int, n int, gram long, text long")
-        each = occ.groupBy("gram", "text").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "start", "n")).alias("at"))
-        many = each.groupBy("gram").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("r"), F.sum(F.col("at.n") + length).alias("b")).where("g > 1")
-        region = checkpointed(each.join(many, "gram"))
-        return occ, region, region.where("r > 1").groupBy("gram").agg(F.first("r").alias("r"), F.first("b").alias("b"))
-
-    occ, region, per = found_regions()
-    hot = _hot_grams(key, region, per, length, most)
-    if len(hot):
-        occ, region, per = found_regions(docs.sparkSession.sparkContext.broadcast(hot))
-    size = per.agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first().b
+def remove_repeats(docs: DataFrame, length: int = 200, most: int = 512, held: list | None = None) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): kept is the text's bytes without those in a string of length bytes that starts anywhere else too. What is kept in memory or on disk until the result is written is added to held, to be unpersisted then."""
+    docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"), F.xxhash64("text", "doc_id", F.lit(1)).alias("k2"))
+    keyed = docs.repartition("k", "k2").persist()
+    if held is not None:
+        held.append(keyed)
+    occ = docs.select("k", "k2", "text").mapInArrow(_occurrences(length), "k long, k2 long, at long, gram long, text long")
+    each = occ.groupBy("gram", "text").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "k2", "at")).alias("one"))
+    place = lambda x: [F.shiftrightunsigned(x, 32).cast("int").alias("start"), F.col(x).bitwiseAND(0xFFFFFFFF).cast("int").alias("n")]
+    each = each.select("gram", "text", "c", "one.k", "one.k2", *place("one.at"))
+    many = each.groupBy("gram").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("r"), F.sum(F.col("n") + length).alias("b")).where("g > 1").drop("g")
+    region = checkpointed(each.join(many, "gram"))
+    size = region.where("r > 1").agg(F.coalesce(F.sum(F.col("n") + length), F.lit(0)).alias("b")).first().b
     buckets = max(1, int(size // BUCKET_BYTES))
     chunk = F.when(F.col("r") > most, F.pmod(F.xxhash64("text", F.lit(1)), F.ceil(F.col("r") / most))).otherwise(0).cast("int")
-    ask = region.where("r > 1").select("gram", "text", chunk.alias("chunk"), (F.col("r") > most).alias("many"), "at.k", "at.start", "at.n")
-    asked = ask.groupBy("k").agg(F.collect_list(F.struct("gram", "text", "chunk", "many", "start", "n")).alias("asked"))
-    cut = key.join(asked, "k").select("text", "asked").mapInArrow(_cut(length), "gram long, text long, chunk int, many boolean, body binary")
+    ask = region.where("r > 1").select("k", "k2", F.struct("gram", "text", chunk.alias("chunk"), (F.col("r") > most).alias("many"), "start", "n").alias("x"))
+    asked = ask.groupBy("k", "k2").agg(F.collect_list("x").alias("asked"))
+    # rows alike in doc_id and text are cut once: the regions asked for are those of one of them
+    cut = keyed.dropDuplicates(["k", "k2"]).join(asked, ["k", "k2"]).select("text", "asked").mapInArrow(_cut(length), "gram long, text long, chunk int, many boolean, body binary")
     # grams in one chunk share buckets of about the same size; each chunk of the others has a bucket of its own
     bucket = F.when(F.col("many"), F.xxhash64("gram", "chunk")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(buckets)))
     marks = checkpointed(cut.groupBy(bucket.alias("bucket")).applyInPandas(_indexed(length), "gram long, text long, chunk int, spans binary, rest binary"))
-    spans = marks.select("gram", "text", "spans")
     strings = marks.where("rest is not null").select("gram", "text", "chunk", "rest").mapInArrow(_strings, "gram long, text long, chunk int, at int, h long")
     shared = strings.select("gram", "h", "chunk").distinct().groupBy("gram", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("gram", "h")
     across = strings.join(shared, ["gram", "h"]).select("gram", "text", F.array(F.struct(F.col("at").alias("s"), F.lit(1).alias("n"))).alias("spans"))
-    pairs = lambda it: (_unpacked(b) for b in it)
-    inside = spans.mapInArrow(pairs, "gram long, text long, spans array<struct<s:int,n:int>>").where(F.size("spans") > 0)
-    copies = region.where("c > 1").select("gram", "text", F.array(F.struct(F.lit(0).alias("s"), F.col("at.n").alias("n"))).alias("spans"))
-    found = copies.union(inside).union(across).groupBy("gram", "text").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    mine = occ.join(found, ["gram", "text"]).select("k", F.expr("transform(spans, x -> struct(start + x.s as s, x.n as n))").alias("spans"))
-    mine = mine.groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    inside = marks.select("gram", "text", "spans").mapInArrow(lambda it: (_unpacked(b) for b in it), "gram long, text long, spans array<struct<s:int,n:int>>").where(F.size("spans") > 0)
+    copies = region.where("c > 1").select("gram", "text", F.array(F.struct(F.lit(0).alias("s"), F.col("n"))).alias("spans"))
+    # written, so that the join below deals both sides anew and a region that very many documents share is split
+    found = checkpointed(copies.union(inside).union(across).groupBy("gram", "text").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    mine = occ.join(by_merging(found), ["gram", "text"]).select("k", "k2", *place("at")[:1], "spans")
+    mine = mine.select("k", "k2", F.expr("transform(spans, x -> struct(start + x.s as s, x.n as n))").alias("spans"))
+    mine = mine.groupBy("k", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.join(mine, "k", "left").select("doc_id", "text", "spans")
+    out = keyed.join(by_merging(mine), ["k", "k2"], "left").select("doc_id", "text", "spans")
     return out.mapInArrow(_removed(length), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

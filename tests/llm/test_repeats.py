@@ -51,3 +51,25 @@ def test_index_equals_brute_force():
         for n in (1, 3, 8):
             c = Counter(x[k : k + n] for x in s for k in range(len(x) - n + 1))
             assert [m.tolist() for m in i.marked(n)] == [[k for k in range(len(x) - n + 1) if c[x[k : k + n]] > 1] for x in s]
+
+
+def test_query_on_the_fixture(spark):
+    from mediaframe.llm.queries import op4_repeats
+
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    got = {r.doc_id: tuple(r)[1:] for r in op4_repeats(spark, d).collect()}
+    want = brute([(r.text or "").encode() for r in docs])
+    assert got == {r.doc_id: w for r, w in zip(docs, want, strict=True)}
+    assert sum(w[1] > 0 for w in want) > 5
+
+
+def test_rows_alike_null_ids_and_long_texts(spark):
+    r = np.random.default_rng(2)
+    long = "".join("abcdefgh "[k] for k in r.integers(0, 9, 3_000_000))  # longer than a run
+    some = long[70_000:70_400]
+    rows = [(1, long), (2, "q" + some), (2, "q" + some), (None, some[:250]), (None, some[:250]), (None, None), (3, some[10:209])]
+    df = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], "doc_id long, text string, k int, gram int, spans int")
+    got = sorted((tuple(x)[:5] for x in R.remove_repeats(df).collect()), key=str)
+    want = brute([(t or "").encode() for _, t in rows])
+    assert got == sorted(((d, *w) for (d, _), w in zip(rows, want, strict=True)), key=str)
