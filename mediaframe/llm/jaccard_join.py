@@ -11,8 +11,8 @@ the classes that its bounds leave, then decides them on the whole sets and retur
 
 Two classes are compared only if their distances from the region's pivot, where known, differ by at most 1 - t (triangle
 inequality), and if the region's shingle can be their first common one: each must have enough shingles from there on, as
-nothing before is common. A pair is first tested by counts of shingles in as many buckets as the sets are long (their L1
-distance is at most the symmetric difference); what passes is decided on the whole sets.
+nothing before is common. A pair is first tested by parities of the counts of shingles in hashed buckets, a bit each (those
+that differ are at most the symmetric difference); what passes is decided on the whole sets.
 
 Nulls and ties: a null or empty text, or one without words, has the empty set and links with nothing. Rows that repeat are
 documents of their own; a null doc_id takes part but never is a component's number unless alone (then null). Extra columns
@@ -54,21 +54,23 @@ def class_ids(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> bytes:
-    """Counts of shingles in a power of two of buckets, at most as many as there are shingles."""
-    m = 1 << (len(s).bit_length() - 1)
-    return np.minimum(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m), 255).astype(np.uint8).tobytes()
+    """Parities of the counts of shingles in 4 to 8 buckets a shingle, a bit each, their number a power of two."""
+    m = 8 << (len(s).bit_length() - 1)
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(bool)).tobytes()
+
+
+def _halved(x: np.ndarray, size: int) -> np.ndarray:
+    """The signature of the same set in so many bytes: where buckets fall together, parities add up."""
+    return np.bitwise_xor.reduce(x.reshape(-1, size), 0)
 
 
 def may_link(a: bytes, b: bytes, n: int, k: int) -> bool:
-    """False only if sets of n and k shingles with these signatures are surely less similar than 3/4."""
+    """False only if sets of n and k shingles with these signatures are surely less similar than 3/4: parities that differ are at most as many as shingles in one set alone."""
     if NUM * max(n, k) > DEN * min(n, k):
         return False
-    x, y = np.frombuffer(a, np.uint8).astype(np.int64), np.frombuffer(b, np.uint8).astype(np.int64)
-    if x.max() == 255 or y.max() == 255:
-        return True  # a full bucket can't be folded
-    if len(x) > len(y):
-        x, y = y, x
-    return (DEN + NUM) * int(np.abs(x - y.reshape(-1, len(x)).sum(0)).sum()) <= (DEN - NUM) * (n + k)
+    size = min(len(a), len(b))
+    x, y = (_halved(np.frombuffer(v, np.uint8), size) for v in (a, b))
+    return (DEN + NUM) * int(np.bitwise_count(x ^ y).sum()) <= (DEN - NUM) * (n + k)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -198,9 +200,8 @@ def _near_pairs(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
     """Rows of a group of region blocks (their places in g) that can be links: labels differ, neither is the region's pivot, sizes, places and distances from the pivot are within their bounds, and so are the signatures."""
     n, rest, label, own, star = (g[k].to_numpy() for k in ("n", "rest", "label", "own", "star"))
     d0 = g.d0.to_numpy(np.float64)
-    sig = [np.frombuffer(x, np.uint8).astype(np.int32) for x in g.sig]
+    sig = [np.frombuffer(x, np.uint8) for x in g.sig]
     length = np.array([len(x) for x in sig])
-    full = np.array([x.max() == 255 for x in sig])
     for (_, i, j), at in g.groupby(["s", "i", "j"]).indices.items():
         left = at[(own[at] == i) & ~star[at]]
         right = left if i == j else at[(own[at] == j) & ~star[at]]
@@ -216,11 +217,11 @@ def _near_pairs(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
             for m in np.unique(short).tolist():
                 u, v = a[short == m], b[short == m]
                 ids, back = np.unique(np.concatenate((u, v)), return_inverse=True)
-                folded = np.stack([sig[r].reshape(-1, m).sum(0) for r in ids])
+                folded = np.stack([_halved(sig[r], m) for r in ids])
                 for q in range(0, len(u), 4096):
                     x, y = u[q : q + 4096], v[q : q + 4096]
-                    apart = np.abs(folded[back[q : q + len(x)]] - folded[back[len(u) + q : len(u) + q + len(x)]]).sum(1)
-                    near = ((DEN + NUM) * apart <= (DEN - NUM) * (n[x] + n[y])) | full[x] | full[y]
+                    apart = np.bitwise_count(folded[back[q : q + len(x)]] ^ folded[back[len(u) + q : len(u) + q + len(x)]]).sum(1, dtype=np.int64)
+                    near = (DEN + NUM) * apart <= (DEN - NUM) * (n[x] + n[y])
                     yield from zip(x[near].tolist(), y[near].tolist(), strict=True)
 
 
