@@ -9,7 +9,9 @@ Different regions of a gram are indexed: the regions of a bucket of grams form o
 Burrows-Wheeler transform is built with suffix positions sampled at both ends of every run. The longest match of a
 position with its neighbour in suffix order is computed only at run ends; elsewhere it is one less than at the position
 before, so streaming over the text gives the matching statistics of all positions, and those of 200 or more are marked.
-A gram with more than `most` different regions (the edges of a passage that very many documents share) is dealt over
+Where a gram has more than `most` different regions (the edges of a passage that very many documents share), their strings
+choose again, taking the grams that several of these regions hold last: strings at the passage's edges then choose grams
+of their own, and those inside have equal regions. A gram that still has more than `most` different regions is dealt over
 chunks, each indexed on its own; strings that repeat within no chunk are then compared across chunks by hash, one row a
 chunk and string, added up before the shuffle. So no gram's regions meet in one task, however many they are, and the work
 stays in proportion to their text.
@@ -40,8 +42,8 @@ GRAM = 32
 BUCKET_BYTES = 1 << 19
 
 
-def regions(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Document, start in it, number of strings, gram hash and content hash of each region of the texts."""
+def regions(data: np.ndarray, offsets: np.ndarray, length: int, common: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Document, start in it, number of strings, gram hash and content hash of each region of the texts. Grams in common (sorted) are chosen only by strings without others."""
     n = len(data) - length + 1
     if n <= 0:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
@@ -50,6 +52,9 @@ def regions(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     gram = T.mix((pre[GRAM:] - pre[:-GRAM]) * inv[: len(data) - GRAM + 1])
     bits = np.uint64(len(data).bit_length())
     rank = gram >> np.uint64(1)
+    if common is not None and len(common):
+        at = np.minimum(np.searchsorted(common, gram), len(common) - 1)
+        rank[common[at] == gram] |= np.uint64(1 << 63)
     key = rank >> bits << bits | np.arange(len(gram), dtype=np.uint64)
     span, low = length - GRAM + 1, key
     have = 1
@@ -170,7 +175,7 @@ def _occurrences(length: int):
 
 
 def _cut(length: int):
-    """Rows (bucket key columns, region bytes) of the asked regions of each text."""
+    """Rows (gram, text, chunk, many, region bytes) of the asked regions of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -183,6 +188,40 @@ def _cut(length: int):
     return run
 
 
+def _common_grams(bodies: DataFrame) -> np.ndarray:
+    """The grams that several of about eight regions hold, for each gram of bodies, the 2**14 with most regions at most. Any list gives the same result, as it only sets which grams strings choose."""
+    top = bodies.groupBy("gram").agg(F.first("r").alias("r")).orderBy(F.desc("r"), "gram").limit(1 << 14).select("gram")
+    some = bodies.where(F.pmod(F.xxhash64("text", F.lit(2)), F.ceil(F.col("r") / 8)) == 0).join(F.broadcast(top), "gram", "left_semi").select("gram", "body")
+
+    def grams(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for body in g.body:
+            pre = T.prefix_hash(np.frombuffer(body, np.uint8))
+            _, inv = T.powers(len(body) + 1)
+            found.append(np.unique(T.mix((pre[GRAM:] - pre[:-GRAM]) * inv[: len(body) - GRAM + 1])))
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        return pd.DataFrame({"g": [h[n >= min(2, len(found))].tobytes()]})
+
+    rows = some.groupBy("gram").applyInPandas(grams, "g binary").toLocalIterator()  # at most 2**14 rows of a few kB
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.g, np.uint64) for r in rows)]))
+
+
+def _chosen_again(length: int, common):
+    """Regions (gram2, text2, their start and number of strings) within each region's bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bodies = b.column(5).to_pylist()
+            for k in range(0, len(bodies), 4096):
+                part = bodies[k : k + 4096]
+                offsets = np.concatenate(([0], np.cumsum([len(x) for x in part])))
+                row, start, count, gram, text = regions(np.frombuffer(b"".join(part), np.uint8), offsets, length, common.value)
+                kept = b.select(range(5)).take(pa.array(row + k))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(gram), pa.array(text), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], [*kept.schema.names, "gram2", "text2", "start2", "n2"])
+
+    return run
+
+
 def _indexed(length: int):
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         """spans: strings that repeat within the bucket; rest: for grams in several chunks, the hash and place of each different string."""
@@ -238,14 +277,30 @@ def remove_repeats(docs: DataFrame, length: int = 200, most: int = 512, held: li
     place = lambda x: [F.shiftrightunsigned(x, 32).cast("int").alias("start"), F.col(x).bitwiseAND(0xFFFFFFFF).cast("int").alias("n")]
     each = each.select("gram", "text", "c", "one.k", "one.k2", *place("one.at"))
     many = each.groupBy("gram").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("r"), F.sum(F.col("n") + length).alias("b")).where("g > 1").drop("g")
-    region = checkpointed(each.join(many, "gram"))
+    first = checkpointed(each.join(many, "gram"))
+
+    def cut_out(ask: DataFrame) -> DataFrame:
+        """ask: gram, text, chunk, many, k, k2, start, n. Rows alike in doc_id and text are cut once."""
+        asked = ask.groupBy("k", "k2").agg(F.collect_list(F.struct("gram", "text", "chunk", "many", "start", "n")).alias("asked"))
+        return keyed.dropDuplicates(["k", "k2"]).join(asked, ["k", "k2"]).select("text", "asked").mapInArrow(_cut(length), "gram long, text long, chunk int, many boolean, body binary")
+
+    names = ["gram", "text", "c", "k", "k2", "start", "n", "r", "b"]
+    region, again = first.select(names), None
+    if not first.where(F.col("r") > most).isEmpty():
+        crowd = first.where(F.col("r") > most)
+        bodies = cut_out(crowd.withColumns({"chunk": F.lit(0), "many": F.lit(False)})).select("gram", "text", "body")
+        bodies = checkpointed(bodies.join(by_merging(crowd.select("gram", "text", "c", "k", "k2", "start", "r")), ["gram", "text"]))
+        common = docs.sparkSession.sparkContext.broadcast(_common_grams(bodies))
+        cells = bodies.select("gram", "text", "c", F.struct("k", "k2").alias("key"), "start", "body")
+        again = checkpointed(cells.mapInArrow(_chosen_again(length, common), "gram long, text long, c long, key struct<k:long,k2:long>, start int, gram2 long, text2 long, start2 int, n2 int").withColumn("gram2", F.xxhash64("gram", "gram2")))
+        each = again.groupBy("gram2", "text2").agg(F.sum("c").alias("c"), F.min(F.struct("key", (F.col("start") + F.col("start2")).alias("start"), "n2")).alias("one"))
+        each = each.select(F.col("gram2").alias("gram"), F.col("text2").alias("text"), "c", "one.key.*", "one.start", F.col("one.n2").alias("n"))
+        many = each.groupBy("gram").agg(F.sum("c").alias("g"), F.count(F.lit(1)).alias("r"), F.sum(F.col("n") + length).alias("b")).where("g > 1").drop("g")
+        region = checkpointed(region.where(F.col("r") <= most).union(each.join(many, "gram").select(names)))
     size = region.where("r > 1").agg(F.coalesce(F.sum(F.col("n") + length), F.lit(0)).alias("b")).first().b
     buckets = max(1, int(size // BUCKET_BYTES))
     chunk = F.when(F.col("r") > most, F.pmod(F.xxhash64("text", F.lit(1)), F.ceil(F.col("r") / most))).otherwise(0).cast("int")
-    ask = region.where("r > 1").select("k", "k2", F.struct("gram", "text", chunk.alias("chunk"), (F.col("r") > most).alias("many"), "start", "n").alias("x"))
-    asked = ask.groupBy("k", "k2").agg(F.collect_list("x").alias("asked"))
-    # rows alike in doc_id and text are cut once: the regions asked for are those of one of them
-    cut = keyed.dropDuplicates(["k", "k2"]).join(asked, ["k", "k2"]).select("text", "asked").mapInArrow(_cut(length), "gram long, text long, chunk int, many boolean, body binary")
+    cut = cut_out(region.where("r > 1").select("gram", "text", chunk.alias("chunk"), (F.col("r") > most).alias("many"), "k", "k2", "start", "n"))
     # grams in one chunk share buckets of about the same size; each chunk of the others has a bucket of its own
     bucket = F.when(F.col("many"), F.xxhash64("gram", "chunk")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(buckets)))
     marks = checkpointed(cut.groupBy(bucket.alias("bucket")).applyInPandas(_indexed(length), "gram long, text long, chunk int, spans binary, rest binary"))
@@ -255,7 +310,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, most: int = 512, held: li
     inside = marks.select("gram", "text", "spans").mapInArrow(lambda it: (_unpacked(b) for b in it), "gram long, text long, spans array<struct<s:int,n:int>>").where(F.size("spans") > 0)
     copies = region.where("c > 1").select("gram", "text", F.array(F.struct(F.lit(0).alias("s"), F.col("n"))).alias("spans"))
     # written, so that the join below deals both sides anew and a region that very many documents share is split
-    found = checkpointed(copies.union(inside).union(across).groupBy("gram", "text").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    found = copies.union(inside).union(across)
+    if again is not None:  # what was found in regions chosen again goes back to the regions that they lie in
+        back = again.select(F.col("gram2").alias("gram"), F.col("text2").alias("text"), F.struct("gram", "text").alias("of"), "start2").join(by_merging(found), ["gram", "text"])
+        back = back.select("of.gram", "of.text", F.expr("transform(spans, x -> struct(start2 + x.s as s, x.n as n))").alias("spans"))
+        found = found.union(back)
+    found = checkpointed(found.groupBy("gram", "text").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     mine = occ.join(by_merging(found), ["gram", "text"]).select("k", "k2", *place("at")[:1], "spans")
     mine = mine.select("k", "k2", F.expr("transform(spans, x -> struct(start + x.s as s, x.n as n))").alias("spans"))
     mine = mine.groupBy("k", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
