@@ -40,9 +40,9 @@ from mediaframe.llm._spark import checkpointed
 START, END, TYPES = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD1B54A32D192ED03))
 LEVELS = np.array(sorted({m << k for m in (4, 5, 6, 7) for k in range(60)} | {1, 2, 3}), np.float64)
 SEGMENT_BYTES = 4 << 20
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 19
 #: Keys that a task adds up before it sends them; parts by which waves are cut.
-ENTRIES, PARTS = 3 << 19, 4096
+ENTRIES, PARTS = 1 << 19, 4096
 _HIGH = np.uint64(0xFFFFFFFF00000000)
 _K = np.uint64(0x9E6C63D0876A9A35)
 
@@ -228,8 +228,8 @@ def _segment(keys: np.ndarray, shift: np.uint64, low: int, high: int) -> np.ndar
     return (seg >= low) & (seg < high)
 
 
-def scored(docs: DataFrame, model: dict) -> DataFrame:
-    """Adds _lm_tokens, _lm_known, _lm_base (base score), _lm_score and _lm_train_tokens to docs (which have a column text)."""
+def scored(docs: DataFrame, model: dict, keep_text: bool = True) -> DataFrame:
+    """Adds _lm_tokens, _lm_known, _lm_base (base score), _lm_score and _lm_train_tokens to docs (which have a column text, left out of the result if not to be kept)."""
     sc = docs.sparkSession.sparkContext
     names = docs.columns
     at_text = names.index("text")
@@ -240,9 +240,10 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
     for low, high, *sizes in waves:
         wave = sc.broadcast(_wave(model, low, high, *sizes))
         last = low == waves[-1][0]
-        names_now = [*names, *(a for a in added if not (last and a == "_lm_levels"))]
+        kept = [k for k, x in enumerate(names) if keep_text or not last or k != at_text]
+        names_now = [*(names[k] for k in kept), *(a for a in added if not (last and a == "_lm_levels"))]
 
-        def run(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high, wave=wave, last: bool = last, names_now: list = names_now) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], low: int = low, high: int = high, wave=wave, last: bool = last, kept: list = kept, names_now: list = names_now) -> Iterator[pa.RecordBatch]:
             words, first, sizes, keys, counts = wave.value
             f = Filter(words, first, int(shift), low, sizes)
             for b in batches:
@@ -290,9 +291,9 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
                     new = [pa.array(x) for x in (np.diff(at), known, base, score)]
                     if not last:
                         new.append(pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((3 * at).astype(np.int32)), pa.py_buffer(levels)]))
-                    yield pa.RecordBatch.from_arrays([*rows.columns[: len(names)], *new], names_now)
+                    yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in kept), *new], names_now)
 
-        out = out.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(a, added[a]) for a in names_now[len(names) :])]))
+        out = out.mapInArrow(run, StructType([*(docs.schema.fields[k] for k in kept), *(StructField(a, added[a]) for a in names_now[len(kept) :])]))
         if not last:
             out = checkpointed(out)
             wave.destroy()

@@ -69,7 +69,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(F.expr(HELD_OUT) == 1, F.lit(False))
     model = fit(docs.where(~held_out))
-    s = scored(docs, model)
+    s = scored(docs, model, keep_text=False)
     out = checkpointed(s.select("doc_id", held_out.alias("held_out"), F.col("_lm_tokens").alias("n_tokens"), F.col("_lm_known").alias("n_known"), F.col("_lm_train_tokens").alias("train_tokens"), F.col("_lm_base").alias("base_score"), F.col("_lm_score").alias("score")))
     release(model)
     return out
