@@ -38,8 +38,10 @@ NUM, DEN = 3, 4  # the similarity, 0.75
 HOT_SHARE, HOT_LEAST, HOT_MOST = 1 << 14, 8, 1 << 19
 SEGMENT_BYTES = 4 << 20
 #: Entries of regions that a task packs together; rows of ids (16 bytes each) that are broadcast at most, beyond which they are joined by shuffling.
-ENTRIES, BROADCAST_ROWS = 1 << 20, 1 << 20
-PIVOT_PAIRS = 512
+ENTRIES, BROADCAST_ROWS = 1 << 18, 1 << 20
+PIVOT_PAIRS, GROUP_ROWS = 512, 1 << 15
+#: Shingles of a task that are counted together for the order.
+COUNTED = 3 << 18
 _END = np.uint64(0xB5297A4D2C1B3E6F)
 
 
@@ -76,23 +78,33 @@ def may_link(a: bytes, b: bytes, n: int, k: int) -> bool:
 def _runs(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for b in batches:
         data, offsets = T.text_buffer(b.column(at))
-        for i, j in T.runs(offsets, 4 << 20):
+        for i, j in T.runs(offsets, 1 << 20):
             yield b.slice(i, j - i), T.shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and one a run with the shingles that it holds more than once and their counts."""
-    for b, sets in _runs(batches, 1):
-        n = [len(s) for s in sets]
-        s = np.sort(np.concatenate(sets))
+    """A row for each document, and one for about COUNTED shingles with those among them that are there more than once and their counts."""
+    names, types = ["doc_id", "n", "c", "sig", "hot", "hot_n"], (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    kept, waiting = [], 0
+
+    def often() -> pa.RecordBatch:
+        s = np.sort(np.concatenate(kept))
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(s)))
-        often = count > 1
-        doc = [*b.column(0).to_pylist(), None]
-        sig = [signature(x) if len(x) else None for x in sets] + [None]
-        hot = [None] * len(n)
-        cols = (pa.array(doc, pa.int64()), pa.array([*n, -1], pa.int64()), pa.array([*class_ids(sets).tolist(), None], pa.int64()), pa.array(sig, pa.binary()))
-        yield pa.RecordBatch.from_arrays([*cols, pa.array([*hot, s[first][often].tobytes()], pa.binary()), pa.array([*hot, count[often].astype(np.uint32).tobytes()], pa.binary())], ["doc_id", "n", "c", "sig", "hot", "hot_n"])
+        row = (None, -1, None, None, s[first][count > 1].tobytes(), count[count > 1].astype(np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
+
+    for b, sets in _runs(batches, 1):
+        none = [None] * len(sets)
+        cols = (b.column(0).to_pylist(), [len(s) for s in sets], class_ids(sets).tolist(), [signature(x) if len(x) else None for x in sets], none, none)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names)
+        kept += sets
+        waiting += sum(map(len, sets))
+        if waiting >= COUNTED:
+            yield often()
+            kept, waiting = [], 0
+    if kept:
+        yield often()
 
 
 def _hot(described: DataFrame, n_docs: int) -> np.ndarray:
@@ -196,11 +208,11 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(common, pa.int64()), pa.array(union, pa.int64())], ["a", "b", "common", "all"])
 
 
-def _near_pairs(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
+def _near_pairs(g: pd.DataFrame, signatures: dict[int, bytes]) -> Iterator[tuple[int, int]]:
     """Rows of a group of region blocks (their places in g) that can be links: labels differ, neither is the region's pivot, sizes, places and distances from the pivot are within their bounds, and so are the signatures."""
     n, rest, label, own, star = (g[k].to_numpy() for k in ("n", "rest", "label", "own", "star"))
     d0 = g.d0.to_numpy(np.float64)
-    sig = [np.frombuffer(x, np.uint8) for x in g.sig]
+    sig = [np.frombuffer(signatures[c], np.uint8) for c in g.c.tolist()]
     length = np.array([len(x) for x in sig])
     for (_, i, j), at in g.groupby(["s", "i", "j"]).indices.items():
         left = at[(own[at] == i) & ~star[at]]
@@ -225,31 +237,35 @@ def _near_pairs(g: pd.DataFrame) -> Iterator[tuple[int, int]]:
                     yield from zip(x[near].tolist(), y[near].tolist(), strict=True)
 
 
-def _asked(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
+def _asked(_: tuple, g: pd.DataFrame, described: pd.DataFrame) -> pd.DataFrame:
     """The rows of a group whose sets are needed to decide its pairs."""
-    at = sorted({r for pair in _near_pairs(g) for r in pair})
+    at = sorted({r for pair in _near_pairs(g, dict(zip(described.c, described.sig, strict=True))) for r in pair})
     return g.iloc[at]
 
 
-def _joined(_: tuple, g: pd.DataFrame) -> pd.DataFrame:
+def _joined(_: tuple, g: pd.DataFrame, fetched: pd.DataFrame) -> pd.DataFrame:
     """Links between labels of a group, as many as join what its links join."""
-    sets = [np.frombuffer(x, np.uint64) for x in g.members]
+    sets = {c: np.frombuffer(x, np.uint64) for c, x in zip(fetched.c, fetched.members, strict=True)}
     root = {x: x for x in g.label.unique().tolist()}
-    label = g.label.tolist()
+    label, c = g.label.tolist(), g.c.tolist()
 
     def top(x: int) -> int:
         while root[x] != x:
             root[x] = x = root[root[x]]
         return x
 
-    out = []
-    for a, b in _near_pairs(g):
+    out, apart = [], set()
+    for a, b in _near_pairs(g, {k: signature(x) for k, x in sets.items()}):
         x, y = top(label[a]), top(label[b])
-        if x != y:
-            k = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if k * DEN >= (len(sets[a]) + len(sets[b]) - k) * NUM:
+        pair = (min(c[a], c[b]), max(c[a], c[b]))
+        if x != y and pair not in apart:
+            p, q = sets[c[a]], sets[c[b]]
+            k = len(np.intersect1d(p, q, assume_unique=True))
+            if k * DEN >= (len(p) + len(q) - k) * NUM:
                 root[max(x, y)] = min(x, y)
                 out.append((label[a], label[b]))
+            else:
+                apart.add(pair)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -319,16 +335,22 @@ def near_documents(docs: DataFrame, direct: int = 8, block: int = 1024) -> DataF
         r = of_regions(r, several).where("k > 2").select("s", "k", "c", "n", "rest", "label", F.col("pivot.c").alias("p"), (F.col("c") == F.col("pivot.c")).alias("star"))
         r, left = sized(r)
     if n_regions and left:
-        r = r.join(by_merging(far), ["c", "p"], "left").join(by_merging(classes.select("c", "sig")), "c")
+        # small regions with the same pivot share most classes, so they meet in one group, which fetches each class once;
+        # groups are of GROUP_ROWS or so at most, and each pair of blocks of a larger region is a group of its own
+        of_pivot = r.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("m")).where("m > 1")
+        r = r.join(by_merging(far), ["c", "p"], "left").join(by_merging(of_pivot), "p", "left")
         blocks = F.ceil(F.col("k") / block).cast("int")
         r = r.withColumn("own", F.pmod(F.xxhash64("c", F.lit(2)), blocks).cast("int"))
         r = r.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        bucket = F.when(blocks == 1, F.pmod(F.xxhash64("s"), F.lit(-(-left // block)))).otherwise(F.xxhash64("s", "i", "j"))
-        r = r.select(bucket.alias("g"), "s", "i", "j", "own", "c", "n", "rest", "label", "star", "d0", "sig")
-        asked, n_asked = sized(r.groupBy("g").applyInPandas(_asked, r.schema))
+        shared = F.pmod(F.xxhash64("p", F.pmod(F.xxhash64("s"), F.coalesce("m", F.lit(1)))), F.lit(-(-left // block)))
+        r = r.select(F.when(blocks == 1, shared).otherwise(F.xxhash64("s", "i", "j")).alias("g"), "s", "i", "j", "own", "c", "n", "rest", "label", "star", "d0")
+        r, _ = sized(r)
+        described_in = r.select("g", "c").distinct().join(by_merging(classes.select("c", "sig")), "c").select(F.col("g").alias("h"), F.col("c").alias("c"), F.col("sig").alias("sig"))
+        asked, n_asked = sized(r.groupBy("g").cogroup(described_in.groupBy("h")).applyInPandas(_asked, r.schema))
         if n_asked:
             sets = fetched(asked.select("c"))
-            found = asked.join(by_merging(sets), "c").groupBy("g").applyInPandas(_joined, "a long, b long")
+            fetched_in = asked.select("g", "c").distinct().join(by_merging(sets), "c").select(F.col("g").alias("h"), F.col("c").alias("c"), F.col("members").alias("members"))
+            found = asked.groupBy("g").cogroup(fetched_in.groupBy("h")).applyInPandas(_joined, "a long, b long")
             moved = components(found).toDF("component", "to")
             sets.unpersist()
             nodes = moved.select(F.col("component").alias("node")).join(by_merging(labels), "node", "left_anti").select("node", F.col("node").alias("component"))
