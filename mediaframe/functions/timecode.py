@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,26 +34,41 @@ def parse_fps(c: Column | str) -> Column:
     return F.when((fps > 0) & (fps < float("inf")), fps)
 
 
+_PART = r"\s*[+-]?[0-9]+\s*"
+TIMECODE = f"^{_PART}:{_PART}:{_PART}:{_PART}$"
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once a row; a plain reference would be copied wherever f names it, and nested copies multiply."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parts(tc: Column | str) -> Column:
-    """The four whole numbers of a timecode, or null."""
-    p = F.split(strip(tc), ":", -1)
-    n = F.transform(p, lambda x: F.when(x.rlike(r"^\s*[+-]?[0-9]+\s*$"), x.try_cast("bigint")))
-    return F.when((F.size(p) == 4) & F.forall(n, lambda x: x.isNotNull()), n)
+    """The four whole numbers of a timecode (null where one is too large), or null."""
+    return bound(_c(tc), lambda t: F.when(t.rlike(TIMECODE), F.array(*[F.split_part(t, F.lit(":"), F.lit(i)).try_cast("bigint") for i in (1, 2, 3, 4)])))
 
 
 def timecode_to_frames(tc: Column | str, fps: Column | float = 24.0, check: bool = True, strict: bool = False) -> Column:
     """Frame number; null (an error if strict) when the timecode is malformed or, with check, its frames reach the rate."""
-    p, fps = parts(tc), F.lit(fps)
-    total = ((p[0] * 3600 + p[1] * 60 + p[2]) * fps + p[3]).cast("bigint")
-    out = F.when(p[3] < fps, total) if check else total
+    fps = F.lit(fps)
+
+    def frames(p: Column) -> Column:
+        total = ((p[0] * 3600 + p[1] * 60 + p[2]) * fps + p[3]).cast("bigint")
+        return F.when(p[3] < fps, total) if check else total
+
+    out = bound(parts(tc), frames)
     return F.coalesce(out, F.raise_error(F.concat(F.lit("Invalid timecode: "), F.coalesce(_c(tc), F.lit("")))).cast("bigint")) if strict else out
 
 
 def frames_to_timecode(frames: Column | str, fps: Column | float = 24.0) -> Column:
-    n, fps = _c(frames), F.lit(fps)
-    sec = n / fps
+    fps = F.lit(fps)
     long = lambda x: x.cast("bigint")
-    return F.when(n.isNotNull(), F.format_string("%02d:%02d:%02d:%02d", long(F.floor(sec / 3600)), long(F.floor(F.pmod(sec, F.lit(3600.0)) / 60)), long(F.pmod(sec, F.lit(60.0))), long(F.pmod(n.cast("double"), fps.cast("double")))))
+
+    def text(n: Column) -> Column:
+        sec = n / fps
+        return F.when(n.isNotNull(), F.format_string("%02d:%02d:%02d:%02d", long(F.floor(sec / 3600)), long(F.floor(F.pmod(sec, F.lit(3600.0)) / 60)), long(F.pmod(sec, F.lit(60.0))), long(F.pmod(n.cast("double"), fps.cast("double")))))
+
+    return bound(_c(frames), text)
 
 
 def frames_to_seconds(frames: Column | str, fps: Column | float = 24.0) -> Column:
@@ -70,8 +87,7 @@ def recompute_duration(start: Column, end: Column, fps: float) -> Column:
 
 
 def timecode_to_seconds(tc: Column | str, fps: float = 24.0) -> Column:
-    p = parts(tc)
-    return p[0] * 3600 + p[1] * 60 + p[2] + p[3] / F.lit(fps)
+    return bound(parts(tc), lambda p: p[0] * 3600 + p[1] * 60 + p[2] + p[3] / F.lit(fps))
 
 
 def clip_bounds(start: Column | str, end: Column | str, fps: float = 24.0) -> dict[str, Column]:

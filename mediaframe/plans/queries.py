@@ -87,7 +87,7 @@ def timecode_convert_time(spark, d):
 
 def _spots(spark, d):
     bad = F.when(F.col("event_id") % 17 == 0, "").when(F.col("event_id") % 19 == 0, "aa:bb:cc:dd")
-    return _events(spark, d).select("event_id", "event_type", F.coalesce(bad, TC.frames_to_timecode(_frame())).alias("start"), TC.frames_to_timecode(_frame() + F.col("event_id") % 100).alias("end"), F.lit("x").alias("duration"))
+    return _events(spark, d).select("event_id", "user_id", "event_type", F.coalesce(bad, TC.frames_to_timecode(_frame())).alias("start"), TC.frames_to_timecode(_frame() + F.col("event_id") % 100).alias("end"), F.lit("x").alias("duration"))
 
 
 @query(f"""WITH {E}, f AS (SELECT event_id, event_type, {_FRAME} AS f, {_FRAME} + event_id % 100 AS g FROM e),
@@ -96,17 +96,17 @@ x AS (SELECT *, CAST(trunc({_parts_sql('a')} * {FILM_SQL} + CAST(split_part(a, '
 SELECT event_id, CASE WHEN event_id % 17 = 0 THEN '' ELSE a END AS "start", CASE WHEN event_id % 17 = 0 THEN {_tc_sql('g')} ELSE b END AS "end", CASE WHEN event_id % 17 = 0 THEN 'x' ELSE {_tc_sql('fb - fa', FILM_SQL)} END AS duration, event_id % 17 <> 0 AS converted
 FROM x WHERE event_id % 17 = 0 OR event_id % 19 <> 0""")
 def spots_convert(spark, d):
-    return P.convert_spots(_spots(spark, d), 24.0, TC.FILM, "start", "end", "duration").drop("event_type")
+    return P.convert_spots(_spots(spark, d), 24.0, TC.FILM, "start", "end", "duration").drop("user_id", "event_type")
 
 
 @query(f"""WITH {E}, f AS (SELECT event_id, user_id, event_type, {_FRAME} AS f, {_FRAME} + event_id % 100 AS g FROM e WHERE event_id % 17 <> 0),
 s AS (SELECT *, CASE WHEN event_id % 19 = 0 THEN 'aa:bb:cc:dd' ELSE {_tc_sql('f')} END AS "start", {_tc_sql('g')} AS "end", CASE WHEN event_id % 19 = 0 THEN 0 ELSE f END AS sort_frame FROM f),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id, "start", "end" ORDER BY sort_frame, event_id) AS k FROM s),
 t AS (SELECT *, CASE WHEN k > 1 THEN 'duplicate' WHEN event_id % 19 = 0 THEN 'invalid' ELSE 'planned' END AS status FROM n),
-i AS (SELECT *, CASE WHEN status = 'planned' THEN row_number() OVER (PARTITION BY user_id, status ORDER BY sort_frame, event_id) END AS idx, CASE WHEN event_type LIKE '%critical%' OR event_type LIKE '%error%' AND FALSE THEN 'CRIT' WHEN event_type LIKE '%edge%' THEN 'EDGE' ELSE 'VUB' END AS code FROM t)
+i AS (SELECT *, CASE WHEN status = 'planned' THEN row_number() OVER (PARTITION BY user_id, status ORDER BY sort_frame, event_id) END AS idx, CASE WHEN event_type LIKE '%critical%' THEN 'CRIT' WHEN event_type LIKE '%edge%' THEN 'EDGE' ELSE 'VUB' END AS code FROM t)
 SELECT user_id, event_id, status, CAST(idx AS BIGINT) AS idx, code, CASE WHEN event_id % 19 <> 0 THEN g - f END AS frames, CASE WHEN status = 'planned' THEN printf('SHOW_%04d_%s_%s_%s.mov', idx, code, replace("start", ':', '-'), replace("end", ':', '-')) END AS clip FROM i""")
 def shots_plan(spark, d):
-    s = _events(spark, d).join(_spots(spark, d).drop("event_type", "duration"), "event_id").withColumn("_ord", F.col("event_id"))
+    s = _spots(spark, d).drop("duration").withColumn("_ord", F.col("event_id"))
     p = P.plan_shots(s, "SHOW", "start", "end", "event_type", "event_type", partition=["user_id"])
     return p.select("user_id", "event_id", "status", F.col("index").cast("long").alias("idx"), "code", "frames", "clip")
 
@@ -434,16 +434,16 @@ def fps_parse(spark, d):
     return _t(spark, d, "part").select("p_partkey", TC.parse_fps(s).alias("fps"))
 
 
-@query(f"WITH {E}, f AS (SELECT event_id, {_FRAME} AS f, {_FRAME} + event_id % 100 - 20 AS g FROM e WHERE us > 1000000000) SELECT event_id, f AS start_frame, g - f AS frames, round(f / 24.0, 6) AS start_sec, round((g - f) / 24.0, 6) AS duration_sec, round(CAST(trunc((f // 24) * {FILM_SQL} + f % 24) AS BIGINT) / {FILM_SQL}, 5) AS film_start FROM f")
+@query(f"WITH {E}, f AS (SELECT event_id, {_FRAME} AS f, {_FRAME} + event_id % 100 - 20 AS g FROM e) SELECT event_id, f AS start_frame, g - f AS frames, round(f / 24.0, 6) AS start_sec, round((g - f) / 24.0, 6) AS duration_sec, round(CAST(trunc((f // 24) * {FILM_SQL} + f % 24) AS BIGINT) / {FILM_SQL}, 5) AS film_start FROM f")
 def clip_bounds(spark, d):
-    e = _events(spark, d).where("us > 1000000000").select("event_id", TC.frames_to_timecode(_frame()).alias("a"), TC.frames_to_timecode(_frame() + F.col("event_id") % 100 - 20).alias("b"))
+    e = _events(spark, d).select("event_id", TC.frames_to_timecode(_frame()).alias("a"), TC.frames_to_timecode(_frame() + F.col("event_id") % 100 - 20).alias("b"))
     c = TC.clip_bounds("a", "b")
-    return e.where("b not like '-%'").select("event_id", c["start_frame"].alias("start_frame"), c["frames"].alias("frames"), F.round(c["start_sec"], 6).alias("start_sec"), F.round(c["duration_sec"], 6).alias("duration_sec"), F.round(TC.clip_bounds_fractional("a", "b")["start_sec"], 5).alias("film_start"))
+    return e.select("event_id", c["start_frame"].alias("start_frame"), c["frames"].alias("frames"), F.round(c["start_sec"], 6).alias("start_sec"), F.round(c["duration_sec"], 6).alias("duration_sec"), F.round(TC.clip_bounds_fractional("a", "b")["start_sec"], 5).alias("film_start"))
 
 
-@query("SELECT event_id, printf('%02d:%02d:%06.3f', CAST(floor(s / 3600) AS BIGINT), CAST(floor((s % 3600) / 60) AS BIGINT), s % 60) AS t FROM (SELECT event_id, round(value * 1000, 2) + 0.0001 AS s FROM events WHERE value >= 0)")
+@query("SELECT event_id, printf('%02d:%02d:%06.3f', CAST(floor(s / 3600) AS BIGINT), CAST(floor((s - 3600 * floor(s / 3600)) / 60) AS BIGINT), s - 60 * floor(s / 60)) AS t FROM (SELECT event_id, round(value * 1000, 2) + 0.0001 AS s FROM events)")
 def duration_format(spark, d):
-    return _t(spark, d, "events").where("value >= 0").select("event_id", TC.format_duration(F.round(F.col("value") * 1000, 2) + 0.0001).alias("t"))
+    return _t(spark, d, "events").select("event_id", TC.format_duration(F.round(F.col("value") * 1000, 2) + 0.0001).alias("t"))
 
 
 @query(f"WITH {E}, f AS (SELECT event_id, {_FRAME} AS f FROM e) SELECT event_id, round(CASE WHEN event_id % 2 = 0 THEN f / 24.0 ELSE f // 24 END, 6) AS sec FROM f")
