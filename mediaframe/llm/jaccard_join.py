@@ -285,7 +285,8 @@ def near_documents(docs: DataFrame, direct: int = 8, block: int = 1024) -> DataF
     pivot = F.min_by(F.struct("c", "n", "rest"), F.xxhash64("c")).alias("pivot")
     regions = member.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("c")).alias("x"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("y"), pivot).where("k > 1")
     regions = regions.groupBy("kind", "k", "x", "y").agg(F.min_by(F.struct("s", "pivot"), "s").alias("r")).select("kind", "k", "r.s", "r.pivot")
-    regions, n_regions = sized(regions)
+    of_pivot = regions.groupBy("pivot.c").agg(F.ceil(F.sum("k") / GROUP_ROWS).alias("m")).select(F.col("c").alias("p"), "m")  # groups for a pivot's regions
+    regions, n_regions = sized(regions.join(by_merging(of_pivot), F.col("pivot.c") == F.col("p")).drop("p"))
 
     def of_regions(member: DataFrame, table: DataFrame) -> DataFrame:
         """Members with their region's row; a hot region can be large, so its row, one of HOT_MOST at most, goes to the members."""
@@ -332,17 +333,16 @@ def near_documents(docs: DataFrame, direct: int = 8, block: int = 1024) -> DataF
         far = far.union(far.select("b", "a", "d0")).toDF("c", "p", "d0")
         r = of_regions(member, regions).join(by_merging(labels.toDF("c", "component")), "c", "left").withColumn("label", F.coalesce("component", "c"))
         several = r.groupBy("kind", "s").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("kind", "s")
-        r = of_regions(r, several).where("k > 2").select("s", "k", "c", "n", "rest", "label", F.col("pivot.c").alias("p"), (F.col("c") == F.col("pivot.c")).alias("star"))
+        r = of_regions(r, several).where("k > 2").select("s", "k", "m", "c", "n", "rest", "label", F.col("pivot.c").alias("p"), (F.col("c") == F.col("pivot.c")).alias("star"))
         r, left = sized(r)
     if n_regions and left:
         # small regions with the same pivot share most classes, so they meet in one group, which fetches each class once;
         # groups are of GROUP_ROWS or so at most, and each pair of blocks of a larger region is a group of its own
-        of_pivot = r.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / GROUP_ROWS).alias("m")).where("m > 1")
-        r = r.join(by_merging(far), ["c", "p"], "left").join(by_merging(of_pivot), "p", "left")
+        r = r.join(by_merging(far), ["c", "p"], "left")
         blocks = F.ceil(F.col("k") / block).cast("int")
         r = r.withColumn("own", F.pmod(F.xxhash64("c", F.lit(2)), blocks).cast("int"))
         r = r.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-        shared = F.pmod(F.xxhash64("p", F.pmod(F.xxhash64("s"), F.coalesce("m", F.lit(1)))), F.lit(-(-left // block)))
+        shared = F.pmod(F.xxhash64("p", F.pmod(F.xxhash64("s"), "m")), F.lit(-(-left // block)))
         r = r.select(F.when(blocks == 1, shared).otherwise(F.xxhash64("s", "i", "j")).alias("g"), "s", "i", "j", "own", "c", "n", "rest", "label", "star", "d0")
         r, _ = sized(r)
         described_in = r.select("g", "c").distinct().join(by_merging(classes.select("c", "sig")), "c").select(F.col("g").alias("h"), F.col("c").alias("c"), F.col("sig").alias("sig"))
