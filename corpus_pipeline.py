@@ -20,7 +20,7 @@ from mediaframe.llm._spark import checkpointed, read_table, row_hash
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; it is fitted on the labelled ones among them."""
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"))
-    return quality.scored(docs, model).where("_score >= 0.3").select(*docs.columns)
+    return quality.scored(docs, model).where("_qc_score >= 0.3").select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder that spark.checkpoint.dir names and cuts its lineage; a folder of our own only where none is named (local tests)."""
+    """Writes df to the shared folder that spark.checkpoint.dir names and cuts its lineage; a folder of our own only where none is named and all runs in this process (local tests)."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint()
 

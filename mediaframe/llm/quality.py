@@ -8,8 +8,10 @@ which that quantile stands at 0.3.
 Only features are inputs: never labels, lang, source or doc_id. At most `max_train` labelled rows (those first in a hashed
 order of ids) are used to fit; all rows are scored. Without rows of both labels every document gets the score 0.5.
 
-Nulls: a null text counts as empty; null labels are not used; a null doc_id is scored and never used to fit. Repeated rows
-are scored each. An empty table gives an empty result.
+Nulls: a null text counts as empty; null labels are not used; a null doc_id is scored and never used to fit. Of several
+labels of an id the least counts, of several texts of an id the one of least hash is used to fit. Repeated rows are scored
+each. Extra columns pass through (names that begin with `_qc_` are reserved). A text longer than a run is a run of its own,
+so memory grows with the longest text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -124,29 +126,30 @@ class PairModel:
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000) -> PairModel:
     """labels: doc_id and quality; rows whose crc32(doc_id as text) mod 5 is 0 are held out."""
     used = labels.where("quality in (0, 1) and doc_id is not null").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select(F.col("doc_id").alias("_id"), "quality")
-    used = used.dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
+    used = used.groupBy("_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _featured(b.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1).cast(pa.int32()), b.column(2)], ("x", "y", "id"))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1).cast(pa.int32()), *b.columns[2:]], ("x", "y", "id", "h"))
 
-    rows = docs.join(F.broadcast(used), F.col("doc_id") == F.col("_id")).select("text", "quality", F.col("_id").cast("long").alias("id"))
-    got = rows.mapInArrow(run, "x array<double>, y int, id long").dropDuplicates(["id"]).toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(used), F.col("doc_id") == F.col("_id"))  # max_train rows of two numbers
+    rows = rows.select("text", "quality", F.col("_id").cast("long").alias("id"), F.xxhash64("text").alias("h"))
+    got = rows.mapInArrow(run, "x array<double>, y int, id long, h long").groupBy("id").agg(F.min_by(F.struct("x", "y"), "h").alias("r")).select("r.x", "r.y", "id").toArrow()
     order = np.argsort(got["id"].to_numpy(), kind="stable")
     x = got["x"].combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)[order] if len(got) else np.zeros((0, N_FEATURES))
     return PairModel(x, got["y"].to_numpy()[order])
 
 
 def scored(docs: DataFrame, model: PairModel) -> DataFrame:
-    """docs with a column score, 0 to 1, higher for documents likelier to be labelled 1; other columns pass through."""
+    """docs with a column _qc_score, 0 to 1, higher for documents likelier to be labelled 1; other columns pass through."""
     names = docs.columns
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(_featured(b.column(at))))], [*b.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(_featured(b.column(at))))], [*b.schema.names, "_qc_score"])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_qc_score", DoubleType())]))

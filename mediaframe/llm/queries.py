@@ -80,7 +80,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     s = scored(docs, fit(docs, read_table(spark, sf_dir, "labels")))
-    return s.select("doc_id", F.coalesce(F.expr(HELD_OUT) == 0, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+    return s.select("doc_id", F.coalesce(F.expr(HELD_OUT) == 0, F.lit(False)).alias("held_out"), F.col("_qc_score").alias("score"), (F.col("_qc_score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:

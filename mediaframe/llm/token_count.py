@@ -5,8 +5,8 @@ its string surely begins with are popped, and the number of those pieces is prec
 only counts are added; no piece is built. A piece that begins with a blank starts a word, as each word is read with one
 blank before it; any other piece continues one. All single bytes must be pieces, so every word can be matched.
 
-Nulls: a null text counts as empty (no words, no tokens). Repeated rows are counted each; other columns are left out. An
-empty table gives an empty result.
+Nulls: a null text counts as empty (no words, no tokens). Repeated rows are counted each; other columns are left out. A
+text of any length is counted word by word. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,11 +92,21 @@ class WordCounts(dict):
         return n
 
 
+_known: dict[str, WordCounts] = {}
+
+
+def word_counts(vocabulary_path: str) -> WordCounts:
+    """The one of this worker process, with the automaton built and the words it knows already."""
+    if vocabulary_path not in _known:
+        _known[vocabulary_path] = WordCounts(LongestMatch(read_ranks(vocabulary_path)))
+    return _known[vocabulary_path]
+
+
 def count_tokens(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, n_bytes, n_words, n_tokens for every document; words are runs of bytes other than ASCII white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = WordCounts(LongestMatch(read_ranks(vocabulary_path)))
+        counts = word_counts(vocabulary_path)
         for b in batches:
             texts = b.column(1).fill_null("").cast(pa.binary())
             words, tokens, size = [], [], []

@@ -280,7 +280,18 @@ def test_quality_ranks_held_out_rows(spark):
 def test_quality_of_odd_rows(odd, spark):
     labels = spark.createDataFrame([(3, 1), (4, 0), (None, 1), (5, None)], "doc_id long, quality int")
     s = quality.scored(odd, quality.fit(odd, labels)).collect()
-    assert len(s) == len(ODD) + 2 and all(0 <= r._score <= 1 for r in s)
+    assert len(s) == len(ODD) + 2 and all(0 <= r._qc_score <= 1 for r in s)
     none = quality.scored(odd, quality.fit(odd, labels.limit(0)))
-    assert {r._score for r in none.collect()} == {0.5}
+    assert {r._qc_score for r in none.collect()} == {0.5}
     assert quality.scored(odd.limit(0), quality.fit(odd.limit(0), labels)).count() == 0
+
+
+def test_quality_of_repeated_ids_and_clashing_columns(spark):
+    """Several labels or texts of an id, and extra columns named like ours, give the same scores in any order of the rows."""
+    texts = ["Plain words stand in this line, and they read well enough.", "%% $$ || buy now 999 !!! click", "", "x"]
+    rows = [(i % 40, texts[i % 2] + " " + "abcdefg"[i % 7] * (i % 5), 1.0, 7, "z") for i in range(160)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _score double, quality int, _id string")
+    labels = spark.createDataFrame([(i, q) for i in range(40) for q in {i % 2, i % 3 % 2}], "doc_id long, quality int")
+    runs = [sorted((r.doc_id, r.text, round(r._qc_score, 9)) for r in quality.scored(d, quality.fit(d, lab)).collect()) for d, lab in ((df, labels), (df.orderBy(F.desc("text")).repartition(3), labels.orderBy(F.rand(1))))]
+    assert runs[0] == runs[1] and len(runs[0]) == 160
+    assert quality.scored(df, quality.fit(df, labels)).columns == [*df.columns, "_qc_score"]
