@@ -200,3 +200,15 @@ def cosine_distance(a, b, guard: float = 1e-10) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     a, b = _c(a), _c(b)
     return 1 - dot(a, b) / ((F.sqrt(dot(a, a)) + guard) * (F.sqrt(dot(b, b)) + guard))
+
+
+def match_pattern(path: Column | str, regex: str | None = None, glob: str | None = None) -> Column:
+    """True where the whole path holds the regular expression and the name after its last slash is of the form glob (`*` any characters, `?` one); null never matches."""
+    p = F.col(path) if isinstance(path, str) else path
+    out = F.lit(True)
+    if regex is not None:
+        out &= p.rlike(regex)
+    if glob is not None:
+        form = "".join({"*": ".*", "?": "."}.get(c) or (c if c.isalnum() else "\\" + c) for c in glob)
+        out &= F.substring_index(p, "/", -1).rlike(f"(?s)^{form}$")
+    return F.coalesce(out, F.lit(False))

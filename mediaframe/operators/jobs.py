@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.functions.text import backoff_seconds, missing_inputs
@@ -45,3 +45,9 @@ def retry_rounds(ledger: DataFrame, idx: str, failed, done, max_rounds: int) ->
     """Jobs without a success that failed fewer than max_rounds times, with the wait before their next round."""
     g = ledger.groupBy(idx).agg(F.count_if(failed).alias("attempts"), F.max(done).alias("_done"))
     return g.where(~F.coalesce("_done", F.lit(False)) & (F.col("attempts") > 0) & (F.col("attempts") < max_rounds)).select(idx, "attempts", backoff_seconds("attempts", kind="rounds").alias("wait_sec"))
+
+
+def max_attempts(ledger: DataFrame, idx: str, failed: Column, by: list | None = None) -> DataFrame:
+    """The most failed attempts of a job, over all jobs or for each value of by; 0 where none failed."""
+    each = ledger.groupBy(*(by or []), idx).agg(F.count_if(failed).alias("attempts"))
+    return each.groupBy(*(by or [])).agg(F.max("attempts").alias("max_attempts"))

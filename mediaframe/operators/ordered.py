@@ -114,3 +114,17 @@ def mean_vector(df: DataFrame, key: str, vec: str) -> DataFrame:
     """Element-wise means of each key's vectors, not normalised."""
     e = df.select(key, F.posexplode(vec).alias("_p", "_v")).groupBy(key, "_p").agg(F.avg(F.col("_v").cast("double")).alias("_v"))
     return e.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"]).alias(vec))
+
+
+def group_sizes(df: DataFrame, group: str, none: str = "no_face") -> DataFrame:
+    """Rows (group, n, grouped), largest group first, ties in group order; rows without a group are counted apart, as `none`, after all groups."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    grouped = F.col(group).isNotNull() & (F.col(group).cast("string") != none)
+    out = sizes.select(F.coalesce(F.col(group).cast("string"), F.lit(none)).alias("group"), "n", grouped.alias("grouped"))
+    out = out.groupBy("group", "grouped").agg(F.sum("n").alias("n"))
+    return out.orderBy(F.desc("grouped"), F.desc("n"), "group").select("group", "n", "grouped")
+
+
+def sorted_distinct(df: DataFrame, *keys: str) -> DataFrame:
+    """Each value of the keys once, in order."""
+    return df.select(*keys).distinct().orderBy(*keys)

@@ -321,7 +321,27 @@ def ext_counts(spark, d):
 
 @query(f"WITH {_NAMES} SELECT doc_id FROM n WHERE doc_id % 10 <> 0 AND regexp_matches(path, 'clip[0-9]*5')")
 def name_filter(spark, d):
-    return _names(spark, d).where(~X.is_hidden("path") & F.col("path").rlike("clip[0-9]*5")).select("doc_id")
+    return _names(spark, d).where(~X.is_hidden("path") & X.match_pattern("path", regex="clip[0-9]*5")).select("doc_id")
+
+
+@query(f"WITH {_NAMES} SELECT doc_id, path FROM n WHERE regexp_matches(split_part(path, '/', -1), '^clip.*[0-9].\\.m.*$')")
+def name_glob(spark, d):
+    return _names(spark, d).where(X.match_pattern("path", glob="clip*?.m*") & X.match_pattern("path", regex="clip.*[0-9].\\.m[^/]*$")).select("doc_id", "path")
+
+
+@query("SELECT coalesce(CAST(nullif(label, 0) AS VARCHAR), 'no_face') AS \"group\", count(*) AS n, coalesce(label, 0) <> 0 AS grouped FROM embeddings GROUP BY ALL")
+def group_sizes(spark, d):
+    return O.group_sizes(_t(spark, d, "embeddings").select(F.nullif("label", F.lit(0)).alias("label")), "label")
+
+
+@query("SELECT DISTINCT split_part(url, '/', 3) AS host FROM pages")
+def hosts_sorted_distinct(spark, d):
+    return O.sorted_distinct(_t(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("host")), "host")
+
+
+@query("SELECT event_type, CAST(max(n) AS BIGINT) AS max_attempts FROM (SELECT event_type, user_id, count(*) FILTER (value > 50) AS n FROM events GROUP BY ALL) GROUP BY event_type")
+def attempts_max(spark, d):
+    return J.max_attempts(_t(spark, d, "events"), "user_id", F.col("value") > 50, by=["event_type"])
 
 
 @query("""SELECT p_partkey, CASE WHEN f LIKE '%flt%' THEN 'pcm_f32le' WHEN b = 24 THEN 'pcm_s24le' WHEN b = 32 AND f LIKE '%s32%' THEN 'pcm_s32le' ELSE 'pcm_s16le' END AS scene,

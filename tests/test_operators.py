@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mediaframe.functions import text as X
 from mediaframe.functions import timecode as TC
+from mediaframe.operators import jobs as J
 from mediaframe.operators import ordered as O
 from mediaframe.operators import scenes as S
 from mediaframe.operators import similarity as V
@@ -111,3 +112,22 @@ def test_streams(spark, tmp_path):
     q = M.latest_job_state(stream.withColumn("url", F.lit("u")), "k", "t", "status", "url").writeStream.outputMode("complete").format("memory").queryName("states").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [r.state for r in spark.table("states").collect()] == ["completed"]
+
+
+def test_group_sizes_sorted_distinct_and_attempts(spark):
+    d = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2), ("c", 3), ("c", 4), (None, 5), ("no_face", 6), (None, 7)], "g string, k int")
+    assert [tuple(r) for r in O.group_sizes(d, "g").collect()] == [("a", 2, True), ("c", 2, True), ("b", 1, True), ("no_face", 3, False)]
+    assert [r.g for r in O.sorted_distinct(d.where("g is not null"), "g").collect()] == ["a", "b", "c", "no_face"]
+    assert J.max_attempts(d, "g", F.col("k") > 2).first().max_attempts == 2
+    assert O.group_sizes(d.limit(0), "g").count() == 0
+
+
+def test_patterns(spark):
+    names = ["/x/clip1.mov", "/x/clip.mov", "/clip1/a.mov", "/x/clip1.MOV", "/x/cl+p1.mov", None]
+    d = spark.createDataFrame([(n,) for n in names], "p string")
+    got = lambda **how: [r.p for r in d.where(X.match_pattern("p", **how)).collect()]
+    assert got(glob="clip?.mov") == names[:1]
+    assert got(glob="cl+*.m?v") == names[4:5]
+    assert got(regex="clip1") == [names[0], names[2], names[3]]
+    assert got(regex="clip1", glob="*.mov") == [names[0], names[2]]
+    assert got() == names[:5] + [None]
