@@ -155,12 +155,29 @@ def backoff_seconds(attempt, retry_after=None, kind: str = "request", http=None)
     return F.coalesce(F.when(_c(http) == 429, r) if http is not None else r, wait)
 
 
-def request_payload(video, audio, option, model: str, name=None) -> Column:
+def detection_options(detect: Column) -> Column:
+    """Options of a single request: automatic speaker detection, or none at all."""
+    return F.when(detect, F.struct(F.struct(F.lit(True).alias("auto_detect")).alias("active_speaker_detection")))
+
+
+def batch_options(detect: Column) -> Column:
+    """Options of a request of a batch, as they are fixed there; the speaker's only where asked for."""
+    return F.struct(F.lit("cut_off").alias("sync_mode"), F.lit(True).alias("occlusion_detection_enabled"), F.when(detect, True).alias("active_speaker"))
+
+
+def request_payload(video, audio, options: Column, model: str, name=None) -> Column:
+    """The JSON of a request; null options are left out."""
     items = F.array(F.struct(F.lit("video").alias("type"), _c(video).alias("url")), F.struct(F.lit("audio").alias("type"), _c(audio).alias("url")))
-    fields = [F.lit(model).alias("model"), items.alias("input"), F.when(option, F.struct(F.lit(True).alias("auto_detect"))).alias("options")]
+    fields = [F.lit(model).alias("model"), items.alias("input"), options.alias("options")]
     return F.to_json(F.struct(*fields, *([_c(name).alias("outputFileName")] if name is not None else [])))
 
 
+def upload_prefix(folder, stamp) -> Column:
+    """slug_YYYYMMDDHHMM of a folder's name ('upload' where nothing is left of it) and a time."""
+    name = slugify(basename(F.regexp_replace(_c(folder), "/+$", "")))
+    return F.concat(F.coalesce(F.nullif(name, F.lit("")), F.lit("upload")), F.lit("_"), F.date_format(_c(stamp), "yyyyMMddHHmm"))
+
+
 def remote_key(prefix, rel, mode: str = "flat") -> Column:
     return F.regexp_replace(F.concat(_c(prefix), F.lit("/"), basename(rel) if mode == "flat" else _c(rel)), "/{2,}", "/")
 

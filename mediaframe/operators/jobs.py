@@ -41,6 +41,19 @@ def expected_vs_actual(expected: DataFrame, actual: DataFrame, key: str) -> Data
     return d.withColumn("complete", F.col("actual") >= F.col("expected"))
 
 
+def name_conflicts(plan: DataFrame, inventory: DataFrame, target: str, name: str, folder: list) -> DataFrame:
+    """Adds holder: the file of the inventory that has a row's target name already in its folder, null where none has or the row itself does; other columns of the inventory follow as held_<column>."""
+    rest = [c for c in inventory.columns if c not in (name, *folder)]
+    h = inventory.select(*[F.col(f).alias(f"_at_{f}") for f in folder], F.col(name).alias("holder"), *[F.col(c).alias(f"held_{c}") for c in rest])
+    on = [F.col(f).eqNullSafe(F.col(f"_at_{f}")) for f in folder] + [F.col(target) == F.col("holder"), F.col(name) != F.col("holder")]
+    return plan.join(h, on, "left").drop(*[f"_at_{f}" for f in folder])
+
+
+def merge_outcomes(success: DataFrame, failure: DataFrame) -> DataFrame:
+    """Records of both kinds under one schema, fields that one of them lacks null; success says which."""
+    return success.withColumn("success", F.lit(True)).unionByName(failure.withColumn("success", F.lit(False)), allowMissingColumns=True)
+
+
 def retry_rounds(ledger: DataFrame, idx: str, failed, done, max_rounds: int) -> DataFrame:
     """Jobs without a success that failed fewer than max_rounds times, with the wait before their next round."""
     g = ledger.groupBy(idx).agg(F.count_if(failed).alias("attempts"), F.max(done).alias("_done"))

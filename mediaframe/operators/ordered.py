@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from mediaframe.functions import text as X
+from mediaframe.functions.timecode import timecode_to_frames
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder of the cluster (only a local session may go without one)."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return df.checkpoint()
 
 
 def with_ordinal(df: DataFrame, name: str = "_ord", order_by: list | None = None) -> DataFrame:
-    """Row positions from 0, by order_by or as the rows come; no step gathers all rows in one task."""
-    df = df.orderBy(*order_by) if order_by else df
-    schema = StructType([*df.schema.fields, StructField(name, LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(schema)
+    """Row positions from 0, by order_by or as the rows come; no step gathers all rows in one task. The rows are written to the checkpoint folder, so that their partitions stay as they are counted."""
+    d = kept(df.orderBy(*order_by) if order_by else df).withColumn("_place", F.monotonically_increasing_id())
+    part = F.shiftright("_place", 33)
+    sizes = d.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))  # a row a partition
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_start"))
+    at = F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return d.join(F.broadcast(starts), part == F.col("_part")).select(*df.columns, at.alias(name))
+
+
+def number_within(df: DataFrame, by: str, order: list, name: str = "n") -> DataFrame:
+    """Positions from 1 within each of a few large groups, by one sort over all rows; groups whose rows fit a task are for number_rows."""
+    d = with_ordinal(df, "_at", [by, *order])
+    first = d.groupBy(F.col(by).alias("_by")).agg(F.min("_at").alias("_first"))
+    return d.join(first, F.col(by).eqNullSafe(F.col("_by"))).select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias(name))
 
 
 def number_rows(df: DataFrame, partition: list, order: list, name: str = "n", start: int = 1) -> DataFrame:
@@ -76,6 +99,11 @@ def natural_sort(df: DataFrame, col: str) -> DataFrame:
     return df.orderBy(X.natural_sort_key(X.basename(col)), col)
 
 
+def sort_by_timecode(df: DataFrame, start: str, fps: float = 24.0, ordinal: str = "_ord") -> DataFrame:
+    """By start; timecodes that don't parse count as 0, ties keep their ordinal."""
+    return df.orderBy(F.coalesce(timecode_to_frames(start, fps), F.lit(0)), ordinal)
+
+
 def limit_by_ordinal(df: DataFrame, n: int | None, ordinal: str = "_ord") -> DataFrame:
     return df.where(F.col(ordinal) < n) if n else df
 

@@ -2,23 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.operators.ordered import mean_vector
+from mediaframe.operators.ordered import kept, mean_vector, with_ordinal
 
 MAX_BROADCAST_GROUPS = 4096
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint()
+TILE_VECTORS = 2048
 
 
 def _unit(vec: str):
@@ -27,8 +17,9 @@ def _unit(vec: str):
     return F.when(norm > 0, F.transform(e, lambda x: x / norm)).otherwise(e)
 
 
-def similar_pairs(df: DataFrame, key: str, vec: str, eps: float, tiles: int = 16) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, vec: str, eps: float, tiles: int | None = None) -> DataFrame:
     """Rows (a, b, dist), a < b, for all pairs at cosine distance of at most eps (a zero vector is 1 away). Exact: every pair of hash tiles is a task of its own."""
+    tiles = tiles or max(16, df.count() // TILE_VECTORS)
     d = df.select(F.col(key).alias("a"), _unit(vec).alias("va"), F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("t"))
     tile = lambda lo: F.explode(F.expr(f"transform(sequence(0, {tiles - 1}), j -> struct(least(t, j) as i, greatest(t, j) as j))"))
     x = d.withColumn("p", tile(0))
@@ -42,13 +33,13 @@ def similar_pairs(df: DataFrame, key: str, vec: str, eps: float, tiles: int = 16
 
 def clusters(edges: DataFrame, cores: DataFrame) -> DataFrame:
     """(id, root): the smallest core reachable over edges between cores; minima spread and jump until nothing changes."""
-    both = _kept(edges.select("a", "b").union(edges.select("b", "a")).join(cores.toDF("a"), "a", "left_semi").join(cores.toDF("b"), "b", "left_semi"))
-    lab = _kept(cores.toDF("id").withColumn("root", F.col("id")))
+    both = kept(edges.select("a", "b").union(edges.select("b", "a")).join(cores.toDF("a"), "a", "left_semi").join(cores.toDF("b"), "b", "left_semi"))
+    lab = kept(cores.toDF("id").withColumn("root", F.col("id")))
     while True:
         near = both.join(lab.toDF("b", "r"), "b").groupBy("a").agg(F.min("r").alias("m"))
         new = lab.join(near, lab.id == near.a, "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"))
         jump = new.join(new.toDF("root", "r2"), "root").select("id", F.col("r2").alias("root"))
-        new = _kept(jump)
+        new = kept(jump)
         if new.join(lab.toDF("id", "was"), "id").where("root <> was").isEmpty():
             return new
         lab = new
@@ -72,10 +63,10 @@ def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, vec: str
 
 def group_by_similarity(vectors: DataFrame, key: str, vec: str, eps: float = 0.35, min_samples: int = 2, every: DataFrame | None = None) -> DataFrame:
     """(key, group_id): face_001, ... numbered by each cluster's first core, then noise (to the nearest cluster's mean within 1.5 eps, else groups of its own); keys of every without vectors: no_face."""
-    m = _kept(mean_vector(vectors.where(F.size(vec) > 0), key, vec))
-    pairs = _kept(similar_pairs(m, key, vec, eps))
+    m = kept(mean_vector(vectors.where(F.size(vec) > 0), key, vec))
+    pairs = kept(similar_pairs(m, key, vec, eps))
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    cores = _kept(ends.groupBy("id").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= min_samples).select("id"))
+    cores = kept(ends.groupBy("id").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= min_samples).select("id"))
     root = clusters(pairs, cores)
     border = pairs.select(F.col("a").alias("x"), F.col("b").alias("id")).union(pairs.select("b", "a")).join(root, "id").join(cores.toDF("x"), "x", "left_anti")
     member = root.union(border.groupBy("x").agg(F.min("root")))
@@ -84,7 +75,7 @@ def group_by_similarity(vectors: DataFrame, key: str, vec: str, eps: float = 0.3
     near = nearest_centroid(noise, centre, key, vec, 1.5 * eps)
     alone = noise.join(near, key, "left_anti").select(key, F.lit(1).alias("kind"), F.col(key).alias("root"))
     every_group = member.select(F.col("id").alias(key), F.lit(0).alias("kind"), "root").union(near.select(key, F.lit(0), "group")).union(alone)
-    names = every_group.select("kind", "root").distinct().withColumn("group_id", F.format_string("face_%03d", F.row_number().over(Window.orderBy("kind", "root"))))
+    names = with_ordinal(every_group.select("kind", "root").distinct(), "_n", ["kind", "root"]).select("kind", "root", F.format_string("face_%03d", F.col("_n") + 1).alias("group_id"))
     out = every_group.join(names, ["kind", "root"]).select(key, "group_id")
     if every is not None:
         out = out.union(every.select(key).distinct().join(m.select(key), key, "left_anti").withColumn("group_id", F.lit("no_face")))

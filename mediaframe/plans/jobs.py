@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaframe.functions import text as X
@@ -10,6 +10,7 @@ from mediaframe.functions import timecode as TC
 from mediaframe.operators import jobs as J
 from mediaframe.operators import ordered as O
 from mediaframe.operators import scenes as S
+from mediaframe.sources.files import object_listing
 
 
 def convert_spots(df: DataFrame, src: float, dst: float, start: str, end: str, duration: str | None = None, preserve_frames: bool = True) -> DataFrame:
@@ -54,17 +55,62 @@ def plan_jobs(rows: DataFrame, video: str, audio: str, asd: str, ordinal: str, i
     return d.withColumn("error", error).withColumn("success", F.col("error").isNull()).withColumn("auto_detect", X.parse_flag(asd)).drop("_o")
 
 
-def plan_upload(inventory: DataFrame, path: str, base: str, prefix: str, host: str, bucket: str, existing: DataFrame, mode: str = "preserve", on_exists: str = "skipped") -> DataFrame:
-    d = inventory.where(~X.is_hidden(path)).select(path, *[c for c in inventory.columns if c != path]).dropDuplicates([path])
-    d = d.withColumn("key", X.remote_key(F.lit(prefix), X.relative_path(path, base), mode)).withColumn("mime", X.mime_type(path)).withColumn("url", X.public_url(host, bucket, "key"))
+def run_jobs(plan: DataFrame, video: str, audio: str, responses: DataFrame, model: str) -> DataFrame:
+    """Records (csv_row, success, audio_s3, video_s3, job_id, error) of planned jobs and the responses (csv_row, job_id, error) to them; what failed has only its error, and a row without a response counts as failed. payload is what was to be asked."""
+    ask = X.request_payload(TC.strip(video), TC.strip(audio), X.detection_options(F.col("auto_detect")), model)
+    r = responses.select(F.col("csv_row").alias("_row"), "job_id", F.col("error").alias("_refused"))
+    d = plan.join(r, F.col("csv_row") == F.col("_row"), "left")
+    why = F.coalesce("error", "_refused", F.when(F.col("_row").isNull(), "No response"))
+    d = d.select("csv_row", TC.strip(audio).alias("audio_s3"), TC.strip(video).alias("video_s3"), F.coalesce("job_id", F.lit("N/A")).alias("job_id"), why.alias("error"), F.when(F.col("error").isNull(), ask).alias("payload"))
+    return J.merge_outcomes(d.where("error is null").drop("error"), d.where("error is not null").select("csv_row", "error", "payload"))
+
+
+def run_summary(records: DataFrame, by: list | None = None) -> DataFrame:
+    return O.outcome_summary(records, F.when(F.col("success"), "successful").otherwise("failed"), by)
+
+
+def plan_upload(inventory: DataFrame, path: str, base: str, prefix: str | Column, host: str, bucket: str, existing: DataFrame, mode: str = "preserve", on_exists: str = "skipped", **pattern) -> DataFrame:
+    """Keys, types, addresses and status of files to upload; prefix is a folder or X.upload_prefix's, pattern as in X.match_pattern."""
+    d = inventory.where(~X.is_hidden(path) & X.match_pattern(path, **pattern)).select(path, *[c for c in inventory.columns if c != path]).dropDuplicates([path])
+    prefix = F.lit(prefix) if isinstance(prefix, str) else prefix
+    d = d.withColumn("key", X.remote_key(prefix, X.relative_path(path, base), mode)).withColumn("mime", X.mime_type(path)).withColumn("url", X.public_url(host, bucket, "key"))
     return J.skip_existing(d, existing, "key", on_exists=on_exists)
 
 
-def plan_download(results: DataFrame, job_id: str, objects: DataFrame, base: str, order: str) -> DataFrame:
-    d = results.withColumn("key", F.concat(F.lit(base.rstrip("/") + "/"), F.col(job_id), F.lit("/result.mov")))
-    o = objects.select(F.col("key").alias("_k")).distinct()
-    d = d.join(o, F.col("key") == F.col("_k"), "left").withColumn("available", F.col("_k").isNotNull()).drop("_k")
-    return d.withColumn("n", F.row_number().over(Window.partitionBy("available").orderBy(order))).withColumn("local", F.when(F.col("available"), X.numbered_name("", "n", "mov")))
+def upload_manifest(uploaded: DataFrame) -> DataFrame:
+    """(kind, pos, url) of uploaded videos and audios (mime, url), each in natural order of their file names, then of addresses."""
+    m = F.col("mime")
+    kind = F.when(X.is_video_mime(m), "video").when(X.is_audio_mime(m), "audio")
+    d = uploaded.select(kind.alias("kind"), "url", X.natural_sort_key(X.basename("url")).alias("_k")).where("kind is not null")
+    return O.number_within(d, "kind", ["_k", "url"], "pos").select("kind", "pos", "url")
+
+
+def upload_summary(outcomes: DataFrame, by: list | None = None) -> DataFrame:
+    """Totals by status: uploaded counts as successful, skipped as skipped, all else as failed."""
+    return O.outcome_summary(outcomes, F.when(F.col("status") == "uploaded", "successful").when(F.col("status") == "skipped", "skipped").otherwise("failed"), by)
+
+
+def _available(plan: DataFrame, objects: DataFrame) -> DataFrame:
+    o = objects.select(F.col("key").alias("_k")).where("_k is not null").distinct()
+    return plan.join(o, F.col("key") == F.col("_k"), "left").withColumn("available", F.col("_k").isNotNull()).drop("_k")
+
+
+def plan_download(results: DataFrame, job_id: str, objects: DataFrame, base: str, order: str, name: str = "result") -> DataFrame:
+    """Kind json: the result of every job, numbered from 1 over all jobs in order, as name_<n>.mov."""
+    d = O.with_ordinal(results, "_at", [order]).withColumn("n", F.col("_at") + 1).drop("_at")
+    d = _available(d.withColumn("key", F.concat(F.lit(base.rstrip("/") + "/"), F.col(job_id), F.lit("/result.mov"))), objects)
+    return d.withColumn("local", F.concat(F.lit(name + "_"), F.col("n"), F.lit(".mov")))
+
+
+def plan_download_list(entries: DataFrame, objects: DataFrame, dest: str, suffix: str) -> DataFrame:
+    """Kind list: entries (number, bucket, key) of a list of addresses, as dest/<number>_<suffix>.mov."""
+    return _available(entries, objects).withColumn("local", F.concat(F.lit(dest.rstrip("/") + "/"), "number", F.lit(f"_{suffix}.mov")))
+
+
+def plan_download_sync(objects: DataFrame, prefix: str, dest: str) -> DataFrame:
+    """Kind sync: all objects below a prefix, at their relative paths below dest."""
+    d = object_listing(objects, prefix)
+    return d.withColumn("local", F.concat(F.lit(dest.rstrip("/") + "/"), X.relative_path("key", prefix) if prefix else F.col("key")))
 
 
 def plan_rename(inventory: DataFrame, folder: list, name: str, created: str, exts=X.VIDEO_EXTENSIONS) -> DataFrame:
@@ -72,25 +118,19 @@ def plan_rename(inventory: DataFrame, folder: list, name: str, created: str, ext
     d = inventory.where(X.is_video_ext(name, exts)).withColumn("ext", X.extension(name))
     d = d.withColumn("n", F.row_number().over(Window.partitionBy(*folder, "ext").orderBy(created, name)))
     d = d.withColumn("target", X.numbered_name("", "n", "%s")).withColumn("target", F.replace("target", F.lit("%s"), F.col("ext")))
-    at = [F.col(f).eqNullSafe(F.col(f"_{f}")) for f in folder]
-    held = d.select(*[F.col(f).alias(f"_{f}") for f in folder], F.col(name).alias("_held"), F.col("n").alias("_n"), F.col("target").alias("_to"))
-    d = d.join(held, [*at, F.col("target") == F.col("_held")], "left").drop(*[f"_{f}" for f in folder])
+    d = J.name_conflicts(d, d.select(*folder, name, "n"), "target", name, folder)
     same = F.col(name) == F.col("target")
-    state = F.when(same, "same").when(F.col("_held").isNull(), "rename").when(F.col("_n") > F.col("n"), "conflict").otherwise("open")
-    d = d.withColumn("status", state)
-    while True:  # the holder's own state decides; each round settles one more link of every chain
-        known = d.select(*[F.col(f).alias(f"_{f}") for f in folder], F.col(name).alias("_h2"), F.col("status").alias("_s"))
-        j = d.join(known, [*at, F.col("_held") == F.col("_h2")], "left")
-        settled = F.when((F.col("status") == "open") & F.col("_s").isin("same", "conflict"), "conflict").when((F.col("status") == "open") & (F.col("_s") == "rename"), "rename").otherwise(F.col("status"))
-        d = _settled(j.withColumn("status", settled).drop(*[f"_{f}" for f in folder], "_h2", "_s"))
-        if d.where("status = 'open'").isEmpty():
-            return d.drop("_held", "_n", "_to")
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    from mediaframe.operators.similarity import _kept
-
-    return _kept(df)
+    state = F.when(same, "same").when(F.col("holder").isNull(), "rename").when(F.col("held_n") > F.col("n"), "conflict").otherwise("open")
+    d = O.kept(d.withColumn("status", state))
+    at = [F.col(f).eqNullSafe(F.col(f"_at_{f}")) for f in folder]
+    while not d.where("status = 'open'").isEmpty():  # the holder's state decides; where that is open too, its own holder is looked at next, so that chains halve
+        known = d.select(*[F.col(f).alias(f"_at_{f}") for f in folder], F.col(name).alias("_name"), F.col("status").alias("_state"), F.col("holder").alias("_next"))
+        j = d.join(known, [*at, F.col("holder") == F.col("_name")], "left").drop(*[f"_at_{f}" for f in folder])
+        is_open = F.col("status") == "open"
+        settled = F.when(is_open & F.col("_state").isin("same", "conflict"), "conflict").when(is_open & (F.col("_state") == "rename"), "rename").otherwise(F.col("status"))
+        further = F.when(is_open & (F.col("_state") == "open"), F.col("_next")).otherwise(F.col("holder"))
+        d = O.kept(j.withColumns({"status": settled, "holder": further}).drop("_name", "_state", "_next"))
+    return d.drop("holder", "held_n")
 
 
 def plan_derivatives(inventory: DataFrame, path: str, probe: DataFrame, existing: DataFrame, kind: str = "bounced", force: bool = False) -> DataFrame:
@@ -103,10 +143,10 @@ def plan_derivatives(inventory: DataFrame, path: str, probe: DataFrame, existing
     return d.withColumn("status", F.when((F.col("status") == "pending") & (F.coalesce("codec", F.lit("")) == ""), "failed").otherwise(F.col("status")))
 
 
-def plan_chunks(cuts: DataFrame, points: DataFrame, key: str, audio_only: bool = False, video_only: bool = False) -> DataFrame:
-    """Outputs of each cut and the number of timeline rows in it."""
+def plan_chunks(cuts: DataFrame, points: DataFrame, key: str, audio_only: bool = False, video_only: bool = False, width: float | None = None) -> DataFrame:
+    """Outputs of each cut and the number of timeline rows in it; width as in assign_to_intervals."""
     kinds = X.output_kinds(F.lit(audio_only), F.lit(video_only), F.lit(True))
-    n = S.assign_to_intervals(points, cuts, key).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n_points"))
+    n = S.assign_to_intervals(points, cuts, key, width=width).groupBy(key, "name").agg(F.count(F.lit(1)).alias("n_points"))
     d = cuts.join(n, [key, "name"], "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
     out = lambda ok, ext: F.when(ok & (F.col("end_sec") > F.col("start_sec")), F.concat("name", F.lit(ext)))
     return d.withColumn("video_out", out(kinds["create_video"], ".mov")).withColumn("audio_out", out(kinds["create_audio"], ".wav"))

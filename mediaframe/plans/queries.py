@@ -273,9 +273,16 @@ def response_actions(spark, d):
 
 @query("SELECT page_id, 'sync' AS model, url AS video, url || '.wav' AS audio, page_id % 2 = 0 AS has_option FROM pages")
 def request_payload(spark, d):
-    j = _t(spark, d, "pages").select("page_id", X.request_payload("url", F.concat("url", F.lit(".wav")), F.col("page_id") % 2 == 0, "sync").alias("j"))
+    j = _t(spark, d, "pages").select("page_id", X.request_payload("url", F.concat("url", F.lit(".wav")), X.detection_options(F.col("page_id") % 2 == 0), "sync").alias("j"))
     get = lambda p: F.get_json_object("j", p)
-    return j.select("page_id", get("$.model").alias("model"), get("$.input[0].url").alias("video"), get("$.input[1].url").alias("audio"), get("$.options").isNotNull().alias("has_option"))
+    return j.select("page_id", get("$.model").alias("model"), get("$.input[0].url").alias("video"), get("$.input[1].url").alias("audio"), get("$.options.active_speaker_detection.auto_detect").isNotNull().alias("has_option"))
+
+
+@query("SELECT page_id, 'cut_off' AS sync_mode, 'true' AS occlusion, CASE WHEN page_id % 3 = 0 THEN 'true' END AS speaker, 'out_' || lpad(CAST(page_id AS VARCHAR), greatest(2, length(CAST(page_id AS VARCHAR)))::INTEGER, '0') || '.mov' AS name FROM pages")
+def batch_payload(spark, d):
+    j = _t(spark, d, "pages").select("page_id", X.request_payload("url", "url", X.batch_options(F.col("page_id") % 3 == 0), "sync", X.numbered_name("out_", "page_id", "mov")).alias("j"))
+    get = lambda p: F.get_json_object("j", p)
+    return j.select("page_id", get("$.options.sync_mode").alias("sync_mode"), get("$.options.occlusion_detection_enabled").alias("occlusion"), get("$.options.active_speaker").alias("speaker"), get("$.outputFileName").alias("name"))
 
 
 @query("SELECT o_orderkey, want_pos FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) JOIN (VALUES (5, 0), (2, 1), (5, 2), (100000000, 3)) w(r, want_pos) ON n = r")
@@ -379,11 +386,51 @@ def upload_plan(spark, d):
     return P.plan_upload(n, "path", "/in", "run_202401010000", "https://h", "b", have).select("doc_id", "key", "mime", "url", "status")
 
 
-@query("SELECT d.doc_id, 'jobs/' || d.doc_id || '/result.mov' AS key, l.doc_id IS NOT NULL AS available FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+@query("SELECT 'src_' || split_part(max(url), '/', 1) || '_' || strftime(max(ts), '%Y%m%d%H%M') AS prefix, source FROM (SELECT source, source || '/x' AS url, TIMESTAMP '2024-01-01' + to_days(CAST(doc_id % 28 AS INTEGER)) AS ts FROM documents) GROUP BY source")
+def upload_prefixes(spark, d):
+    ts = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(doc_id % 28 as int))")
+    s = _t(spark, d, "documents").withColumn("ts", ts).groupBy("source").agg(F.max("ts").alias("ts"))
+    return s.select("source", X.upload_prefix(F.concat(F.lit("/in/src "), "source", F.lit("/")), "ts").alias("prefix"))
+
+
+_UPLOADED = f"WITH {_NAMES}, u AS (SELECT n.doc_id, source, mime, 'https://h/public/b/up/clip' || n.doc_id || substring(path, length(path) - length(ext)) AS url, CASE WHEN n.doc_id % 9 = 0 THEN 'failed' WHEN l.doc_id IS NULL THEN 'uploaded' ELSE 'skipped' END AS status FROM n LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON n.doc_id = l.doc_id WHERE n.doc_id % 10 <> 0)"
+
+
+def _uploaded(spark, d):
+    n = _names(spark, d)
+    have = n.join(_t(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(X.remote_key(F.lit("up"), "path").alias("key"))
+    plan = P.plan_upload(n, "path", "/in", "up", "https://h", "b", have, "flat", glob="clip*")
+    return plan.withColumn("status", F.when(F.col("doc_id") % 9 == 0, "failed").when(F.col("status") == "pending", "uploaded").otherwise(F.col("status")))
+
+
+@query(f"{_UPLOADED}, m AS (SELECT doc_id, split_part(mime, '/', 1) AS kind, url FROM u WHERE status = 'uploaded' AND split_part(mime, '/', 1) IN ('video', 'audio')) SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY doc_id) AS pos, url FROM m")
+def upload_manifest(spark, d):
+    return P.upload_manifest(_uploaded(spark, d).where("status = 'uploaded'"))
+
+
+@query(f"{_UPLOADED} SELECT source, count(*) AS total, count(*) FILTER (status = 'uploaded') AS successful, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped FROM u GROUP BY source")
+def upload_summary(spark, d):
+    return P.upload_summary(_uploaded(spark, d), ["source"])
+
+
+@query("SELECT d.doc_id, 'jobs/' || d.doc_id || '/result.mov' AS key, l.doc_id IS NOT NULL AS available, 'clip_' || row_number() OVER (ORDER BY d.doc_id) || '.mov' AS local FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def download_plan(spark, d):
     objects = _t(spark, d, "labels").select(F.concat(F.lit("jobs/"), F.col("doc_id"), F.lit("/result.mov")).alias("key"))
     r = _t(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("job"), "source")
-    return P.plan_download(r, "job", objects, "jobs", "doc_id").select("doc_id", "key", "available")
+    return P.plan_download(r, "job", objects, "jobs", "doc_id", "clip").select("doc_id", "key", "available", "local")
+
+
+@query("SELECT page_id::VARCHAR AS number, 'b' AS bucket, 'k/' || page_id AS key, page_id % 2 = 0 AS available, 'out/' || page_id || '_final.mov' AS local FROM pages")
+def download_list(spark, d):
+    p = _t(spark, d, "pages")
+    u = X.parse_object_uri(F.concat(F.lit("s3://b/k/"), F.col("page_id")))
+    entries = p.select(F.col("page_id").cast("string").alias("number"), u["bucket"].alias("bucket"), u["key"].alias("key"))
+    return P.plan_download_list(entries, p.where("page_id % 2 = 0").select(F.concat(F.lit("k/"), F.col("page_id")).alias("key")), "out/", "final")
+
+
+@query(f"WITH {_NAMES} SELECT path AS key, 'out/' || split_part(path, '/', -1) AS local FROM n WHERE source = 'src1'")
+def download_sync(spark, d):
+    return P.plan_download_sync(_names(spark, d).select(F.col("path").alias("key")), "/in/src1", "out")
 
 
 @query("WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn, p AS pos FROM c UNION ALL SELECT conv_id, turn, 2 * n + 1 - p FROM c UNION ALL SELECT conv_id, turn, 2 * n + p FROM c")
@@ -490,6 +537,29 @@ def jobs_plan(spark, d):
     return P.plan_jobs(o, "video", "audio", "asd", "o_orderkey", ["o_orderkey"]).select("o_orderkey", "error", "success", "auto_detect")
 
 
+_RUN = """WITH r AS (SELECT o_orderkey AS csv_row, CASE WHEN o_orderkey % 7 = 0 THEN 'Missing audio or video URL' WHEN o_orderkey % 5 = 0 THEN 'Invalid S3 URI format' WHEN o_orderkey % 4 = 0 THEN 'No response' WHEN o_orderstatus = 'P' THEN 'refused' END AS error, o_orderpriority LIKE '1%' AS detect FROM orders)"""
+
+
+def _run(spark, d):
+    t = _t(spark, d, "orders")
+    o = t.select("o_orderkey", F.when(F.col("o_orderkey") % 7 == 0, " ").otherwise("s3://b/v.mov").alias("video"), F.when(F.col("o_orderkey") % 5 == 0, "s3://only").otherwise("https://x/a").alias("audio"), F.when(F.col("o_orderpriority").startswith("1"), " Yes ").otherwise("no").alias("asd"))
+    plan = P.plan_jobs(o, "video", "audio", "asd", "o_orderkey", ["o_orderkey"])
+    refused = F.col("o_orderstatus") == "P"
+    answers = t.where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("csv_row"), F.when(~refused, F.concat(F.lit("j"), F.col("o_orderkey"))).alias("job_id"), F.when(refused, "refused").alias("error"))
+    return P.run_jobs(plan, "video", "audio", answers, "sync")
+
+
+@query(f"{_RUN} SELECT csv_row, error IS NULL AS success, CASE WHEN error IS NULL THEN 'https://x/a' END AS audio_s3, CASE WHEN error IS NULL THEN 's3://b/v.mov' END AS video_s3, CASE WHEN error IS NULL THEN 'j' || csv_row END AS job_id, error, CASE WHEN coalesce(error, '') NOT IN ('Missing audio or video URL', 'Invalid S3 URI format') THEN detect END AS detect FROM r")
+def jobs_run(spark, d):
+    detect = F.get_json_object("payload", "$.options.active_speaker_detection.auto_detect").isNotNull()
+    return _run(spark, d).select("csv_row", "success", "audio_s3", "video_s3", "job_id", "error", F.when(F.col("payload").isNotNull(), detect).alias("detect"))
+
+
+@query(f"{_RUN} SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS successful, count(*) FILTER (error IS NOT NULL) AS failed, CAST(0 AS BIGINT) AS skipped FROM r")
+def jobs_run_summary(spark, d):
+    return P.run_summary(_run(spark, d))
+
+
 @query("SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderstatus) AS csv_row FROM orders")
 def identical_rows(spark, d):
     o = _t(spark, d, "orders").withColumn("_z", F.col("o_orderkey") - 1)
@@ -500,7 +570,7 @@ def identical_rows(spark, d):
 def chunk_plan(spark, d):
     cuts = _segments(spark, d).select("user_id", F.col("index").cast("long").alias("idx"), F.concat(F.lit("c"), F.col("index")).alias("name"), "start_sec", "end_sec")
     pt = _events(spark, d).select("user_id", (F.col("us") / 1e6).alias("t"))
-    return P.plan_chunks(cuts, pt, "user_id").select("user_id", "idx", "n_points", "video_out")
+    return P.plan_chunks(cuts, pt, "user_id", width=86400.0).select("user_id", "idx", "n_points", "video_out")
 
 
 @query(f"WITH {_NAMES} SELECT n.doc_id, 'clip' || n.doc_id || '_bounced.mov' AS output, CASE WHEN l.doc_id IS NOT NULL THEN 'skipped' WHEN n.doc_id % 4 = 0 THEN 'failed' ELSE 'pending' END AS status FROM n LEFT JOIN labels l ON n.doc_id = l.doc_id WHERE n.doc_id % 10 <> 0")
@@ -517,6 +587,19 @@ def arrivals_check(spark, d):
     return M.arrivals(o.union(o), "/.*7", F.substring_index("key", "/", 1))
 
 
+@query("WITH c AS (SELECT event_type AS dir, count(*) AS expected, count(*) FILTER (event_id % 3 <> 0 AND event_type <> 'error') AS actual FROM events WHERE CAST(event_id AS VARCHAR) LIKE '%7%' GROUP BY 1) SELECT *, CAST(sum(actual) OVER () AS BIGINT) AS total, sum(actual) OVER () >= 50 AS complete FROM c")
+def arrivals_report(spark, d):
+    o = _t(spark, d, "events").select("event_id", "event_type", F.concat("event_type", F.lit("/"), F.col("event_id")).alias("key"))
+    count = lambda rows: M.arrivals(rows, "/.*7", F.substring_index("key", "/", 1))
+    return M.monitor_arrivals(count(o.where("event_id % 3 <> 0 and event_type <> 'error'")), count(o), 50)
+
+
+@query("WITH p AS (SELECT DISTINCT p_brand, p_size, p_size + 10 AS target FROM part) SELECT p.p_brand, p.p_size, p.target, o.p_size AS holder FROM p LEFT JOIN p o ON p.p_brand = o.p_brand AND p.target = o.p_size")
+def name_conflicts(spark, d):
+    p = _t(spark, d, "part").select("p_brand", "p_size").distinct()
+    return J.name_conflicts(p.withColumn("target", F.col("p_size") + 10), p, "target", "p_size", ["p_brand"])
+
+
 @query("SELECT event_id // 100 AS b, event_type, round(sum(round(value, 2)) OVER (PARTITION BY event_id // 100, event_type ORDER BY event_id), 4) AS total FROM events")
 def running_totals(spark, d):
     e = _t(spark, d, "events").select(F.expr("event_id div 100").alias("b"), "event_id", "event_type", F.round("value", 2).alias("v"))
@@ -527,7 +610,7 @@ def running_totals(spark, d):
 def progress_daily(spark, d):
     from pyspark.sql import Window
 
-    e = _t(spark, d, "events").withColumn("day", F.to_date("ts")).groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"))
+    e = M.progress_series(_t(spark, d, "events"), "ts", "1 day", ["event_type"]).select("event_type", F.to_date("w.start").alias("day"), "n")
     s = O.running_total(e, ["event_type"], ["day"], "n", "so_far").withColumn("all", F.sum("n").over(Window.partitionBy("event_type")))
     return s.select("event_type", "day", "n", "so_far", F.round(O.progress(F.col("so_far"), F.col("all")), 6).alias("percent"))
 
@@ -560,7 +643,7 @@ def jobs_roundtrip(spark, d):
 
 @query("SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY conv_id, turn) AS pos, url FROM (SELECT conv_id, turn, CASE role WHEN 'user' THEN 'video' ELSE 'audio' END AS kind, 'https://h/' || conv_id || '/' || turn AS url FROM conversations WHERE role IN ('user', 'assistant'))")
 def manifest_roundtrip(spark, d):
-    m = O.number_rows(_manifest(spark, d).withColumnRenamed("pos", "turn"), ["kind"], ["conv_id", "turn"], "pos")
+    m = O.number_within(_manifest(spark, d).withColumnRenamed("pos", "turn"), "kind", ["conv_id", "turn"], "pos")
     IO.write_manifest(m.select("kind", "pos", "url"), at := _place(spark))
     return IO.read_manifest(spark, at).select("kind", F.col("pos").cast("long").alias("pos"), "url")
 
@@ -583,13 +666,18 @@ def url_list_roundtrip(spark, d):
 def results_roundtrip(spark, d):
     r = _outcomes(spark, d).select(F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey").cast("string")).alias("job_id"), "state")
     IO.write_results(r, at := _place(spark))
-    return O.with_ordinal(spark.read.schema("job_id string, state string").json(at).where("job_id is not null")).select("job_id", "state")
+    return IO.read_job_ids(spark, at, lines=True).select("job_id", "state")
+
 
+def _clock_sql(c: str) -> str:
+    return f"printf('%02d:%02d:%06.3f', CAST(floor({c} / 3600) AS BIGINT), CAST(floor(({c} - 3600 * floor({c} / 3600)) / 60) AS BIGINT), {c} - 60 * floor({c} / 60))"
 
-@query(f"WITH RECURSIVE {_SEG} SELECT CAST(i AS VARCHAR) AS index, count(*) AS n FROM seg GROUP BY 1")
+
+@query(f"WITH RECURSIVE {_SEG} SELECT CAST(i AS VARCHAR) AS index, round(start_sec, 3) AS start_sec, round(end_sec, 3) AS end_sec, round(end_sec - start_sec, 3) AS duration_sec, {_clock_sql('start_sec')} AS start_tc, {_clock_sql('end_sec')} AS end_tc FROM seg")
 def segments_roundtrip(spark, d):
     IO.write_segments(_segments(spark, d), at := _place(spark))
-    return IO._csv(spark, at).groupBy("index").agg(F.count(F.lit(1)).alias("n"))
+    sec = lambda c: F.col(c).cast("double").alias(c)
+    return IO._csv(spark, at).select("index", sec("start_sec"), sec("end_sec"), sec("duration_sec"), "start_tc", "end_tc")
 
 
 @query("SELECT label AS group_id, vec_id FROM embeddings")
@@ -598,9 +686,17 @@ def layout_roundtrip(spark, d):
     return spark.read.parquet(at).select("group_id", "vec_id")
 
 
-@query()
+@query("SELECT DISTINCT 'group_id=' || label AS dir, true AS filled FROM embeddings")
 def file_inventory(spark, d):
-    return IO.media_inventory(spark, d, pattern="*.parquet").select(X.basename("path").alias("name"), "length")
+    IO.write_grouped_layout(_t(spark, d, "embeddings").select(F.col("label").alias("group_id"), "vec_id"), at := _place(spark))
+    files = IO.media_inventory(spark, at, pattern="*.parquet")
+    return files.groupBy(F.element_at(F.split("path", "/"), -2).alias("dir")).agg((F.min("length") > 0).alias("filled"))
+
+
+@query("SELECT CAST(label AS VARCHAR) AS label, list(vec_id ORDER BY vec_id) AS members FROM embeddings GROUP BY label")
+def groups_written(spark, d):
+    IO.write_groups(_t(spark, d, "embeddings"), at := _place(spark), "label", "vec_id")
+    return spark.read.schema("label string, members array<long>").json(at)
 
 
 @query("SELECT doc_id FROM documents WHERE source = 'src1'")

@@ -81,9 +81,9 @@ def read_url_list(spark: SparkSession, path: str) -> DataFrame:
     return d.select("pos", "number", "url", u["bucket"].alias("bucket"), u["key"].alias("key"))
 
 
-def read_job_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Rows with a job_id of a JSON list or object, with _ord."""
-    d = spark.read.option("multiLine", True).json(path)
+def read_job_ids(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Rows with a job_id of a JSON list or object, or of an object a line as write_results writes them, with _ord."""
+    d = spark.read.option("multiLine", not lines).json(path)
     if "job_id" not in d.columns:
         raise ValueError("no job_id in the results")
     return with_ordinal(d.where(F.col("job_id").isNotNull()))

@@ -24,13 +24,24 @@ def progress_series(events: DataFrame, ts: str, interval: str, by: list | None =
     return e.groupBy(F.window("_ts", interval).alias("w"), *(by or [])).agg(F.count(F.lit(1)).alias("n"))
 
 
-def report_when_complete(counts: DataFrame, expected: int, path: str, checkpoint: str):
-    """Starts a query that writes one report (rows by directory) once expected keys have arrived, and stops."""
+def monitor_arrivals(arrived: DataFrame, local: DataFrame | None, expected: int) -> DataFrame:
+    """A report of counts by directory (dir, n) that arrived, against those of the local directories: dir, expected, actual, total and complete (total of all that arrived, at least expected). Without local directories, one row with null ones."""
+    total = arrived.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    if local is None:
+        return total.select(F.lit(None).cast("string").alias("dir"), F.lit(None).cast("long").alias("expected"), F.lit(None).cast("long").alias("actual"), "total", (F.col("total") >= expected).alias("complete"))
+    a = arrived.select(F.col("dir").alias("_d"), F.col("n").alias("actual"))
+    d = local.select("dir", F.col("n").alias("expected")).join(a, F.col("dir") == F.col("_d"), "left").drop("_d").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    return d.withColumn("total", total.scalar()).withColumn("complete", F.col("total") >= expected)
+
+
+def report_when_complete(counts: DataFrame, expected: int, path: str, checkpoint: str, local: DataFrame | None = None):
+    """Starts a query that writes one report, once expected keys have arrived: monitor_arrivals against local directories (dir, n), or without them the counts."""
     done: list[int] = []
 
     def check(batch: DataFrame, number: int) -> None:
         if not done and (batch.agg(F.sum("n")).first()[0] or 0) >= expected:
-            batch.withColumn("batch", F.lit(number)).write.mode("overwrite").json(path)
+            report = batch if local is None else monitor_arrivals(batch, local, expected)
+            report.withColumn("batch", F.lit(number)).write.mode("overwrite").json(path)
             done.append(number)
 
     return counts.writeStream.outputMode("complete").foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

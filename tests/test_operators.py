@@ -114,6 +114,71 @@ def test_streams(spark, tmp_path):
     assert [r.state for r in spark.table("states").collect()] == ["completed"]
 
 
+def test_report_against_local_directories(spark, tmp_path):
+    rows = spark.createDataFrame([("a/1.mov",), ("a/2.mov",), ("c/1.mov",), ("a/x.txt",)], "key string")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    local = spark.createDataFrame([("a", 3), ("b", 1)], "dir string, n long")
+    count = lambda d: M.arrivals(d, r"\.mov$", F.substring_index("key", "/", 1))
+    want = {("a", 3, 2, 3, True), ("b", 1, 0, 3, True)}
+    row = lambda r: (r.dir, r.expected, r.actual, r.total, r.complete)
+    assert {row(r) for r in M.monitor_arrivals(count(rows), local, 3).collect()} == want
+    assert [row(r) for r in M.monitor_arrivals(count(rows), None, 4).collect()] == [(None, None, None, 3, False)]
+    assert row(M.monitor_arrivals(count(rows.limit(0)), local, 1).where("dir = 'b'").first()) == ("b", 1, 0, 0, False)
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    M.report_when_complete(count(stream), 3, str(tmp_path / "out"), str(tmp_path / "c"), local).awaitTermination(60)
+    assert {row(r) for r in spark.read.json(str(tmp_path / "out")).collect()} == want
+    M.report_when_complete(count(stream), 4, str(tmp_path / "none"), str(tmp_path / "c2"), local).awaitTermination(60)
+    assert not (tmp_path / "none").exists()
+
+
+def test_min_gap_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(k, t) for k in "ab" for t in (2.0, 1.2, 1.4, 1.0)], "k string, t double")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = M.coalesce_min_gap_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "k", "t", 0.33)
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.unset(conf)
+    got = sorted((r.key, r.t) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(k, t) for k in "ab" for t in (1.0, 1.4, 2.0)]
+
+
+def test_ordinals(spark):
+    d = spark.createDataFrame([(i * 7 % 50, i % 2) for i in range(50)] + [(None, 0)], "v int, g int").repartition(7)
+    assert [r.n for r in O.with_ordinal(d, "n", ["v"]).orderBy("v").collect()] == list(range(51))
+    assert sorted(r._ord for r in O.with_ordinal(d).collect()) == list(range(51))
+    assert O.with_ordinal(d.limit(0)).count() == 0
+    got = O.number_within(d, "g", ["v"]).orderBy("g", "v").collect()
+    assert [r.n for r in got] == [*range(1, 27), *range(1, 26)]
+    assert [r._ord for r in O.limit_by_ordinal(O.with_ordinal(d, order_by=["v"]), 2).orderBy("v").collect()] == [0, 1] and O.limit_by_ordinal(d, None).count() == 51
+    t = spark.createDataFrame([(0, "00:00:02:00"), (1, "bad"), (2, "00:00:01:00"), (3, "00:00:01:30")], "_ord int, s string")
+    assert [r._ord for r in O.sort_by_timecode(t, "s").collect()] == [1, 3, 2, 0]
+
+
+def test_upload_and_runs(spark):
+    stamp = F.lit("2024-05-06 07:08:09").cast("timestamp")
+    assert one(spark, X.upload_prefix(F.lit("/a/My clips (1)/"), stamp)) == "My_clips_-1-_202405060708" and one(spark, X.upload_prefix(F.lit(""), stamp)) == "upload_202405060708"
+    d = spark.createDataFrame([("h/v10.mov", "video/mp4"), ("h/v2.mov", "video/mp4"), ("h/a1.wav", "audio/wav"), ("h/n.txt", "text/plain")], "url string, mime string")
+    assert sorted(tuple(r) for r in P.upload_manifest(d).collect()) == [("audio", 1, "h/a1.wav"), ("video", 1, "h/v2.mov"), ("video", 2, "h/v10.mov")]
+    chain = spark.createDataFrame([("f", f"{(i + 1):02d}.mov" if i < 20 else "z.mov", 100 - i if i < 20 else 0) for i in range(21)], "d string, name string, c int")
+    plan = {r.name: (r.target, r.status) for r in P.plan_rename(chain, ["d"], "name", "c").collect()}
+    assert plan["z.mov"] == ("01.mov", "conflict") and len(plan) == 21 and plan["20.mov"][0] == "02.mov"
+
+
+def test_long_rename_chain(spark):
+    rows = [(f"{i:02d}.mov", i) for i in range(2, 40)]
+    plan = {r.name: (r.target, r.status) for r in P.plan_rename(spark.createDataFrame(rows, "name string, c int").withColumn("d", F.lit("f")), ["d"], "name", "c").collect()}
+    assert plan == {f"{i:02d}.mov": (f"{i - 1:02d}.mov", "rename") for i in range(2, 40)}
+
+
+def test_grouped_output_as_one_object(spark, tmp_path):
+    d = spark.createDataFrame([("g1", "b"), ("g1", "a"), ("g2", "c")], "group_id string, clip string")
+    IO.write_groups(d, str(tmp_path / "g"), long_form=False)
+    assert json.loads(spark.read.text(str(tmp_path / "g")).first()[0]) == {"g1": ["a", "b"], "g2": ["c"]}
+
+
 def test_group_sizes_sorted_distinct_and_attempts(spark):
     d = spark.createDataFrame([("b", 1), ("a", 1), ("a", 2), ("c", 3), ("c", 4), (None, 5), ("no_face", 6), (None, 7)], "g string, k int")
     assert [tuple(r) for r in O.group_sizes(d, "g").collect()] == [("a", 2, True), ("c", 2, True), ("b", 1, True), ("no_face", 3, False)]
