@@ -2,8 +2,8 @@
 
 A text's UTF-8 bytes, filled up with blanks to a positive multiple of 192, are samples of images of 64 columns; texts over
 4,096 pixels take several files that follow each other, so no image, and no step of the decoder, grows with the longest
-text. A null text counts as empty (one row of blanks). Repeated rows and ties are kept, other columns pass through, an
-empty table gives an empty result.
+text. A null text counts as empty (one row of blanks). Repeated rows and ties are kept, other columns pass through (one
+with the name of an added column gives way to it, in any case), an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,8 +24,14 @@ def _appended(b: pa.RecordBatch, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*b.columns, *columns.values()], [*b.schema.names, *columns])
 
 
+def _without(df: DataFrame, kept: str, *added: str) -> DataFrame:
+    taken = {a.lower() for a in added}
+    return df.select(*[df[f"`{c}`"] for c in df.columns if c == kept or c.lower() not in taken])
+
+
 def encode_media(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Adds media (binary, the WebP files) and n_bytes (long, of the text) and drops text."""
+    df = _without(df, text, media, "n_bytes")
     at = df.columns.index(text)
     fields = [f for f in df.schema.fields if f.name != text] + [StructField(media, BinaryType()), StructField("n_bytes", LongType())]
 
@@ -49,6 +55,7 @@ def encode_media(df: DataFrame, text: str = "text", media: str = "media") -> Dat
 
 def decode_media(df: DataFrame, media: str = "media") -> DataFrame:
     """Adds pixels (binary: red, green and blue of every pixel, file after file, row by row) and feature (string: rows x columns, mean and standard deviation of the samples, and a histogram of 8 bins)."""
+    df = _without(df, media, "pixels", "feature")
     at = df.columns.index(media)
     schema = StructType([*df.schema.fields, StructField("pixels", BinaryType()), StructField("feature", StringType())])
 

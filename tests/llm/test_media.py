@@ -147,3 +147,12 @@ def test_broken_files_are_refused():
     for bad in (b"RIFX" + f[4:], f[:20] + b"\0" + f[21:], f[:16] + (20).to_bytes(4, "little") + f[20:40]):
         with pytest.raises(ValueError):
             webp.Decoder().decode([bad])
+
+
+def test_columns_named_like_added_ones_give_way(spark):
+    d = spark.createDataFrame([(1, "ab", "x", 9, "y", b"z"), (None, None, None, None, None, None)], "doc_id long, text string, Media string, n_bytes int, feature string, pixels binary")
+    stored = media.encode_media(d)
+    assert stored.columns == ["doc_id", "feature", "pixels", "media", "n_bytes"]
+    read = media.decode_media(stored)
+    assert read.columns == ["doc_id", "media", "n_bytes", "pixels", "feature"]
+    assert sorted((r.n_bytes, bytes(r.pixels)) for r in read.collect()) == [(0, b" " * 192), (2, b"ab" + b" " * 190)]
