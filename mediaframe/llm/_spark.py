@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,20 @@ def components(edges: DataFrame) -> DataFrame:
         out = m.join(by_merging(out.toDF("to", "root")), "to", "left").select("node", F.coalesce("root", "to").alias("to"))
     least = out.groupBy("to").agg(F.min("node").alias("component"))
     return checkpointed(out.join(by_merging(least), "to").select("node", "component").coalesce(parts(nodes)))
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder below the shared folder of spark.checkpoint.dir; below one of our own only where none is named and all runs in this process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark's file systems have it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

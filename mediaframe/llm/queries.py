@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaframe.llm._spark import checkpointed, read_table
+from mediaframe.llm._spark import checkpointed, new_folder, read_table, remove_folder
 
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 5"
 
@@ -89,6 +89,28 @@ def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaframe.llm.token_ids import read_token_ids, write_token_ids
+
+    folder = new_folder(spark, "token-ids")
+    write_token_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), folder)
+    out = checkpointed(read_token_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    remove_folder(spark, folder)
+    return out
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaframe.llm.spelling import variants
+
+    return variants(read_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mediaframe.llm.fill_in_middle import digests, pieces
+
+    return digests(pieces(read_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 

@@ -60,4 +60,12 @@ hh AS (SELECT rank, shard, blocks, least(quota, blocks) AS extra, CASE WHEN bloc
 a AS (SELECT ln.*, CAST(line_end AS BIGINT) AS y, CAST(line_end - size AS BIGINT) AS x, blocks, extra, turn FROM ln JOIN hh USING (rank, shard))
 SELECT doc_id, size, source_size, target, CAST(passes * size + {_BEFORE.replace("{x}", "y")} - {_BEFORE.replace("{x}", "x")} AS BIGINT) AS taken FROM a"""
 
-ORACLES: dict[str, str] = {"op1_line_dedup": LINES, "op2_near_vectors": VECTORS, "op5_jaccard_join": JACCARD, "op7_mixing": MIX}
+MIDDLE = """WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+g AS (SELECT doc_id, t, n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(x, i, 8) AS BIGINT)) AS h FROM h),
+c AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+s AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS q FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || q || '<M>' || m ELSE '<S>' || q || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM s"""
+
+ORACLES: dict[str, str] = {"op13_fill_in_middle": MIDDLE, "op1_line_dedup": LINES, "op2_near_vectors": VECTORS, "op5_jaccard_join": JACCARD, "op7_mixing": MIX}
