@@ -158,7 +158,8 @@ def _summed(g: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((rank[b], -n[b], a))
     a, b = a[order], b[order]
     at = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
-    return pd.DataFrame({"word": [words[k] for k in a[at].tolist()], "n_near": np.diff(np.append(at, len(a))), "best": [words[k] for k in b[at].tolist()], "best_n": n[b[at]]})
+    text = lambda rows: pd.Series([words[k] for k in rows.tolist()], dtype=object)
+    return pd.DataFrame({"word": text(a[at]), "n_near": np.diff(np.append(at, len(a))), "best": text(b[at]), "best_n": n[b[at]]})
 
 
 def near_words(words: DataFrame, block: int = 2048) -> DataFrame:
