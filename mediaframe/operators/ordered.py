@@ -3,24 +3,48 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediaframe.functions import text as X
 from mediaframe.functions.timecode import timecode_to_frames
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows, written to the checkpoint folder of the cluster (only a local session may go without one)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where none is named and all runs in this process."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark's file systems have it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written to the checkpoint folder of the cluster (only a local session may go without one)."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def plain_column(values: pd.Series) -> pd.Series:
+    """A column to return to Spark: text of pandas' own type, which can be of no or several Arrow chunks, as objects."""
+    return (values if pd.api.types.is_numeric_dtype(values) else values.astype(object)).reset_index(drop=True)
+
+
 def with_ordinal(df: DataFrame, name: str = "_ord", order_by: list | None = None) -> DataFrame:
     """Row positions from 0, by order_by or as the rows come; no step gathers all rows in one task. The rows are written to the checkpoint folder, so that their partitions stay as they are counted."""
     d = kept(df.orderBy(*order_by) if order_by else df).withColumn("_place", F.monotonically_increasing_id())
@@ -32,11 +56,13 @@ def with_ordinal(df: DataFrame, name: str = "_ord", order_by: list | None = None
     return d.join(F.broadcast(starts), part == F.col("_part")).select(*df.columns, at.alias(name))
 
 
-def number_within(df: DataFrame, by: str, order: list, name: str = "n") -> DataFrame:
-    """Positions from 1 within each of a few large groups, by one sort over all rows; groups whose rows fit a task are for number_rows."""
-    d = with_ordinal(df, "_at", [by, *order])
-    first = d.groupBy(F.col(by).alias("_by")).agg(F.min("_at").alias("_first"))
-    return d.join(first, F.col(by).eqNullSafe(F.col("_by"))).select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias(name))
+def number_within(df: DataFrame, by: str | list[str], order: list, name: str = "n") -> DataFrame:
+    """Positions from 1 within groups of any size, by one sort over all rows; where every group fits a task, number_rows does with less."""
+    by = [by] if isinstance(by, str) else by
+    d = with_ordinal(df, "_at", [*by, *order])
+    first = d.groupBy(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)]).agg(F.min("_at").alias("_first"))
+    on = [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)]
+    return d.join(first, on).select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias(name))
 
 
 def number_rows(df: DataFrame, partition: list, order: list, name: str = "n", start: int = 1) -> DataFrame:
@@ -53,9 +79,16 @@ def ordered_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias(order))
 
 
-def fill_section(df: DataFrame, partition: list, order: list, kind: Column, name: str = "kind") -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(kind, ignorenulls=True).over(w))
+def fill_section(df: DataFrame, partition: list, order: str, kind: Column, name: str = "kind", rows: int = 1 << 16) -> DataFrame:
+    """The last kind that is not null at or before each row, in the order of row numbers (order). Each stretch of `rows` numbers is filled on its own; its last kind goes on to those after it by a table with a row a stretch."""
+    d = df.withColumns({"_kind": kind, "_stretch": F.floor(F.col(order) / rows)})
+    within = Window.partitionBy(*partition, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = d.groupBy(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(partition)], F.col("_stretch").alias("_s")).agg(F.max_by("_kind", F.when(F.col("_kind").isNotNull(), F.col(order))).alias("_end"))
+    before = Window.partitionBy(*[f"_p{i}" for i in range(len(partition))]).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    on = [F.col(p).eqNullSafe(F.col(f"_p{i}")) for i, p in enumerate(partition)] + [F.col("_stretch") == F.col("_s")]
+    filled = d.withColumn("_own", F.last("_kind", ignorenulls=True).over(within)).join(ends, on)
+    return filled.select(*[c for c in df.columns if c != name], F.coalesce("_own", "_before").alias(name))
 
 
 def first_identical_row_no(df: DataFrame, cols: list, order: str, name: str = "csv_row") -> DataFrame:

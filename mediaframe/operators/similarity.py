@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaframe.operators.ordered import kept, mean_vector, with_ordinal
+from mediaframe.operators.ordered import kept, mean_vector, new_folder, plain_column, remove_folder, with_ordinal
 
 MAX_BROADCAST_GROUPS = 4096
-TILE_VECTORS = 2048
+#: Pivots of a metric index, the vectors that they are chosen from, vectors of a block.
+PIVOTS, PIVOT_SAMPLE, BLOCK_VECTORS = 32, 1024, 2048
 
 
 def _unit(vec: str):
@@ -17,32 +23,138 @@ def _unit(vec: str):
     return F.when(norm > 0, F.transform(e, lambda x: x / norm)).otherwise(e)
 
 
-def similar_pairs(df: DataFrame, key: str, vec: str, eps: float, tiles: int | None = None) -> DataFrame:
-    """Rows (a, b, dist), a < b, for all pairs at cosine distance of at most eps (a zero vector is 1 away). Exact: every pair of hash tiles is a task of its own."""
-    tiles = tiles or max(16, df.count() // TILE_VECTORS)
-    d = df.select(F.col(key).alias("a"), _unit(vec).alias("va"), F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int").alias("t"))
-    tile = lambda lo: F.explode(F.expr(f"transform(sequence(0, {tiles - 1}), j -> struct(least(t, j) as i, greatest(t, j) as j))"))
-    x = d.withColumn("p", tile(0))
-    y = x.select(F.col("a").alias("b"), F.col("va").alias("vb"), F.col("t").alias("u"), F.col("p").alias("q"))
-    own = (F.col("t") == F.col("p.i")) & (F.col("u") == F.col("q.j"))
-    pairs = x.join(y, (F.col("p") == F.col("q")) & own & ((F.col("t") != F.col("u")) | (F.col("a") < F.col("b"))))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    dist = F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dist.alias("dist")).where(F.col("dist") <= eps)
+def _numbers(rows: pd.Series) -> np.ndarray:
+    return np.stack(rows.to_numpy()).astype(np.float64)
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances between the rows of x and of y."""
+    return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
+
+
+def _spread(sample: np.ndarray, n: int) -> np.ndarray:
+    """Up to n rows of a sample, each the one farthest from those before it."""
+    chosen, far = [0], _distances(sample, sample[:1])[:, 0]
+    while len(chosen) < n and far.max() > 1e-6:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, _distances(sample, sample[chosen[-1:]])[:, 0])
+    return sample[chosen]
+
+
+def metric_index(df: DataFrame, key: str, vec: str, pivots: int = PIVOTS, block: int = BLOCK_VECTORS) -> tuple[DataFrame, DataFrame]:
+    """The vectors as rows (id, v, block), v of length 1 (or 0), and the blocks' table (block, cell, lo, hi), a row a block.
+
+    A vector's cell is that of its nearest pivot; a cell's vectors are cut into blocks in the order of their distance from
+    it. lo and hi are the least and largest distances of a block's vectors from every pivot. Pivots come from a sample of
+    PIVOT_SAMPLE vectors and only steer the work: any choice gives the same pairs.
+    """
+    d = kept(df.select(F.col(key).alias("id"), _unit(vec).alias("v")))
+    sample = d.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").toPandas()
+    table = _spread(_numbers(sample.v), pivots) if len(sample) else np.zeros((1, 1))
+
+    def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in parts:
+            if len(g):
+                far = _distances(_numbers(g.v), table)
+                yield g.assign(cell=far.argmin(1).astype(np.int32), near=far.min(1), far=list(far))
+
+    kind = df.schema[key].dataType.simpleString()
+    d = with_ordinal(d.mapInPandas(placed, f"id {kind}, v array<double>, cell int, near double, far array<double>"), "_at", ["cell", "near"])
+    first = d.groupBy("cell").agg(F.min("_at").alias("_first"))  # a row a pivot
+    d = d.join(F.broadcast(first), "cell").withColumn("block", F.shiftleft(F.col("cell").cast("long"), 40) + F.floor((F.col("_at") - F.col("_first")) / block))
+    edge = lambda f: F.array(*[f(F.col("far")[k]) for k in range(len(table))])
+    return d.select("id", "v", "block"), kept(d.groupBy("block", "cell").agg(edge(F.min).alias("lo"), edge(F.max).alias("hi")))
+
+
+def block_pairs(boxes: DataFrame, radius: float) -> DataFrame:
+    """Rows (p, q), p <= q: the pairs of blocks that can hold vectors within radius of each other. By the triangle inequality two such have distances from any pivot that differ by the radius at most; a block looks only into cells that it can reach so."""
+    far = radius + 1e-6  # distances come from rounded sums
+    reach = boxes.groupBy("cell").agg(F.max(F.expr("hi[cell]")).alias("r"))  # a row a pivot
+    x = boxes.select(F.col("block").alias("p"), "lo", "hi", F.posexplode("lo").alias("to", "least"))
+    x = x.join(F.broadcast(reach.withColumnRenamed("cell", "to")), "to").where(F.col("least") <= F.col("r") + far).select("p", "to", "lo", "hi")
+    y = boxes.select(F.col("block").alias("q"), F.col("cell").alias("of"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    apart = F.exists(F.arrays_zip("lo", "hi", "lo2", "hi2"), lambda z: (z["lo"] - z["hi2"] > far) | (z["lo2"] - z["hi"] > far))
+    return x.join(y, F.expr("to = of and p <= q")).where(~apart).select("p", "q")
+
+
+def similar_pairs(df: DataFrame, key: str, vec: str, eps: float, pivots: int = PIVOTS, block: int = BLOCK_VECTORS) -> DataFrame:
+    """Rows (a, b, dist), a < b, for all pairs of rows of different key at cosine distance of at most eps (a zero vector is 1 away from all).
+
+    Exact. Vectors are unit vectors in blocks of a metric index; only pairs of blocks that the triangle inequality leaves are
+    compared, each in a group of its own that gets the vectors of its two blocks. Null vectors have no pairs.
+    """
+    vectors, boxes = metric_index(df.where(F.col(vec).isNotNull()), key, vec, pivots, block)
+    pairs = kept(block_pairs(boxes, math.sqrt(2 * max(0.0, eps))))
+
+    def side(wanted: DataFrame, k: str, *names: str) -> DataFrame:
+        d = vectors.join(wanted, F.col("block") == F.col(k))
+        return d.select(*[F.col(c).alias(n) for c, n in zip(("p", "q", "id", "v"), names, strict=True)])
+
+    def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        own = not len(y)
+        y = x if own else y.set_axis(x.columns, axis=1)
+        if not len(x):
+            return pd.DataFrame({"a": plain_column(x.id), "b": plain_column(x.id), "dist": np.zeros(0)})
+        u, v, found = _numbers(x.v), _numbers(y.v), []
+        for k in range(0, len(u), 512):
+            i, j = np.nonzero(1 - u[k : k + 512] @ v.T <= eps + 1e-9)
+            i += k
+            if own:
+                i, j = i[i < j], j[i < j]
+            for n in range(0, len(i), 1 << 14):  # what passes is summed again, term after term
+                p, q = i[n : n + (1 << 14)], j[n : n + (1 << 14)]
+                dist = np.clip(1 - np.add.accumulate(u[p] * v[q], axis=1)[:, -1], 0.0, 2.0)
+                ok = dist <= eps
+                found.append((p[ok], q[ok], dist[ok]))
+        i, j, dist = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        return pd.DataFrame({"a": plain_column(x.id.iloc[i]), "b": plain_column(y.id.iloc[j]), "dist": dist})
+
+    kind = df.schema[key].dataType.simpleString()
+    left, right = side(pairs, "p", "p", "q", "id", "v"), side(pairs.where("p <> q"), "q", "p2", "q2", "id2", "v2")
+    found = left.groupBy("p", "q").cogroup(right.groupBy("p2", "q2")).applyInPandas(near, f"a {kind}, b {kind}, dist double")
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
 
 
 def clusters(edges: DataFrame, cores: DataFrame) -> DataFrame:
-    """(id, root): the smallest core reachable over edges between cores; minima spread and jump until nothing changes."""
-    both = kept(edges.select("a", "b").union(edges.select("b", "a")).join(cores.toDF("a"), "a", "left_semi").join(cores.toDF("b"), "b", "left_semi"))
-    lab = kept(cores.toDF("id").withColumn("root", F.col("id")))
-    while True:
-        near = both.join(lab.toDF("b", "r"), "b").groupBy("a").agg(F.min("r").alias("m"))
-        new = lab.join(near, lab.id == near.a, "left").select("id", F.least("root", F.coalesce("m", "root")).alias("root"))
-        jump = new.join(new.toDF("root", "r2"), "root").select("id", F.col("r2").alias("root"))
-        new = kept(jump)
-        if new.join(lab.toDF("id", "was"), "id").where("root <> was").isEmpty():
-            return new
-        lab = new
+    """(id, root): the smallest core reachable over edges (a, b) between cores.
+
+    Each round sends every node to the first of itself and its neighbours in a hashed order and draws the edges between
+    where they went, so that at least a constant share of the nodes goes each time, chains included; the rounds' maps are
+    then followed from the last to the first.
+    """
+    spark = edges.sparkSession
+    folder = new_folder(spark, "clusters")
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        """df as files: they have a known size, while a checkpoint keeps the estimate of its plan, which joins multiply from round to round."""
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    core = cores.toDF("_c")
+    e = edges.select("a", "b").join(core, F.col("a") == F.col("_c"), "left_semi").join(core, F.col("b") == F.col("_c"), "left_semi").where("a <> b")
+    e, steps = written(e.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), []
+    rank = lambda c, k: F.struct(F.xxhash64(F.col(c), F.lit(k)).alias("h"), F.col(c).alias("v"))
+    while not e.isEmpty():
+        k = len(steps)
+        both = e.union(e.select("b", "a"))
+        step = both.groupBy("a").agg(F.min(rank("b", k)).alias("m")).select(F.col("a").alias("from"), F.least(rank("a", k), F.col("m"))["v"].alias("to"))
+        steps.append(step := written(step, f"step-{k}"))
+        moved = e.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
+        e = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"edges-{k}")
+    out = None
+    for k, step in reversed(list(enumerate(steps))):
+        if out is not None:
+            step = written(step.join(out.toDF("to", "last"), "to", "left").select("from", F.coalesce("last", "to").alias("to")), f"to-{k}")
+        out = step
+    if out is None:
+        found = core.select(F.col("_c").alias("id"), F.col("_c").alias("root"))
+    else:
+        least = out.groupBy("to").agg(F.min("from").alias("root"))
+        out = out.join(least, "to").select(F.col("from").alias("id"), "root")
+        found = core.join(out, core["_c"] == out.id, "left").select(F.col("_c").alias("id"), F.coalesce("root", "_c").alias("root"))
+    found = kept(found)
+    remove_folder(spark, folder)
+    return found
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, vec: str, max_dist: float) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +36,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _place(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/round-trip-{uuid.uuid4().hex}"
+    return O.new_folder(spark, "round-trip")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -477,8 +475,9 @@ def similarity_groups(spark, d):
 
 @query(f"{_GROUPS}, s AS (SELECT group_id, count(*) AS n FROM gr GROUP BY 1) SELECT group_id, n, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY vec_id) AS k FROM gr) JOIN s USING (group_id) WHERE k <= 5")
 def group_top(spark, d):
-    p = O.preview_top(_groups(spark, d), ["group_id"], ["vec_id"], 5)
-    n = _groups(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    groups = O.kept(_groups(spark, d))
+    p = O.preview_top(groups, ["group_id"], ["vec_id"], 5)
+    n = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
     return p.join(n, "group_id").select("group_id", "n", "vec_id")
 
 
@@ -645,7 +644,7 @@ def jobs_roundtrip(spark, d):
 def manifest_roundtrip(spark, d):
     m = O.number_within(_manifest(spark, d).withColumnRenamed("pos", "turn"), "kind", ["conv_id", "turn"], "pos")
     IO.write_manifest(m.select("kind", "pos", "url"), at := _place(spark))
-    return IO.read_manifest(spark, at).select("kind", F.col("pos").cast("long").alias("pos"), "url")
+    return IO.read_manifest_parts(spark, at)
 
 
 @query(f"WITH {E} SELECT 'c' || event_id AS name, round(({_FRAME}) / 24.0, 6) AS start_sec, {_tc_sql(_FRAME + ' + 48')} AS end_raw FROM e")

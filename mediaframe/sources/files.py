@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediaframe.functions.text import is_hidden
 from mediaframe.functions.timecode import parse_cut_time
-from mediaframe.operators.ordered import fill_section, with_ordinal
+from mediaframe.operators.ordered import fill_section, kept, number_within, with_ordinal
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
@@ -15,9 +15,13 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, pos, line) with true line numbers."""
-    d = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\r?\n").alias("l"))
-    return d.select("file", F.posexplode("l").alias("pos", "line"))
+    """(file, pos, line) with true line numbers from 0. Files are split; the lines of each split are counted, and a table with a row a split has the lines before it."""
+    d = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id"))
+    d = kept(d)
+    splits = d.groupBy("file", "_split").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.withColumn("_before", F.coalesce(before, F.lit(0)) - F.col("_first")).select(F.col("file").alias("_f"), F.col("_split").alias("_s"), "_before")
+    return d.join(splits, (F.col("file") == F.col("_f")) & (F.col("_split") == F.col("_s"))).select("file", (F.col("_id") + F.col("_before")).alias("pos"), "line")
 
 
 def _write_csv(df: DataFrame, path: str) -> None:
@@ -41,16 +45,17 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     return with_ordinal(d.toDF(*[c.strip().lower() for c in d.columns]))
 
 
+_HEADS = ("VIDEOS", "AUDIOS")
+
+
 def parse_manifest(lines: DataFrame) -> DataFrame:
-    """(file, kind, pos, url) of lines (file, pos, line): sections VIDEOS and AUDIOS in any case, repeated or not; blank lines, lines before a header, hidden names and repeated addresses go."""
+    """(file, kind, pos, url) of lines (file, pos, line): sections VIDEOS and AUDIOS in any case, repeated or not; blank lines, lines before a header, hidden names and repeated addresses go. A file of any length is parsed by many tasks."""
     t = F.trim("line")
-    head = F.upper(t)
-    d = fill_section(lines, ["file"], ["pos"], F.when(head.isin("VIDEOS", "AUDIOS"), F.lower(F.expr("substring(upper(trim(line)), 1, 5)"))))
-    d = d.where(~head.isin("VIDEOS", "AUDIOS") & (t != "") & F.col("kind").isNotNull() & ~is_hidden(t, "forks"))
+    head = F.upper(t).isin(*_HEADS)
+    d = fill_section(lines.select("file", "pos", "line"), ["file"], "pos", F.when(head, F.lower(F.expr("substring(upper(trim(line)), 1, 5)"))))
+    d = d.where(~head & (t != "") & F.col("kind").isNotNull() & ~is_hidden(t, "forks"))
     first = d.select("file", "kind", "pos", t.alias("url")).groupBy("file", "kind", "url").agg(F.min("pos").alias("at"))
-    from pyspark.sql import Window
-
-    return first.withColumn("pos", F.row_number().over(Window.partitionBy("file", "kind").orderBy("at"))).select("file", "kind", "pos", "url")
+    return number_within(first, ["file", "kind"], ["at"], "pos").select("file", "kind", "pos", "url")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -58,10 +63,25 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_manifest(df: DataFrame, path: str) -> None:
-    """One text file from (kind, pos, url)."""
-    rows = df.select(F.when(F.col("kind") == "video", 1).otherwise(4).alias("sec"), "pos", F.col("url").alias("line"))
-    heads = df.sparkSession.createDataFrame([(0, 0, "VIDEOS"), (2, 0, ""), (3, 0, "AUDIOS")], "sec int, pos int, line string")
-    rows.unionByName(heads).repartitionByRange(1, "sec", "pos").sortWithinPartitions("sec", "pos").select("line").write.text(path)
+    """A manifest from (kind, pos, url) as text files whose order by name is that of the lines, so that to put them one after the other gives the manifest; and path/_sections, a line for each section of each file: part, kind, at (its first line's number), pos (the one of that line) and n."""
+    rows = df.select(F.when(F.col("kind") == "video", 1).otherwise(4).alias("sec"), F.col("pos").cast("long").alias("pos"), F.col("url").alias("line"))
+    heads = df.sparkSession.createDataFrame([(0, 0, "VIDEOS"), (2, 0, ""), (3, 0, "AUDIOS")], "sec int, pos long, line string")
+    d = kept(rows.unionByName(heads).repartitionByRange("sec", "pos").sortWithinPartitions("sec", "pos"))
+    d.select("line").write.text(path)
+    place = F.monotonically_increasing_id()
+    d = d.withColumns({"part": F.shiftright(place, 33), "at": place.bitwiseAND((1 << 33) - 1)}).where("sec in (1, 4)")
+    d = d.groupBy("part", F.when(F.col("sec") == 1, "video").otherwise("audio").alias("kind")).agg(F.min("at").alias("at"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    d.write.json(f"{path}/_sections")
+
+
+def read_manifest_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, pos, url) of a manifest that write_manifest wrote, positions anew from 1: each line by its file's sections, without a look at the lines before."""
+    sections = spark.read.schema("part long, kind string, at long, n long").json(f"{path}/_sections").withColumnRenamed("part", "_part")
+    before = F.sum("n").over(Window.partitionBy("kind").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    sections = sections.withColumn("before", F.coalesce(before, F.lit(0)))
+    lines = _lines(spark, path).withColumn("part", F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")).withColumnRenamed("pos", "line_no")
+    d = lines.join(sections, (F.col("part") == F.col("_part")) & (F.col("line_no") >= F.col("at")) & (F.col("line_no") < F.col("at") + F.col("n")))
+    return d.select("kind", (F.col("before") + F.col("line_no") - F.col("at") + 1).alias("pos"), F.col("line").alias("url"))
 
 
 def read_cuts(spark: SparkSession, path: str, fps: float | None = None) -> DataFrame:

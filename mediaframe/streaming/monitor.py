@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from mediaframe.functions.text import job_outcome
+from mediaframe.operators.ordered import plain_column
 
 
-def arrivals(objects: DataFrame, pattern: str, directory, key: str = "key") -> DataFrame:
-    """Different matching keys by directory; the same for a stream (update or complete mode) and a table."""
-    return objects.where(F.col(key).rlike(pattern)).dropDuplicates([key]).groupBy(directory.alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+def arrivals(objects: DataFrame, pattern: str, directory, key: str = "key", ts: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Different matching keys by directory; the same for a stream (update or complete mode) and a table. With ts, the column of the objects' times, a stream remembers a key only until the watermark (delay behind the latest time) has passed it: a key that comes again within the delay counts once, and the state doesn't grow with all keys that ever came."""
+    found = objects.where(F.col(key).rlike(pattern))
+    if ts and objects.isStreaming:
+        found = found.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay).dropDuplicatesWithinWatermark([key])
+    else:
+        found = found.dropDuplicates([key])
+    return found.groupBy(directory.alias("dir")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def progress_series(events: DataFrame, ts: str, interval: str, by: list | None = None, watermark: str | None = None) -> DataFrame:
@@ -34,17 +42,42 @@ def monitor_arrivals(arrived: DataFrame, local: DataFrame | None, expected: int)
     return d.withColumn("total", total.scalar()).withColumn("complete", F.col("total") >= expected)
 
 
-def report_when_complete(counts: DataFrame, expected: int, path: str, checkpoint: str, local: DataFrame | None = None):
-    """Starts a query that writes one report, once expected keys have arrived: monitor_arrivals against local directories (dir, n), or without them the counts."""
-    done: list[int] = []
+def report_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a report has been written whole."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def report_when_complete(counts: DataFrame, expected: int, path: str, checkpoint: str, local: DataFrame | None = None, interval: str | None = None) -> StreamingQuery:
+    """Starts a query that writes one report, once expected keys have arrived: monitor_arrivals against local directories (dir, n), or without them the counts.
+
+    The written report itself is what says that it has been written: a query that was stopped or lost finds it again, and one
+    that was lost while writing writes over the unfinished one. interval ('180 seconds'): looks for arrivals so often, on
+    and on; without it once over all that is there.
+    """
 
     def check(batch: DataFrame, number: int) -> None:
-        if not done and (batch.agg(F.sum("n")).first()[0] or 0) >= expected:
+        batch = batch.persist()
+        total = batch.agg(F.sum("n")).first()[0] or 0  # of each batch, as its state is committed only if it is computed
+        if total >= expected and not report_exists(batch.sparkSession, path):
             report = batch if local is None else monitor_arrivals(batch, local, expected)
             report.withColumn("batch", F.lit(number)).write.mode("overwrite").json(path)
-            done.append(number)
+        batch.unpersist()
 
-    return counts.writeStream.outputMode("complete").foreachBatch(check).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    how = {"processingTime": interval} if interval else {"availableNow": True}
+    return counts.writeStream.outputMode("complete").foreachBatch(check).option("checkpointLocation", checkpoint).trigger(**how).start()
+
+
+def await_report(query: StreamingQuery, path: str, spark: SparkSession, seconds: float = 5.0, timeout: float | None = None) -> bool:
+    """Waits for the report of a running query and then stops the query; False if the query ended, or the time was up, without one."""
+    began = time.monotonic()
+    while not (done := report_exists(spark, path)):
+        if query.awaitTermination(seconds):
+            return report_exists(spark, path)
+        if timeout is not None and time.monotonic() - began > timeout:
+            return False
+    query.stop()
+    return done
 
 
 def latest_job_state(events: DataFrame, key: str, ts: str, status: str, url: str) -> DataFrame:
@@ -56,30 +89,56 @@ def latest_job_state(events: DataFrame, key: str, ts: str, status: str, url: str
 
 
 class MinGap(StatefulProcessor):
-    """Keeps the last kept time of a key; input is ordered within a batch and batches are in order."""
+    """Holds a key's times until the watermark has passed them, then takes them in their order; besides them only the last kept one stays."""
 
     def __init__(self, gap: float) -> None:
         self.gap = gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "t double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        last = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for x in sorted(t for part in rows for t in part["t"]):
-            if last is None or x - last >= self.gap:
-                out.append(x)
-                last = x
+        self.waiting = handle.getListState("waiting", "t double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times = [t for part in rows for t in part["t"].tolist()]
+        self.waiting.appendList([(t,) for t in times])
+        self.handle.registerTimer(self._due(min(times)))
+        yield self._rows(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        times = sorted(t for (t,) in self.waiting.get()) if self.waiting.exists() else []
+        later = [t for t in times if self._due(t) > now]
+        last, out = self.last.get()[0] if self.last.exists() else None, []
+        for t in times[: len(times) - len(later)]:
+            if last is None or t - last >= self.gap:
+                out.append(t)
+                last = t
         if out:
             self.last.update((last,))
-        yield pd.DataFrame({"key": [key[0]] * len(out), "t": out})
+        if len(later) < len(times):
+            self.waiting.clear()
+            if later:
+                self.waiting.appendList([(t,) for t in later])
+                self.handle.registerTimer(self._due(later[0]))
+        yield self._rows(key, out)
+
+    @staticmethod
+    def _due(t: float) -> int:
+        """The first whole millisecond after a time."""
+        return math.floor(t * 1000) + 1
+
+    @staticmethod
+    def _rows(key, times: list[float]) -> pd.DataFrame:
+        return pd.DataFrame({"key": plain_column(pd.Series([key[0]] * len(times), dtype=None if times else object)), "t": pd.Series(times, dtype=float)})
 
     def close(self) -> None:
         pass
 
 
-def coalesce_min_gap_stream(stream: DataFrame, key: str, t: str, gap: float) -> DataFrame:
+def coalesce_min_gap_stream(stream: DataFrame, key: str, t: str, gap: float, delay: str = "10 seconds") -> DataFrame:
+    """coalesce_min_gap of a stream whose times (seconds) come in any order, late by the delay at most: a time is decided once the watermark has passed it, so batches, and the order within them, make no difference. Later ones are dropped."""
     kind = stream.schema[key].dataType.simpleString()
-    s = stream.select(F.col(key).alias("key"), F.col(t).cast("double").alias("t"))
-    return s.groupBy("key").transformWithStateInPandas(MinGap(gap), f"key {kind}, t double", "Append", "None")
+    s = stream.select(F.col(key).alias("key"), F.col(t).cast("double").alias("t")).where("t is not null and not isnan(t)")
+    s = s.withColumn("_ts", F.timestamp_micros(F.floor(F.col("t") * 1e6))).withWatermark("_ts", delay)
+    return s.groupBy("key").transformWithStateInPandas(MinGap(gap), f"key {kind}, t double", "Append", "EventTime")

@@ -1,5 +1,7 @@
 import json
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,10 +60,78 @@ def test_small_functions(spark):
     assert one(spark, X.numbered_name("out_", F.lit(123), "mov")) == "out_123.mov"
 
 
-@pytest.mark.parametrize("long_keys", [False, True])
-def test_min_gap(spark, long_keys):
-    d = spark.createDataFrame([("a", t) for t in (2.0, 1.2, 1.4, 1.0)], "k string, t double")
-    assert [r.t for r in S.coalesce_min_gap(d, "k", long_keys=long_keys).orderBy("t").collect()] == [1.0, 1.4, 2.0]
+def _min_gap(times, gap):
+    out = []
+    for t in sorted(times):
+        if not out or t - out[-1] >= gap:
+            out.append(t)
+    return out
+
+
+@pytest.mark.parametrize("gap,span", [(0.33, 2), (0.3, 3), (5.0, 2), (0.33, 1024)])
+def test_min_gap(spark, gap, span):
+    """Random, dense, single and regular cuts (whose spans all end differently), null keys and times; spans of a few gaps need several rounds."""
+    r = np.random.default_rng(3)
+    keys = {"a": [2.0, 1.2, 1.4, 1.0, 1.0], "b": r.uniform(-20, 60, 3000).tolist(), "c": [0.1 * i for i in range(400)], "d": [0.11 * i for i in range(400)], "e": [-7.5], None: [1.0, 1.2, 1.5]}
+    rows = [(k, t) for k, ts in keys.items() for t in ts] + [("a", None), ("f", None), ("a", float("nan"))]
+    got = {}
+    for x in S.coalesce_min_gap(spark.createDataFrame(rows, "k string, t double").repartition(5), "k", gap=gap, span_gaps=span).collect():
+        got.setdefault(x.k, []).append(x.t)
+    assert {k: sorted(v) for k, v in got.items()} == {k: _min_gap(v, gap) for k, v in keys.items()}
+    assert S.coalesce_min_gap(spark.createDataFrame(rows, "k string, t double").limit(0), "k", gap=gap).count() == 0
+
+
+def test_min_gap_of_one_long_key(spark):
+    d = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.rand(5) * 200_000).alias("t")).repartition(8)
+    d.write.mode("overwrite").parquet(at := O.new_folder(spark, "cuts"))
+    d = spark.read.parquet(at)
+    got = S.coalesce_min_gap(d, "k", span_gaps=4096).toPandas()
+    want = _min_gap(d.toPandas().t.tolist(), 0.33)
+    assert sorted(got.t) == want
+    O.remove_folder(spark, at)
+
+
+def test_intervals(spark):
+    r = np.random.default_rng(1)
+    iv = [("a", i, float(x), float(x + w)) for i, (x, w) in enumerate(zip(r.uniform(-50, 50, 60), np.exp(r.uniform(-4, 5, 60)), strict=True))] + [("b", 0, 0.0, 1e6), ("b", 1, 5.0, 5.0), (None, 2, 0.0, 9.0)]
+    pt = [("ab"[i % 2], float(x), i % 90) for i, x in enumerate(r.uniform(-60, 60, 400))] + [("a", iv[0][2], 0), ("a", iv[0][3], 0), ("c", 1.0, 0), ("a", None, 0), (None, 1.0, 0), ("b", 1e6 - 1, 7)]
+    p, i = spark.createDataFrame(pt, "k string, t double, x int"), spark.createDataFrame(iv, "k string, i int, start_sec double, end_sec double")
+    inside = [(a, b) for a in pt for b in iv if a[0] is not None and a[0] == b[0] and a[1] is not None and b[2] <= a[1] < b[3]]
+    for width in (None, 0.01, 30.0):
+        got = S.assign_to_intervals(p, i, "k", width=width)
+        assert sorted((x.k, x.t, x.x, x.i) for x in got.collect()) == sorted((*a, b[1]) for a, b in inside)
+        hit = {a for a, _ in inside}
+        assert sorted(map(tuple, S.assign_to_intervals(p, i, "k", how="left_semi", width=width).collect())) == sorted(a for a in pt if a in hit)
+        assert S.assign_to_intervals(p, i, "k", how="left_anti", width=width).count() == sum(a not in hit for a in pt)
+        assert S.assign_to_intervals(p, i, "k", how="left", width=width).count() == len(inside) + sum(a not in hit for a in pt)
+    listed = S.assign_to_intervals(p.where("k = 'b'"), i.where("k = 'b'"), "k", width=1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" in listed and S.assign_to_intervals(p, i.limit(0), "k").count() == 0
+
+
+@pytest.mark.parametrize("eps", [0.02, 0.3, 1.2])
+def test_similar_pairs_by_brute_force(spark, eps):
+    r = np.random.default_rng(7)
+    x = np.concatenate([r.normal(c, 0.05, (60, 8)) for c in r.normal(0, 1, (6, 8))] + [np.zeros((2, 8)), np.ones((3, 8))])
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<double>").repartition(3)
+    n = np.linalg.norm(x, axis=1)[:, None]
+    u = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+    dist = np.clip(1 - u @ u.T, 0, 2)
+    want = {(i, j): dist[i, j] for i in range(len(x)) for j in range(i + 1, len(x)) if dist[i, j] <= eps}
+    for block in (16, 2048):
+        got = {(r.a, r.b): r.dist for r in V.similar_pairs(d, "id", "v", eps, pivots=12, block=block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    vectors, boxes = V.metric_index(d.where("v is not null"), "id", "v", pivots=12, block=16)
+    k, left = boxes.count(), V.block_pairs(boxes, (2 * eps) ** 0.5).count()
+    assert left <= k * (k + 1) // 2 and (eps > 0.1 or left < 0.35 * k * (k + 1) // 2)
+    assert V.similar_pairs(d.limit(0), "id", "v", eps).count() == 0
+
+
+def test_clusters_of_a_chain(spark):
+    n = 3000
+    e = spark.range(n).selectExpr("id as a", "id + 1 as b").union(spark.createDataFrame([(9000, 9001), (9001, 9000), (9002, 9002), (9005, 1)], "a long, b long"))
+    cores = spark.range(n + 1).union(spark.createDataFrame([(9000,), (9001,), (9002,), (9003,)], "id long"))
+    got = {r.id: r.root for r in V.clusters(e, cores).collect()}
+    assert got == {**dict.fromkeys(range(n + 1), 0), 9000: 9000, 9001: 9000, 9002: 9002, 9003: 9003}
 
 
 def test_segments_tile(spark):
@@ -131,18 +201,96 @@ def test_report_against_local_directories(spark, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
+ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def test_min_gap_stream(spark, tmp_path):
-    rows = spark.createDataFrame([(k, t) for k in "ab" for t in (2.0, 1.2, 1.4, 1.0)], "k string, t double")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    s = M.coalesce_min_gap_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "k", "t", 0.33)
-    conf = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Times dealt at random over batches, a batch a file, give what the table gives; what the watermark has passed leaves the state."""
+    r = np.random.default_rng(2)
+    times = {k: np.round(np.sort(r.uniform(0, 40, 120)), 3).tolist() for k in "ab"}
+    rows = [(k, t) for k in "ab" for t in times[k]]
+    dealt = r.integers(0, 6, len(rows)).tolist()
+    batches = [[x for x, b in zip(rows, dealt, strict=True) if b == k] for k in range(6)]
+    src = tmp_path / "in"
+    src.mkdir()
+    for k, b in enumerate([*batches, [("z", 500.0)], [("z", 900.0)]]):
+        (src / f"{k}.csv").write_text("\n".join(f"{key},{t!r}" for key, t in b))
+        os.utime(src / f"{k}.csv", (1000 + k, 1000 + k))
+    stream = spark.readStream.schema("k string, t double").option("maxFilesPerTrigger", 1).csv(str(src))
+    spark.conf.set(*ROCKS)
+    try:
+        q = M.coalesce_min_gap_stream(stream, "k", "t", 0.33, "60 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.unset(ROCKS[0])
+    got = {}
+    for x in spark.read.parquet(str(tmp_path / "out")).collect():
+        got.setdefault(x.key, []).append(x.t)
+    assert {k: sorted(got[k]) for k in "ab"} == {k: _min_gap(times[k], 0.33) for k in "ab"}
+
+
+def test_arrivals_forget_keys(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(5):
+        (src / f"{k}.csv").write_text("\n".join(f"d{i % 2}/{k}-{i}.mov,{1000 * k + i + 1}" for i in [*range(50), *range(20)]))
+        os.utime(src / f"{k}.csv", (1000 + k, 1000 + k))
+    stream = spark.readStream.schema("key string, at long").option("maxFilesPerTrigger", 1).csv(str(src)).withColumn("ts", F.timestamp_seconds("at"))
+    counts = M.arrivals(stream, r"\.mov$", F.substring_index("key", "/", 1), ts="ts", delay="100 seconds")
+    q = counts.writeStream.outputMode("complete").format("memory").queryName("arrived").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r.dir, r.n) for r in spark.table("arrived").collect()} == {("d0", 125), ("d1", 125)}
+    kept = [s.numRowsTotal for p in q.recentProgress for s in p.stateOperators if s.operatorName == "dedupeWithinWatermark"]
+    assert max(kept) <= 100 < 250 and kept[-1] < max(kept)
+
+
+def test_report_once_over_restarts(spark, tmp_path):
+    src, out, c = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
+    src.mkdir()
+    stream = lambda: M.arrivals(spark.readStream.schema("key string").csv(str(src)), r"\.mov$", F.substring_index("key", "/", 1))
+    (src / "1.csv").write_text("a/1.mov\na/2.mov\n")
+    q = M.report_when_complete(stream(), 3, out, c, interval="1 second")
+    assert not M.await_report(q, out, spark, 0.5, 4) and q.isActive
+    q.stop()  # lost before the report
+    (src / "2.csv").write_text("b/1.mov\n")
+    q = M.report_when_complete(stream(), 3, out, c, interval="1 second")
+    assert M.await_report(q, out, spark, 0.5, 60) and not q.isActive
+    first = sorted(map(tuple, spark.read.json(out).collect()))
+    (src / "3.csv").write_text("b/2.mov\n")
+    q = M.report_when_complete(stream(), 3, out, c)  # started again after it
+    q.awaitTermination(60)
+    assert sorted(map(tuple, spark.read.json(out).collect())) == first and [r[1:] for r in first] == [("a", 2), ("b", 1)]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Numbers, sections and positions over many splits, across stretches without a header."""
+    lines = ["early", "videos", *(f"http://v/{i}" for i in range(3000)), "", "._x", "AUDIOS", *(f"http://a/{i}" for i in range(2000)), "http://a/7", "Videos", *(f"http://v/{i}" for i in range(2990, 3010))]
+    (tmp_path / "m.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        d = IO._lines(spark, str(tmp_path / "m.txt"))
+        assert d.rdd.getNumPartitions() > 1 and [r.line for r in d.orderBy("pos").collect()] == lines and sorted(r.pos for r in d.collect()) == list(range(len(lines)))
+        got = IO.read_manifest(spark, str(tmp_path / "m.txt"))
+        assert sorted((r.kind, r.pos, r.url) for r in got.collect()) == sorted([("video", i + 1, f"http://v/{i}") for i in range(3010)] + [("audio", i + 1, f"http://a/{i}") for i in range(2000)])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    t = spark.createDataFrame([("f", i, "h" if i in (3, 40) else None) for i in range(100)], "file string, pos long, h string")
+    for rows in (1, 7, 1000):
+        got = O.fill_section(t, ["file"], "pos", F.when(F.col("h").isNotNull(), F.col("pos")), rows=rows).orderBy("pos").collect()
+        assert [r.kind for r in got] == [None] * 3 + [3] * 37 + [40] * 60
+
+
+def test_manifest_in_parts(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        s.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+        rows = [(k, i + 1, f"http://{k}/{i}") for k, n in (("video", 500), ("audio", 300)) for i in range(n)]
+        IO.write_manifest(spark.createDataFrame(rows, "kind string, pos long, url string").repartition(6), str(tmp_path / "m"))
     finally:
-        spark.conf.unset(conf)
-    got = sorted((r.key, r.t) for r in spark.read.parquet(str(tmp_path / "out")).collect())
-    assert got == [(k, t) for k in "ab" for t in (1.0, 1.4, 2.0)]
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "m").glob("part-*"))
+    assert len(parts) > 1 and sorted((r.kind, r.pos, r.url) for r in IO.read_manifest_parts(spark, str(tmp_path / "m")).collect()) == sorted(rows)
+    (tmp_path / "one.txt").write_text("".join(p.read_text() for p in parts))
+    assert sorted((r.kind, r.pos, r.url) for r in IO.read_manifest(spark, str(tmp_path / "one.txt")).collect()) == sorted(rows)
 
 
 def test_ordinals(spark):
