@@ -37,7 +37,7 @@ from mediaframe.llm._spark import by_merging, checkpointed, components, sized
 NUM, DEN = 3, 4  # the similarity, 0.75
 HOT_SHARE, HOT_LEAST, HOT_MOST = 1 << 14, 8, 1 << 19
 SEGMENT_BYTES = 4 << 20
-#: Entries of regions that a task packs together; rows of ids (16 bytes each) that are broadcast at most, beyond which they are joined by shuffling.
+#: Entries of regions that a task packs together; rows of ids (24 bytes each) that are broadcast at most, beyond which they are joined by shuffling.
 ENTRIES, BROADCAST_ROWS = 1 << 18, 1 << 20
 PIVOT_PAIRS, GROUP_ROWS = 512, 1 << 15
 #: Shingles of a task that are counted together for the order.
@@ -84,19 +84,19 @@ def _runs(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.Recor
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and one for about COUNTED shingles with those among them that are there more than once and their counts."""
-    names, types = ["doc_id", "n", "c", "sig", "hot", "hot_n"], (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    names, types = ["doc_id", "h", "n", "c", "sig", "hot", "hot_n"], (*(pa.int64(),) * 4, *(pa.binary(),) * 3)
     kept, waiting = [], 0
 
     def often() -> pa.RecordBatch:
         s = np.sort(np.concatenate(kept))
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(s)))
-        row = (None, -1, None, None, s[first][count > 1].tobytes(), count[count > 1].astype(np.uint32).tobytes())
+        row = (None, None, -1, None, None, s[first][count > 1].tobytes(), count[count > 1].astype(np.uint32).tobytes())
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
-    for b, sets in _runs(batches, 1):
+    for b, sets in _runs(batches, 2):
         none = [None] * len(sets)
-        cols = (b.column(0).to_pylist(), [len(s) for s in sets], class_ids(sets).tolist(), [signature(x) if len(x) else None for x in sets], none, none)
+        cols = (b.column(0).to_pylist(), b.column(1).to_pylist(), [len(s) for s in sets], class_ids(sets).tolist(), [signature(x) if len(x) else None for x in sets], none, none)
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types, strict=True)], names)
         kept += sets
         waiting += sum(map(len, sets))
@@ -272,10 +272,11 @@ def _joined(_: tuple, g: pd.DataFrame, fetched: pd.DataFrame) -> pd.DataFrame:
 def near_documents(docs: DataFrame, direct: int = 8, block: int = 1024) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each row of docs (columns doc_id, text). direct: regions of at most so many classes are compared as they are; block: classes of a block of a larger one."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = checkpointed(docs.mapInArrow(_described, "doc_id long, n long, c long, sig binary, hot binary, hot_n binary"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    described = checkpointed(texts.mapInArrow(_described, "doc_id long, h long, n long, c long, sig binary, hot binary, hot_n binary"))
     rows = described.where("n >= 0")
     size = rows.agg(F.count(F.lit(1)).alias("d"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "h")).alias("text_of"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = classes.repartition("c").persist()  # kept by key, so only what is joined to it is shuffled
     power = min(30, max(5, int(np.ceil(np.log2(max(1, 3 * size.n / SEGMENT_BYTES))))))
     met = checkpointed(_regions(docs, _hot(described, size.d), power, direct))
@@ -293,8 +294,8 @@ def near_documents(docs: DataFrame, direct: int = 8, block: int = 1024) -> DataF
         return member.where("kind = 1").join(by_merging(table.where("kind = 1")), ["kind", "s"]).unionByName(member.where("kind = 2").join(F.broadcast(table.where("kind = 2")), ["kind", "s"]))
 
     def fetched(wanted: DataFrame) -> DataFrame:
-        """Sets (c, members) of the classes in wanted (c), from one text of each; equal sets can have several rows with the least doc_id, so one is chosen again."""
-        chosen, n = sized(classes.join(wanted.distinct(), "c", "left_semi").select(F.col("least").alias("id"), F.col("c").alias("want")))
+        """Sets (c, members) of the classes in wanted (c), from one text of each: that of its least doc_id and hash, so that rows of one doc_id, or of none, don't meet each other. Rows that are equal in both can be several, so one is chosen again."""
+        chosen, n = sized(classes.join(wanted.distinct(), "c", "left_semi").select(F.col("text_of.doc_id").alias("id"), F.col("text_of.h").alias("hash"), F.col("c").alias("want")))
         chosen = F.broadcast(chosen) if n <= BROADCAST_ROWS else by_merging(chosen)
 
         def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +303,8 @@ def near_documents(docs: DataFrame, direct: int = 8, block: int = 1024) -> DataF
                 keep = class_ids(sets) == b.column(1).to_numpy()
                 yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(keep)), pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], ["c", "members"])
 
-        texts = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want")
-        return texts.mapInArrow(sets_of, "c long, members binary").repartition("c").dropDuplicates(["c"]).persist()  # shuffled once; lost parts are made again from the texts
+        found = texts.join(chosen, (F.col("h") == F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want")
+        return found.mapInArrow(sets_of, "c long, members binary").repartition("c").dropDuplicates(["c"]).persist()  # shuffled once; lost parts are made again from the texts
 
     # first round: the pairs of small regions, and each larger region's classes with its pivot. A pair begins with the class
     # of the lesser hash, as each pivot is in its region; a pivot's pairs are dealt over copies of it, one for PIVOT_PAIRS

@@ -4,12 +4,13 @@ A line's tokens are what single blanks separate after trimming (tabs and the lik
 is a variable field, `<*>`. The tree's path of a line is its number of tokens and its first `depth` tokens. In a leaf, a
 token stays in the template if at least `min_docs` lines of the leaf have it at that place; any other becomes `<*>`.
 A template recurs if at least `min_docs` documents have it and at least `min_constant` of its tokens are constant; its
-lines are dropped wherever they stand. Lines of fewer than `min_tokens` tokens are left alone, or with `short` take part
-too, if all of their tokens are constant and they are not blank. With `keep_first` a template's lines stay in its
+lines are dropped wherever they stand. Lines of fewer than `min_tokens` tokens take part if all of their tokens are
+constant and they are not blank (without `short` they are left alone). With `keep_first` a template's lines stay in its
 document of smallest doc_id (null last, then the smallest key), so that of copies one stays whole.
 
 The tree is never held in one place: leaves, supports and templates are counted by hash-partitioned, partially
-aggregated jobs, and only leaves with enough lines go on to the token level.
+aggregated jobs, and only leaves with enough lines go on to the token level. What recurs is written before it is joined
+to the lines, so that Spark broadcasts it where it is small and else splits the partitions of frequent keys.
 
 Nulls and ties: a null text has no lines and stays null; an empty text has one empty line, which stays. Rows equal in
 doc_id and text count as one document and get the same result; a null doc_id is a value like any other. Other columns
@@ -33,7 +34,7 @@ def _leaf(tokens: Column, depth: int) -> Column:
     return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 4, min_tokens: int = 4, min_constant: float = 0.6, short: bool = False, keep_first: bool = False) -> DataFrame:
+def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 4, min_tokens: int = 4, min_constant: float = 0.6, short: bool = True, keep_first: bool = False) -> DataFrame:
     """Rows (_ld_k, _ld_drop): the key of a document (hash of doc_id and text) and the places of its lines to drop."""
     order = ["_ld_o"] if keep_first else []
     d = docs.select(F.xxhash64("doc_id", "text").alias("_ld_k"), "text", *(F.col("doc_id").alias(x) for x in order)).where("text is not null")
@@ -43,14 +44,14 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 4, min_toke
     if short:
         long_enough |= ~F.array_contains("t", "<*>") & (F.element_at("t", 1) != "")
     leaf = checkpointed(toks.where(long_enough).select("_ld_k", "pos", _leaf(F.col("t"), depth).alias("leaf")))
-    wide = leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf")
+    wide = checkpointed(leaf.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf"))
     places = leaf.join(wide, "leaf").groupBy("_ld_k").agg(F.collect_set("pos").alias("at"))
     text = d.join(places, "_ld_k").select("_ld_k", *order, F.split("text", "\n").alias("l"), F.explode("at").alias("pos")).dropDuplicates(["_ld_k", "pos"])
     text = text.withColumn("t", F.split(_masked(F.element_at("l", F.col("pos") + 1)), " "))
     cand = checkpointed(text.select("_ld_k", "pos", *order, _leaf(F.col("t"), depth).alias("leaf"), F.transform("t", lambda x: F.when(x != "<*>", F.xxhash64(x))).alias("t")))
     tokens = cand.select("_ld_k", "pos", "leaf", F.posexplode("t").alias("p", "x"))
     support = tokens.where("x is not null").groupBy("leaf", "p", "x").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    kept = tokens.join(support.select("leaf", "p", "x", F.lit(1).alias("c")), ["leaf", "p", "x"])
+    kept = tokens.join(checkpointed(support.select("leaf", "p", "x")), ["leaf", "p", "x"])
     templates = kept.groupBy("_ld_k", "pos").agg(F.first("leaf").alias("leaf"), F.array_sort(F.collect_list(F.struct("p", "x"))).alias("c"))
     size = cand.select(F.col("_ld_k").alias("k2"), F.col("pos").alias("pos2"), F.size("t").alias("n"), *order)
     templates = templates.join(size, (F.col("_ld_k") == F.col("k2")) & (F.col("pos") == F.col("pos2")))
@@ -58,7 +59,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 8, depth: int = 4, min_toke
     templates = checkpointed(templates.where(F.size("c") >= least).select("_ld_k", "pos", F.xxhash64("leaf", "c").alias("tpl"), *order))
     first = [F.min(F.struct(F.col(x).isNull(), x, "_ld_k"))["_ld_k"].alias("_ld_first") for x in order]
     often = templates.select("tpl", "_ld_k", *order).distinct().groupBy("tpl").agg(F.count(F.lit(1)).alias("n"), *first).where(F.col("n") >= min_docs).drop("n")
-    hits = templates.join(often, "tpl")
+    hits = templates.join(checkpointed(often), "tpl")
     if keep_first:
         hits = hits.where("_ld_k <> _ld_first")
     return hits.groupBy("_ld_k").agg(F.collect_set("pos").alias("_ld_drop"))

@@ -179,7 +179,7 @@ def near_words(words: DataFrame, block: int = 2048) -> DataFrame:
     group = F.when(blocks == 1, F.xxhash64(F.pmod(F.xxhash64("key", "m"), F.lit(groups)))).otherwise(F.xxhash64("key", "m", "by_prefix", i, j))
     side = F.when((blocks == 1) | (i == j), -1).otherwise(F.when(F.col("own") == i, 0).otherwise(1))
     d = d.select(group.alias("group"), "word", "n", "m", "by_prefix", "key", side.alias("side"))
-    found = d.groupBy("group").applyInPandas(lambda g: _summed(g), "word string, n_near long, best string, best_n long")
+    found = d.repartition(max(8, groups // 8), "group").groupBy("group").applyInPandas(lambda g: _summed(g), "word string, n_near long, best string, best_n long")
     best = F.min(F.struct((-F.col("best_n")).alias("k"), F.col("best").alias("w"))).alias("b")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", F.col("b.w").alias("best"), (-F.col("b.k")).alias("best_n"))
 

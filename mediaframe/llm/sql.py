@@ -5,13 +5,13 @@ _WORDS = r"'[^\x20\x09-\x0D]+'"
 LINES = r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents),
 f AS (SELECT doc_id, pos, line, trim(translate(line, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' ') AS flat FROM l),
 t AS (SELECT doc_id, pos, string_split(regexp_replace(flat, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS t FROM f),
-g AS (SELECT doc_id, pos, len(t) AS n, t, list_concat([CAST(len(t) AS VARCHAR)], t[1:4]) AS leaf FROM t WHERE len(t) >= 4),
+g AS (SELECT doc_id, pos, len(t) AS n, t, list_concat([CAST(len(t) AS VARCHAR)], t[1:4]) AS leaf FROM t WHERE len(t) >= 4 OR (NOT list_contains(t, '<*>') AND t[1] <> '')),
 w AS (SELECT leaf FROM g GROUP BY leaf HAVING count(*) >= 8),
 c AS (SELECT g.* FROM g JOIN w ON g.leaf = w.leaf),
 x AS (SELECT doc_id, pos, n, leaf, generate_subscripts(t, 1) AS p, unnest(t) AS x FROM c),
 s AS (SELECT leaf, p, x FROM x WHERE x <> '<*>' GROUP BY ALL HAVING count(*) >= 8),
 k AS (SELECT x.doc_id, x.pos, any_value(x.n) AS n, any_value(x.leaf) AS leaf, list({'p': x.p, 'x': x.x} ORDER BY x.p) AS c FROM x JOIN s ON x.leaf = s.leaf AND x.p = s.p AND x.x = s.x GROUP BY x.doc_id, x.pos),
-m AS (SELECT doc_id, pos, leaf, c FROM k WHERE len(c) >= n * 0.6),
+m AS (SELECT doc_id, pos, leaf, c FROM k WHERE len(c) >= CASE WHEN n < 4 THEN n ELSE n * 0.6 END),
 o AS (SELECT leaf, c FROM m GROUP BY leaf, c HAVING count(DISTINCT doc_id) >= 8),
 d AS (SELECT m.doc_id, m.pos FROM m JOIN o ON m.leaf = o.leaf AND m.c = o.c)
 SELECT l.doc_id, count(*) AS n_lines, count(d.pos) AS n_dropped, sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (d.pos IS NULL), '')) AS kept_sha256

@@ -105,3 +105,15 @@ def test_signatures_never_reject_a_link():
         y = np.unique(np.concatenate((x[r.random(len(x)) < 0.87], r.integers(0, 2**63, len(x) // 12).astype(np.uint64))))
         if len(y) and 4 * len(np.intersect1d(x, y)) >= 3 * len(np.union1d(x, y)):
             assert J.may_link(J.signature(x), J.signature(y), len(x), len(y))
+
+
+def test_many_rows_of_one_id_or_none(spark):
+    """Every class is fetched from one text of its own, whatever rows share its doc_id."""
+    texts = [" ".join(f"w{i // 3}x{k}" if k else f"v{i}" for k in range(60)) for i in range(3000)]
+    rows = [(None if i % 2 else 7 + i % 4, t) for i, t in enumerate(texts)]
+    got = J.near_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    ids = {}
+    for i, (d, _) in enumerate(rows):
+        ids.setdefault(i // 3, []).append(d)
+    want = sorted(str((d, 56, min(x for x in ids[i // 3] if x is not None) if any(x is not None for x in ids[i // 3]) else None)) for i, (d, _) in enumerate(rows))
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == want

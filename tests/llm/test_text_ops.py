@@ -222,12 +222,12 @@ def _brute_lines(docs, min_docs=3, depth=2, min_tokens=3, min_constant=0.5):
         return ["<*>" if any(c in "0123456789" for c in t) else t for t in x.translate({9: " ", 11: " ", 12: " ", 13: " "}).strip(" ").split(" ")]
 
     lines = {(d, i): tokens(x) for d, t in docs if t is not None for i, x in enumerate(t.split("\n"))}
-    lines = {k: t for k, t in lines.items() if len(t) >= min_tokens}
+    lines = {k: t for k, t in lines.items() if len(t) >= min_tokens or ("<*>" not in t and t[0])}
     leaf = lambda t: (len(t), *t[:depth])
     n = Counter(leaf(t) for t in lines.values())
     support = Counter((leaf(t), p, x) for t in lines.values() if n[leaf(t)] >= min_docs for p, x in enumerate(t))
     tpl = {k: (leaf(t), tuple(x if x != "<*>" and support[leaf(t), p, x] >= min_docs else None for p, x in enumerate(t))) for k, t in lines.items()}
-    tpl = {k: v for k, v in tpl.items() if sum(x is not None for x in v[1]) >= max(1, min_constant * len(v[1]))}
+    tpl = {k: v for k, v in tpl.items() if sum(x is not None for x in v[1]) >= (len(v[1]) if len(v[1]) < min_tokens else max(1, min_constant * len(v[1])))}
     often = Counter(v for v, _ in {(v, k[0]) for k, v in tpl.items()})
     return {k for k, v in tpl.items() if often[v] >= min_docs}
 
@@ -242,7 +242,8 @@ def test_recurring_lines_equal_brute_force(spark):
     docs += [(100, ""), (101, "\n\n"), (102, None)]
     df = spark.createDataFrame([(*d, "x", 7) for d in docs], "doc_id long, text string, line string, n_chars long")
     drop = _brute_lines(docs)
-    assert any(k[1] >= 0 for k in drop) and len(drop) < 360
+    size = {(d, i): len(x.split()) for d, t in docs if t for i, x in enumerate(t.split("\n"))}
+    assert {size[k] for k in drop} >= {1, 2, 3} and len(drop) < 360
     got = {x.doc_id: x for x in line_dedup.drop_recurring_lines(df, min_docs=3, depth=2, min_tokens=3, min_constant=0.5).collect()}
     for d, t in docs:
         want = t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in drop)
