@@ -15,6 +15,7 @@ from mediaframe.operators.ordered import kept, mean_vector, new_folder, plain_co
 MAX_BROADCAST_GROUPS = 4096
 #: Pivots of a metric index, the vectors that they are chosen from, vectors of a block.
 PIVOTS, PIVOT_SAMPLE, BLOCK_VECTORS = 32, 1024, 2048
+GROUP_POINTS = 1 << 14
 
 
 def _unit(vec: str):
@@ -158,21 +159,82 @@ def clusters(edges: DataFrame, cores: DataFrame) -> DataFrame:
 
 
 def nearest_centroid(points: DataFrame, centroids: DataFrame, key: str, vec: str, max_dist: float) -> DataFrame:
-    """(key, group, dist) for points with a centroid strictly nearer than max_dist; ties go to the smallest group. Centroids are broadcast up to a checked number, beyond that dealt over tiles."""
-    c = centroids.select(F.col("group").alias("g"), F.col(vec).alias("gv"))
-    few = c.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    """(key, group, dist) for points (key is unique) with a centroid strictly nearer than max_dist; ties go to the smallest group. Centroids are broadcast up to a checked number, beyond that they are kept under parents."""
+    c = centroids.select(F.col("group").alias("g"), _unit(vec).alias("gv"))
     p = points.select(key, _unit(vec).alias("pv"))
-    c = c.select("g", _unit("gv").alias("gv"))
-    if few:
-        j = p.crossJoin(F.broadcast(c))
-    else:  # each point meets every tile of centroids in a task of its own
-        tiles = 64
-        j = p.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).join(c.withColumn("u", F.pmod(F.xxhash64("g"), F.lit(tiles)).cast("int")), F.col("t") == F.col("u"))
-    j = j.withColumn("dist", 1 - dot("pv", "gv")).where(F.col("dist") < max_dist)
+    if c.limit(MAX_BROADCAST_GROUPS + 1).count() > MAX_BROADCAST_GROUPS:
+        return _nearest_by_parents(p, c, key, max_dist)
+    dot = F.aggregate(F.zip_with("pv", "gv", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    j = p.crossJoin(F.broadcast(c)).withColumn("dist", 1 - dot).where(F.col("dist") < max_dist)
     return j.groupBy(key).agg(F.min(F.struct("dist", "g")).alias("m")).select(key, F.col("m.g").alias("group"), F.col("m.dist").alias("dist"))
 
 
+def _nearest_by_parents(p: DataFrame, c: DataFrame, key: str, max_dist: float) -> DataFrame:
+    """nearest_centroid by descent: centroids (g, gv) are listed under the nearest of PIVOTS parents, each with the radius that covers its list. A point first meets the list of its nearest parent; with the distance found there it goes on to those parents alone that can have a nearer one (its distance from the parent less the radius). Points of a list are dealt over groups of GROUP_POINTS."""
+    c, p = kept(c), kept(p)
+    sample = c.orderBy(F.xxhash64("g"), "g").limit(PIVOT_SAMPLE).select("gv").toPandas()
+    parents = _spread(_numbers(sample.gv), PIVOTS)
+
+    def placed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in parts:
+            if len(g):
+                far = _distances(_numbers(g.gv), parents)
+                yield g.assign(cell=far.argmin(1).astype(np.int32), near=far.min(1))
+
+    kinds = {"g": c.schema["g"].dataType.simpleString(), key: p.schema[key].dataType.simpleString()}
+    c = kept(c.mapInPandas(placed, f"g {kinds['g']}, gv array<double>, cell int, near double"))
+    found = c.groupBy("cell").agg(F.max("near").alias("r")).orderBy("cell").collect()  # a row a parent
+    cells, radius = np.array([r.cell for r in found], np.int32), np.array([r.r for r in found])
+    parents = parents[cells]
+
+    def first(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in parts:
+            if len(g):
+                yield g.assign(cell=cells[_distances(_numbers(g.pv), parents).argmin(1)])
+
+    def others(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in parts:
+            if len(g):
+                far = _distances(_numbers(g.pv), parents)
+                bound = np.sqrt(2 * np.maximum(0.0, g.dist.to_numpy()))
+                i, j = np.nonzero((far - radius <= bound[:, None] + 1e-6) & (np.arange(len(cells)) != far.argmin(1)[:, None]))
+                yield g[[key, "pv"]].iloc[i].reset_index(drop=True).assign(cell=cells[j])
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        i, j, dist = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(x) and len(y):
+            u, v = _numbers(x.pv), _numbers(y.gv)
+            y = y.reset_index(drop=True)
+            order = np.empty(len(y), np.int64)
+            order[y.g.sort_values().index.to_numpy()] = np.arange(len(y))
+            for k in range(0, len(u), 256):
+                d = 1 - u[k : k + 256] @ v.T
+                p, q = np.nonzero(d <= d.min(1)[:, None] + 1e-9)  # what can be the least is summed again, term after term
+                exact = 1 - np.add.accumulate(u[k + p] * v[q], axis=1)[:, -1]
+                best = np.lexsort((order[q], exact, p))
+                best = best[np.concatenate(([True], p[best][1:] != p[best][:-1]))]
+                best = best[exact[best] < max_dist]
+                i.append(k + p[best])
+                j.append(q[best])
+                dist.append(exact[best])
+        i, j, dist = np.concatenate(i), np.concatenate(j), np.concatenate(dist)
+        return pd.DataFrame({key: plain_column(x[key].iloc[i]), "g": plain_column(y.g.iloc[j]), "dist": dist})
+
+    def met(routed: DataFrame) -> DataFrame:
+        routed = kept(routed)
+        groups = routed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / GROUP_POINTS).cast("int").alias("m"))  # a row a parent
+        x = routed.join(F.broadcast(groups), "cell").withColumn("part", F.pmod(F.xxhash64(key), F.col("m")).cast("int"))
+        y = c.join(F.broadcast(groups), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        y = y.select(F.col("cell").alias("cell2"), F.col("part").alias("part2"), "g", "gv")
+        return x.select("cell", "part", key, "pv").groupBy("cell", "part").cogroup(y.groupBy("cell2", "part2")).applyInPandas(meet, f"{key} {kinds[key]}, g {kinds['g']}, dist double")
+
+    at_first = kept(met(p.mapInPandas(first, f"{key} {kinds[key]}, pv array<double>, cell int")))
+    known = at_first.select(F.col(key).alias("_k"), "dist")
+    rest = p.join(known, F.col(key) == F.col("_k"), "left").select(key, "pv", F.coalesce("dist", F.lit(float(max_dist))).alias("dist"))
+    found = at_first.union(met(rest.mapInPandas(others, f"{key} {kinds[key]}, pv array<double>, cell int")))
+    return found.groupBy(key).agg(F.min(F.struct("dist", "g")).alias("m")).select(key, F.col("m.g").alias("group"), F.col("m.dist").alias("dist"))
+
+
 def group_by_similarity(vectors: DataFrame, key: str, vec: str, eps: float = 0.35, min_samples: int = 2, every: DataFrame | None = None) -> DataFrame:
     """(key, group_id): face_001, ... numbered by each cluster's first core, then noise (to the nearest cluster's mean within 1.5 eps, else groups of its own); keys of every without vectors: no_face."""
     m = kept(mean_vector(vectors.where(F.size(vec) > 0), key, vec))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaframe.functions import text as X
@@ -25,14 +25,15 @@ def convert_spots(df: DataFrame, src: float, dst: float, start: str, end: str, d
 
 
 def plan_shots(spots: DataFrame, show: str, start: str, end: str, name: str, desc: str, limit: int | None = None, partition: list | None = None) -> DataFrame:
-    """Clips in the order of their start, numbered over those that are neither duplicates nor malformed."""
+    """Clips in the order of their start, numbered over those that are neither duplicates nor malformed; without a partition, which must fit a task, over all rows by one sort."""
     p = partition or []
     d = O.limit_by_ordinal(spots, limit).where((TC.strip(start) != "") & (TC.strip(end) != ""))
     d = d.withColumn("sort_frame", F.coalesce(TC.timecode_to_frames(start), F.lit(0)))
     d = O.first_by_key(d, [*p, start, end], ["sort_frame", "_ord"])
     d = d.withColumns(TC.clip_bounds(start, end)).withColumn("status", F.coalesce("status", F.when(F.col("start_frame").isNull() | F.col("end_frame").isNull(), "invalid"), F.lit("planned")))
     ok = F.col("status") == "planned"
-    d = d.withColumn("index", F.when(ok, F.row_number().over(Window.partitionBy(*p, "status").orderBy("sort_frame", "_ord"))))
+    order = [*p, "status"], ["sort_frame", "_ord"], "index"
+    d = (O.number_rows(d, *order) if p else O.number_within(d, *order)).withColumn("index", F.when(ok, F.col("index").cast("int")))
     return d.withColumn("code", X.severity_code(name, desc)).withColumn("clip", F.when(ok, X.clip_name(show, "index", "code", F.col(start), F.col(end))))
 
 
@@ -114,9 +115,9 @@ def plan_download_sync(objects: DataFrame, prefix: str, dest: str) -> DataFrame:
 
 
 def plan_rename(inventory: DataFrame, folder: list, name: str, created: str, exts=X.VIDEO_EXTENSIONS) -> DataFrame:
-    """NN.ext by creation time within folder and extension. A target that another file holds is a conflict, unless that file stands earlier in the order and moves away itself; chains settle by rounds."""
+    """NN.ext by creation time within folder and extension. A target that another file holds is a conflict, unless that file stands earlier in the order and moves away itself; chains settle by rounds. A folder can have any number of files."""
     d = inventory.where(X.is_video_ext(name, exts)).withColumn("ext", X.extension(name))
-    d = d.withColumn("n", F.row_number().over(Window.partitionBy(*folder, "ext").orderBy(created, name)))
+    d = O.number_within(d, [*folder, "ext"], [created, name]).withColumn("n", F.col("n").cast("int"))
     d = d.withColumn("target", X.numbered_name("", "n", "%s")).withColumn("target", F.replace("target", F.lit("%s"), F.col("ext")))
     d = J.name_conflicts(d, d.select(*folder, name, "n"), "target", name, folder)
     same = F.col(name) == F.col("target")

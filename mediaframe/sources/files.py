@@ -122,13 +122,23 @@ def collect_groups(df: DataFrame, group: str, member: str) -> DataFrame:
     return df.groupBy(group).agg(F.array_sort(F.collect_list(member)).alias("members"))
 
 
-def write_groups(df: DataFrame, path: str, group: str = "group_id", member: str = "clip", long_form: bool = True) -> None:
-    """One JSON line a group, or (not long_form, for small results) one object of all groups."""
-    g = collect_groups(df, group, member)
+def write_groups(df: DataFrame, path: str, group: str = "group_id", member: str = "clip", long_form: bool = True, most: int | None = None) -> None:
+    """One JSON line a group; with most, a line for each so many of its members in order (group, chunk, members), so that a group can be of any size. Or (not long_form) one object of all groups, a line a member in text files whose order by name is that of the lines; null groups and members are left out of it."""
+    if long_form and most is None:
+        return collect_groups(df, group, member).write.json(path)
     if long_form:
-        g.write.json(path)
-    else:
-        g.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(group, "members"))))).alias("value")).write.text(path)
+        d = number_within(df.select(group, member), group, [member], "_n").groupBy(group, F.floor((F.col("_n") - 1) / most).alias("chunk"))
+        return d.agg(F.array_sort(F.collect_list(member)).alias("members")).write.json(path)
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    d = df.select(F.col(group).alias("g"), F.col(member).alias("m")).where("g is not null and m is not null")
+    sizes = d.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    ends = sizes.agg(F.min("g").alias("least"), F.max("g").alias("most"))
+    d = kept(number_within(d, "g", ["m"]).join(sizes.withColumnRenamed("g", "_g"), F.col("g") == F.col("_g")))
+    begins, stops = F.col("n") == 1, F.col("n") == F.col("size")
+    head = F.when(begins, F.concat(F.when(F.col("g") == F.col("least"), "{").otherwise(""), quoted("cast(g as string)"), F.lit(": ["))).otherwise("")
+    tail = F.when(~stops, ",").when(F.col("g") == F.col("most"), "]}").otherwise("],")
+    d = d.crossJoin(F.broadcast(ends)).select("g", "n", F.concat(head, quoted("m"), tail).alias("value"))
+    d.repartitionByRange("g", "n").sortWithinPartitions("g", "n").select("value").write.text(path)
 
 
 def write_grouped_layout(df: DataFrame, path: str, group: str = "group_id") -> None:

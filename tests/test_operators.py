@@ -321,10 +321,48 @@ def test_long_rename_chain(spark):
     assert plan == {f"{i:02d}.mov": (f"{i - 1:02d}.mov", "rename") for i in range(2, 40)}
 
 
-def test_grouped_output_as_one_object(spark, tmp_path):
-    d = spark.createDataFrame([("g1", "b"), ("g1", "a"), ("g2", "c")], "group_id string, clip string")
-    IO.write_groups(d, str(tmp_path / "g"), long_form=False)
-    assert json.loads(spark.read.text(str(tmp_path / "g")).first()[0]) == {"g1": ["a", "b"], "g2": ["c"]}
+def test_grouped_output(spark, tmp_path):
+    d = spark.createDataFrame([("g1", "b"), ("g1", 'a"'), ("g2", "c"), ("g2", None), (None, "d")] + [("g3", f"m{i:04d}") for i in range(2500)], "group_id string, clip string")
+    want = {"g1": ['a"', "b"], "g2": ["c"], "g3": [f"m{i:04d}" for i in range(2500)]}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        IO.write_groups(d, str(tmp_path / "g"), long_form=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted((tmp_path / "g").glob("part-*"))
+    assert len(parts) > 1 and json.loads("".join(p.read_text() for p in parts)) == want
+    IO.write_groups(d.where("group_id is not null and clip is not null"), str(tmp_path / "l"), most=100)
+    rows = spark.read.json(str(tmp_path / "l")).orderBy("group_id", "chunk").collect()
+    assert max(len(r.members) for r in rows) == 100 and {g: [m for r in rows if r.group_id == g for m in r.members] for g in want} == want
+    IO.write_groups(d.limit(0), str(tmp_path / "e"), long_form=False)
+    assert spark.read.text(str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize("max_dist", [0.1, 0.5, 1.5])
+def test_nearest_centroid_by_parents(spark, monkeypatch, max_dist):
+    r = np.random.default_rng(8)
+    c = np.concatenate([r.normal(0, 1, (200, 6)), np.zeros((1, 6))])
+    c = np.concatenate([c, c[:40]])  # ties
+    x = np.concatenate([c[r.integers(0, 200, 300)] + r.normal(0, 0.2, (300, 6)), r.normal(0, 1, (100, 6)), np.zeros((2, 6))])
+    p = spark.createDataFrame([(f"p{i}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>").repartition(3)
+    g = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "group long, v array<double>").repartition(2)
+    row = lambda df: {(r.id, r.group, round(r.dist, 9)) for r in df.collect()}
+    want = row(V.nearest_centroid(p, g, "id", "v", max_dist))
+    unit = lambda a: a / np.maximum(np.linalg.norm(a, axis=1)[:, None], 1e-300)
+    dist = 1 - unit(x) @ unit(c).T
+    assert len(want) == (dist.min(1) < max_dist).sum() and all(abs(dist[int(i[1:]), k] - d) < 1e-8 and abs(dist[int(i[1:])].min() - d) < 1e-8 for i, k, d in want)
+    monkeypatch.setattr(V, "MAX_BROADCAST_GROUPS", 50)
+    monkeypatch.setattr(V, "GROUP_POINTS", 20)
+    assert row(V.nearest_centroid(p, g, "id", "v", max_dist)) == want
+
+
+def test_rename_of_one_large_folder(spark):
+    n = 20_000
+    d = spark.range(n).select(F.lit("f").alias("d"), F.concat(F.lit("x"), F.lit(n) - F.col("id"), F.lit(".mov")).alias("name"), F.col("id").alias("c")).repartition(6)
+    plan = P.plan_rename(d, ["d"], "name", "c")
+    assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    got = plan.agg(F.count_distinct("target").alias("k"), F.count_if((F.col("status") == "rename") & (F.col("n") == F.col("c") + 1)).alias("m")).first()
+    assert (got.k, got.m) == (n, n)
 
 
 def test_group_sizes_sorted_distinct_and_attempts(spark):
