@@ -132,9 +132,13 @@ def natural_sort(df: DataFrame, col: str) -> DataFrame:
     return df.orderBy(X.natural_sort_key(X.basename(col)), col)
 
 
+def timecode_order(start: str, fps: float = 24.0, ordinal: str = "_ord") -> list:
+    """What sorts by start; timecodes that don't parse count as 0, ties keep their ordinal."""
+    return [F.coalesce(timecode_to_frames(start, fps), F.lit(0)), F.col(ordinal)]
+
+
 def sort_by_timecode(df: DataFrame, start: str, fps: float = 24.0, ordinal: str = "_ord") -> DataFrame:
-    """By start; timecodes that don't parse count as 0, ties keep their ordinal."""
-    return df.orderBy(F.coalesce(timecode_to_frames(start, fps), F.lit(0)), ordinal)
+    return df.orderBy(*timecode_order(start, fps, ordinal))
 
 
 def limit_by_ordinal(df: DataFrame, n: int | None, ordinal: str = "_ord") -> DataFrame:
@@ -186,6 +190,11 @@ def group_sizes(df: DataFrame, group: str, none: str = "no_face") -> DataFrame:
     return out.orderBy(F.desc("grouped"), F.desc("n"), "group").select("group", "n", "grouped")
 
 
+def counts_by(df: DataFrame, *keys: str | Column, also: list[Column] | None = None) -> DataFrame:
+    """Rows of each value of the keys, and other aggregates of them."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(also or []))
+
+
 def sorted_distinct(df: DataFrame, *keys: str) -> DataFrame:
     """Each value of the keys once, in order."""
     return df.select(*keys).distinct().orderBy(*keys)

@@ -151,3 +151,9 @@ def plan_chunks(cuts: DataFrame, points: DataFrame, key: str, audio_only: bool =
     d = cuts.join(n, [key, "name"], "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
     out = lambda ok, ext: F.when(ok & (F.col("end_sec") > F.col("start_sec")), F.concat("name", F.lit(ext)))
     return d.withColumn("video_out", out(kinds["create_video"], ".mov")).withColumn("audio_out", out(kinds["create_audio"], ".wav"))
+
+
+def media_summary(files: DataFrame, size: str | Column, seconds: str | Column, width: str | Column, height: str | Column, by: list) -> DataFrame:
+    """For each value of by the number of files, their size in MB, their length as minutes and seconds, and the largest width with the least height."""
+    g = files.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.sum(size).alias("_size"), F.sum(seconds).alias("_sec"), F.max(width).alias("_w"), F.min(height).alias("_h"))
+    return g.select(*by, "files", F.round(X.size_mb("_size"), 6).alias("mb"), X.min_sec("_sec").alias("length"), X.resolution("_w", "_h").alias("resolution"))

@@ -321,7 +321,7 @@ def mime_counts(spark, d):
 
 @query(f"WITH {_NAMES} SELECT ext, count(*) AS n, bool_and(ext IN ('mov', 'mp4')) AS video, bool_and(ext IN ('wav', 'flac')) AS audio FROM n GROUP BY ext")
 def ext_counts(spark, d):
-    return _names(spark, d).groupBy(X.extension("path").alias("ext")).agg(F.count(F.lit(1)).alias("n"), F.bool_and(X.is_video_ext("path")).alias("video"), F.bool_and(X.is_audio_ext("path")).alias("audio"))
+    return O.counts_by(_names(spark, d), X.extension("path").alias("ext"), also=[F.bool_and(X.is_video_ext("path")).alias("video"), F.bool_and(X.is_audio_ext("path")).alias("audio")])
 
 
 @query(f"WITH {_NAMES} SELECT doc_id FROM n WHERE doc_id % 10 <> 0 AND regexp_matches(path, 'clip[0-9]*5')")
@@ -702,3 +702,50 @@ def groups_written(spark, d):
 def object_listing(spark, d):
     n = _names(spark, d)
     return IO.object_listing(n, "/in/src1", "path").select("doc_id")
+
+
+@query(f"{_GROUPS} SELECT vec_id, group_id FROM gr UNION ALL SELECT -1 - vec_id, 'no_face' FROM embeddings")
+def similarity_groups_every(spark, d):
+    """Half of the clips have no vector."""
+    v = _t(spark, d, "embeddings")
+    every = v.select("vec_id").union(v.select(-1 - F.col("vec_id")))
+    return V.group_by_similarity(v, "vec_id", "embedding", 0.6, every=every)
+
+
+@query(f"WITH {E}, f AS (SELECT event_id, {_FRAME} AS f FROM e) SELECT event_id, row_number() OVER (ORDER BY CASE WHEN event_id % 17 = 0 OR event_id % 19 = 0 THEN 0 ELSE f END, event_id) - 1 AS place FROM f")
+def spots_by_time(spark, d):
+    s = _spots(spark, d).withColumn("_ord", F.col("event_id"))
+    return O.with_ordinal(s, "place", O.timecode_order("start")).select("event_id", "place")
+
+
+@query(f"WITH {_NAMES} SELECT doc_id, row_number() OVER (ORDER BY ext, doc_id) - 1 AS place FROM (SELECT doc_id, 'clip' || doc_id || '.' || ext AS name, ext FROM n) WHERE true")
+def names_by_number(spark, d):
+    """In natural order within an extension: clip2 before clip10."""
+    n = _names(spark, d).select("doc_id", X.extension("path").alias("ext"), F.concat(F.lit("clip"), "doc_id").alias("name"))
+    return O.with_ordinal(n, "place", ["ext", X.natural_sort_key("name")]).select("doc_id", "place")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'CRIT' WHEN event_id % 3 = 1 AND event_type IN ('click', 'error') THEN 'EDGE' WHEN event_type IN ('click', 'error') AND event_id % 7 = 0 THEN 'CRIT' ELSE 'VUB' END AS code FROM events""")
+def shot_codes(spark, d):
+    """Codes by the words of a name and a description, in any case; the first keyword counts."""
+    e, few = _t(spark, d, "events"), F.col("event_type").isin("click", "error")
+    k = F.col("event_id") % 3
+    name = F.when(k == 0, "Vub Critical edge").when((k == 1) & few, "EDGE case").otherwise(F.lit("Vub"))
+    desc = F.when(few & (k == 2) & (F.col("event_id") % 7 == 0), "a CRITICAL one")
+    return e.select("event_id", X.severity_code(name, desc).alias("code"))
+
+
+@query(f"WITH {_NAMES} SELECT n.doc_id, 'clip' || n.doc_id || '.wav' AS output, CASE n.doc_id % 3 WHEN 0 THEN 'pcm_s16le' WHEN 1 THEN 'pcm_s32le' ELSE 'pcm_u8' END AS pcm, CASE WHEN l.doc_id IS NOT NULL THEN 'skipped' ELSE 'pending' END AS status FROM n LEFT JOIN labels l ON n.doc_id = l.doc_id WHERE n.doc_id % 10 <> 0")
+def audio_plan(spark, d):
+    """Audio to extract, with the codec that the samples' format asks for."""
+    n = _names(spark, d)
+    fmt = F.element_at(F.array(*map(F.lit, ("s16", "s32", "u8"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    probe = n.select("path", F.lit("h264").alias("codec"), F.lit("").alias("profile"), fmt.alias("audio_sample_fmt"), F.lit("aac").alias("audio_codec"))
+    have = _t(spark, d, "labels").select(F.concat(F.lit("clip"), F.col("doc_id"), F.lit(".wav")).alias("output"))
+    return P.plan_derivatives(n, "path", probe, have, kind="audio").select("doc_id", "output", "pcm", "status")
+
+
+@query(f"WITH {_NAMES} SELECT source, count(*) AS files, round(sum(n_chars) / 1048576.0, 6) AS mb, (sum(n_chars) // 60) || 'm ' || lpad(CAST(sum(n_chars) % 60 AS VARCHAR), 2, '0') || 's' AS length, max(n_chars) || 'x' || min(n_chars) AS resolution FROM n GROUP BY source")
+def media_summary(spark, d):
+    n = _names(spark, d).withColumn("sec", F.col("n_chars") + 0.25 * (F.col("doc_id") % 2))
+    return P.media_summary(n, "n_chars", F.floor("sec"), "n_chars", "n_chars", ["source"])
