@@ -63,7 +63,8 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, cell: int = 8192, block: i
     v = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).withColumn("_row", F.monotonically_increasing_id())
     ok = F.coalesce((F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))
     v = v.withColumn("e", F.when(ok, F.col("e"))).drop("_row")
-    classes = checkpointed(v.where("e is not null").groupBy("e").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.xxhash64("e", "id")))
+    v = v.withColumns({"h1": F.when(ok, F.xxhash64("e")), "h2": F.when(ok, F.xxhash64(F.lit(2), "e"))})  # 128 bits that stand for the vector where only its class is looked up
+    classes = checkpointed(v.where("e is not null").groupBy("h1", "h2", "e").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")).withColumn("rep", F.xxhash64("e", "id")))
     total = classes.count()
     k = int(min(max_pivots, max(1, total // cell)))
     pivots = classes.orderBy("rep", "e").limit(k).select("e").collect()
@@ -134,9 +135,9 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, cell: int = 8192, block: i
     found = checkpointed(rows.groupBy("cell", "i", "j").applyInPandas(join, "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("rep"), "component")
-    c = classes.join(links, "rep", "left").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    c = classes.drop("e").join(links, "rep", "left").join(comp, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = c.groupBy("component").agg(F.min("id").alias("component_id"))
-    c = c.join(least, "component").select(F.col("e").alias("ce"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
-    out = v.join(c, v.e == c.ce, "left")
-    comp_id = F.when(F.col("e").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    c = c.join(least, "component").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
+    out = v.drop("e").join(c, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")  # one row of c for each key, so Spark can split a frequent vector's rows
+    comp_id = F.when(F.col("h1").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), comp_id.alias("component_id"), F.coalesce(F.col("vec_id") == comp_id, F.lit(False)).alias("kept"))

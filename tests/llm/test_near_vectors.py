@@ -40,6 +40,20 @@ def test_empty_and_null_ids(spark):
     assert sorted((x.n_links, x.component_id is None) for x in N.near_vectors(df).collect()) == [(0, True), (2, False), (2, False), (2, False)]
 
 
+def test_a_very_frequent_vector_and_signed_zeros(spark):
+    """A vector that holds most of the rows is one class; 0.0 and -0.0 are the same."""
+    r = np.random.default_rng(3)
+    rows = [(i, [0.0, 1.0, 0.5] if i % 2 else [-0.0, 1.0, 0.5]) for i in range(3000)] + [(3000 + i, (x if i % 3 else [0.0, 1.0, 0.5 + i / 1000])) for i, x in enumerate(r.normal(size=(90, 3)).tolist())]
+    got = N.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    few = {i: (n, c) for i, n, c in brute(rows[:1] + rows[3000:])}  # a link with the frequent one counts 3000 times
+    linked = {i for i, e in rows[3000:] if np.dot(e, rows[1][1]) / np.linalg.norm(e) / np.linalg.norm(rows[1][1]) >= 0.95}
+    assert len(got) == len(rows) and {x.n_links for x in got if x.vec_id < 3000} == {2999 + len(linked)} and {x.component_id for x in got if x.vec_id < 3000} == {0}
+    for x in got:
+        if x.vec_id >= 3000:
+            n, component = few[x.vec_id]
+            assert (x.n_links, x.component_id) == (n + 2999 * (x.vec_id in linked), component)
+
+
 def test_components(spark):
     r = np.random.default_rng(8)
     path = r.permutation(60).tolist()
