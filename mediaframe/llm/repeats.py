@@ -6,9 +6,10 @@ region is the text that they span). Regions of grams that occur once can't repea
 their strings repeat if there are two or more.
 
 Different regions of a gram are indexed: the regions of a bucket of grams form one text, of which a run-compressed
-Burrows-Wheeler transform is built with suffix positions sampled at both ends of every run. The longest match of a
-position with its neighbour in suffix order is computed only at run ends; elsewhere it is one less than at the position
-before, so streaming over the text gives the matching statistics of all positions, and those of 200 or more are marked.
+Burrows-Wheeler transform is built with suffix positions sampled at both ends of every run. All regions are streamed
+through it from their ends by steps back on its runs. Within a run the longest matches with the neighbours in suffix order
+grow by one a step; at a run's ends they are those with the nearest runs of the same symbol, found once from the samples.
+That gives the matching statistics of all positions, and those of 200 or more are marked.
 Where a gram has more than `most` different regions (the edges of a passage that very many documents share), their strings
 choose again, taking the grams that several of these regions hold last: strings at the passage's edges then choose grams
 of their own, and those inside have equal regions. A gram that still has more than `most` different regions is dealt over
@@ -118,17 +119,24 @@ class RunLengthIndex:
             rank[order] = new
             have *= parts
         last = text[order - 1]  # the transform
-        head = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))
-        tail = np.append(head[1:], n) - 1
-        self.symbols, self.lengths = last[head], tail - head + 1
-        # samples: the suffix at each run's head with the one before it in order, and at its tail with the one after
-        self.at_head, self.before_head = order[head], np.where(head > 0, order[head - 1], -1)
-        self.at_tail, self.after_tail = order[tail], np.where(tail + 1 < n, order[np.minimum(tail + 1, n - 1)], -1)
+        self.head = np.flatnonzero(np.concatenate(([True], last[1:] != last[:-1])))  # the row at which each run begins
+        self.symbols, self.lengths = last[self.head], np.diff(np.append(self.head, n))
+        self.at_head, self.at_tail = order[self.head], order[self.head + self.lengths - 1]  # the samples: suffixes at both ends of runs
+        by_symbol = np.argsort(self.symbols, kind="stable")
+        length = self.lengths[by_symbol]
+        self.step = np.empty(len(by_symbol), np.int64)  # the row that a step back from each run's head leads to
+        self.step[by_symbol] = np.cumsum(length) - length
+        # a step back from a run's head lands below that from the tail of the symbol's run before it: how far these agree
+        self.above, self.below = np.zeros(len(by_symbol), np.int64), np.zeros(len(by_symbol), np.int64)
+        x, y = by_symbol[:-1], by_symbol[1:]
+        alike = self.symbols[x] == self.symbols[y]
+        x, y = x[alike], y[alike]
+        self.above[y] = self.below[x] = 1 + self._match(self.at_tail[x], self.at_head[y])
 
     def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of suffixes a and b, which end at their strings' marks."""
         out = np.zeros(len(a), np.int64)
-        live = np.flatnonzero(b >= 0)
+        live = np.arange(len(a))
         most = np.minimum(self.end[a] - a, self.end[b] - b)
         while len(live):
             x, y = a[live] + out[live], b[live] + out[live]
@@ -137,16 +145,26 @@ class RunLengthIndex:
         return out
 
     def matching_statistics(self) -> np.ndarray:
-        """For each position of the text the longest match of what starts there with what starts anywhere else."""
-        n, place = len(self.text), np.arange(len(self.text))
-        best = np.zeros(n, np.int64)
-        for at, other in ((self.at_head, self.before_head), (self.at_tail, self.after_tail)):
-            known = np.full(n, -1)
-            known[at] = self._match(at, other)
-            sampled = np.maximum.accumulate(np.where(known >= 0, place, -1))  # the last sample before each position
-            value = np.where(sampled >= 0, known[sampled] - (place - sampled), 0)
-            best = np.maximum(best, value)
-        return best
+        """For each position of the text the longest match of what starts there with what starts anywhere else.
+
+        All strings are streamed from their marks to their starts, a symbol a step, by steps back on the runs alone. Within
+        a run the rows above and below make the same step, so the matches with them grow by one; at a run's ends the
+        matches with the symbol's runs before and after it are known.
+        """
+        out = np.zeros(len(self.text), np.int64)
+        order = np.argsort(-self.size, kind="stable")
+        size, at = self.size[order], (self.start + self.size)[order]
+        row = order.astype(np.int64)  # the suffix of a mark alone stands in the marks' order
+        up, down = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        going = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # strings longer than the steps made
+        for k, n in enumerate(going.tolist()):
+            run = np.searchsorted(self.head, row[:n], "right") - 1
+            off = row[:n] - self.head[run]
+            up = np.where(off == 0, self.above[run], up[:n] + 1)
+            down = np.where(off == self.lengths[run] - 1, self.below[run], down[:n] + 1)
+            row = self.step[run] + off
+            out[at[:n] - 1 - k] = np.maximum(up, down)
+        return out
 
     def marked(self, length: int) -> list[np.ndarray]:
         """For each string the starts of its substrings of that length that occur again."""

@@ -73,3 +73,15 @@ def test_rows_alike_null_ids_and_long_texts(spark):
     got = sorted((tuple(x)[:5] for x in R.remove_repeats(df).collect()), key=str)
     want = brute([(t or "").encode() for _, t in rows])
     assert got == sorted(((d, *w) for (d, _), w in zip(rows, want, strict=True)), key=str)
+
+
+def test_streamed_statistics_equal_longest_matches():
+    r = np.random.default_rng(4)
+    for _ in range(10):
+        s = [bytes(r.integers(97, 100, r.integers(0, 25)).tolist()) for _ in range(5)] + [b"abcabcabcabc", b"abcabcabcabc", b""]
+        places = [x[k:] for x in s for k in range(len(x))]
+        common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        want = [max(common(a, b) for j, b in enumerate(places) if j != i) for i, a in enumerate(places)]
+        index = R.RunLengthIndex(s, max(map(len, s)))
+        got = index.matching_statistics()
+        assert [int(got[b + k]) for b, n in zip(index.start.tolist(), index.size.tolist(), strict=True) for k in range(n)] == want
