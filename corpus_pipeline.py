@@ -7,14 +7,12 @@ the operators say.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaframe.llm import jaccard_join, line_dedup, mixing, packing, quality
-from mediaframe.llm._spark import checkpointed, read_table, row_hash
+from mediaframe.llm._spark import checkpointed, new_folder, read_table, remove_folder, row_hash
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +32,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     near = jaccard_join.near_documents(rows.select(F.col("_row").alias("doc_id"), "text")).where("n_shingles > 0")
     near = checkpointed(near.groupBy(F.col("doc_id").alias("_row"), F.col("component_id").alias("c")).agg(F.count(F.lit(1)).alias("n")))
     ids = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("id")).dropDuplicates(["_row"])
-    first = near.join(ids, "_row").groupBy("c").agg(F.min("id")["_row"].alias("first"))
+    # written, so that both sides of the join below are dealt anew and a component of very many rows is split
+    first = checkpointed(near.join(ids, "_row").groupBy("c").agg(F.min("id")["_row"].alias("first")))
     gone = checkpointed(near.join(first, "c").where("_row <> first or n > 1").select("_row", (F.col("_row") == F.col("first")).alias("again")))
     once = rows.join(gone.where("again"), "_row", "left_semi").dropDuplicates(["_row"])
     return rows.join(gone, "_row", "left_anti").unionByName(once).select(*docs.columns)
@@ -55,14 +54,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages from documents; what lies between two stages is written below spark.checkpoint.dir, or the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k + 1 == len(STAGES):
-            return out
-        out.write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+    """All stages from documents. What lies between two stages is written below spark.checkpoint.dir and deleted when the next is written; the last stage's rows are checkpointed there."""
+    docs, folder = read_table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        before, folder = folder, new_folder(spark, "corpus")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            remove_folder(spark, before)
+    out = checkpointed(STAGES[-1][1](spark, docs, sf_dir))
+    remove_folder(spark, folder)
+    return out
