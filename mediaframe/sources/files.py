@@ -114,7 +114,7 @@ def write_results(df: DataFrame, path: str) -> None:
 
 
 def write_segments(df: DataFrame, path: str) -> None:
-    sec = lambda c: F.round(c, 3).alias(c)
+    sec = lambda c: (F.round(F.col(c) * 1000) / 1000).alias(c)  # noqa: E731  # the double's thousandfold is rounded, as in SQL; round(c, 3) rounds its shortest decimal
     _write_csv(df.select("index", sec("start_sec"), sec("end_sec"), "start_tc", "end_tc", sec("duration_sec")), path)
 
 

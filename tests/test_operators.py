@@ -1,6 +1,8 @@
+import datetime as dt
 import json
 import os
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +14,10 @@ from mediaframe.operators import ordered as O
 from mediaframe.operators import scenes as S
 from mediaframe.operators import similarity as V
 from mediaframe.plans import jobs as P
+from mediaframe.plans import queries as Q
 from mediaframe.sources import files as IO
 from mediaframe.streaming import monitor as M
+from tests.oracle import compare
 
 
 def one(spark, c):
@@ -38,6 +42,22 @@ def test_round_trips_at_whole_rates(spark):
         assert d.where("f <> id * 37 or f is null").count() == 0
 
 
+def events_as_in_sql(spark, path, name, rows):
+    """A query over events (event_id, microseconds from the start of 2024, user_id, event_type) held against its SQL."""
+    start = dt.datetime(2024, 1, 1)
+    d = spark.createDataFrame([(i, start + dt.timedelta(microseconds=us), u, kind, 0.0, "{}") for i, us, u, kind in rows], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    d.write.parquet(f"{path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * FROM read_parquet('{path}/events.parquet/*.parquet')")
+    return compare(spark, con, str(path), Q.QUERIES[name], Q.ORACLES[name])
+
+
+def test_segments_are_rounded_as_in_sql(spark, tmp_path):
+    half = [(a, b) for a in range(100_000_500, 100_900_000, 1_000) for b in [a + 98_837_829_500] if round(b / 1e6 - a / 1e6, 3) != round((b / 1e6 - a / 1e6) * 1000) / 1000][:20]
+    assert half
+    events_as_in_sql(spark, tmp_path, "segments_roundtrip", [(n, us, n // 2, "error") for n, us in enumerate([t for ab in half for t in ab] + [1_000_500, 2_000_500, 3_000_500, 1_005_500, 59_999_500, 59_999_501])])
+
+
 def test_spotting_rows(spark):
     rows = [("Vub", "00:00:15:01", "00:00:17:07", "00:00:02:06"), ("Edge Case", "00:00:19:07", "00:00:21:04", "00:00:01:21"), ("Vub Critical", "00:00:28:13", "00:00:31:23", "00:00:03:10"), ("Vub", "00:00:15:01", "00:00:17:07", ""), ("Vub", "", "00:00:17:07", ""), ("Vub", "aa:bb:cc:dd", "00:00:17:07", "")]
     d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "_ord long, name string, s string, e string, dur string")
