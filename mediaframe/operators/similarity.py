@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from mediaframe.operators.ordered import kept, mean_vector, new_folder, plain_column, remove_folder, with_ordinal
 
 MAX_BROADCAST_GROUPS = 4096
-#: Pivots of a metric index, the vectors that they are chosen from, vectors of a block.
-PIVOTS, PIVOT_SAMPLE, BLOCK_VECTORS = 32, 1024, 2048
+#: Pivots of a metric index, the vectors that they are chosen from, vectors of a block, and of a block of a large table at most.
+PIVOTS, PIVOT_SAMPLE, BLOCK_VECTORS, BLOCK_MOST = 32, 1024, 2048, 1 << 15
 GROUP_POINTS = 1 << 14
 
 
@@ -42,14 +42,16 @@ def _spread(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
-def metric_index(df: DataFrame, key: str, vec: str, pivots: int = PIVOTS, block: int = BLOCK_VECTORS) -> tuple[DataFrame, DataFrame]:
+def metric_index(df: DataFrame, key: str, vec: str, pivots: int = PIVOTS, block: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The vectors as rows (id, v, block), v of length 1 (or 0), and the blocks' table (block, cell, lo, hi), a row a block.
 
     A vector's cell is that of its nearest pivot; a cell's vectors are cut into blocks in the order of their distance from
-    it. lo and hi are the least and largest distances of a block's vectors from every pivot. Pivots come from a sample of
+    it. Where block is not given, blocks grow with the table from BLOCK_VECTORS to BLOCK_MOST, so that their number, and
+    with it the blocks that a vector is sent to, stays about the same up to half of PIVOTS * BLOCK_MOST vectors. lo and hi are the least and largest distances of a block's vectors from every pivot. Pivots come from a sample of
     PIVOT_SAMPLE vectors and only steer the work: any choice gives the same pairs.
     """
     d = kept(df.select(F.col(key).alias("id"), _unit(vec).alias("v")))
+    block = block or min(BLOCK_MOST, max(BLOCK_VECTORS, -(-2 * d.count() // pivots)))
     sample = d.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").toPandas()
     table = _spread(_numbers(sample.v), pivots) if len(sample) else np.zeros((1, 1))
 
@@ -78,8 +80,26 @@ def block_pairs(boxes: DataFrame, radius: float) -> DataFrame:
     return x.join(y, F.expr("to = of and p <= q")).where(~apart).select("p", "q")
 
 
-def similar_pairs(df: DataFrame, key: str, vec: str, eps: float, pivots: int = PIVOTS, block: int = BLOCK_VECTORS) -> DataFrame:
-    """Rows (a, b, dist), a < b, for all pairs of rows of different key at cosine distance of at most eps (a zero vector is 1 away from all).
+def _spanning(label: np.ndarray, i: np.ndarray, j: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Of the edges i, j between nodes those that join different labels, as many as join what they all do; and the nodes' labels then."""
+    chosen = [np.zeros(0, np.int64)]
+    at = np.arange(len(i))
+    while len(at := at[label[i[at]] != label[j[at]]]):
+        rank = rng.permutation(len(label))  # each label goes to one of lesser rank, if it has an edge to any
+        x, y = label[i[at]], label[j[at]]
+        swap = rank[x] < rank[y]
+        high, first = np.unique(np.where(swap, y, x), return_index=True)
+        to = np.arange(len(label))
+        to[high] = np.where(swap, x, y)[first]
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+        chosen.append(at[first])
+    return np.concatenate(chosen), label
+
+
+def similar_pairs(df: DataFrame, key: str, vec: str, eps: float, pivots: int = PIVOTS, block: int | None = None, spanning: bool = False) -> DataFrame:
+    """Rows (a, b, dist), a < b, for all pairs of rows of different key at cosine distance of at most eps (a zero vector is 1 away from all); or (a, b) of a spanning forest of each two blocks' pairs, which has the same ends and components but no more rows than there are vectors in the two.
 
     Exact. Vectors are unit vectors in blocks of a metric index; only pairs of blocks that the triangle inequality leaves are
     compared, each in a group of its own that gets the vectors of its two blocks. Null vectors have no pairs.
@@ -91,29 +111,48 @@ def similar_pairs(df: DataFrame, key: str, vec: str, eps: float, pivots: int = P
         d = vectors.join(wanted, F.col("block") == F.col(k))
         return d.select(*[F.col(c).alias(n) for c, n in zip(("p", "q", "id", "v"), names, strict=True)])
 
+    def within(u: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distances of pairs that may be within eps, summed again term after term, and whether they are."""
+        dist = np.zeros(len(i))
+        for n in range(0, len(i), 1 << 14):
+            dist[n : n + (1 << 14)] = np.clip(1 - np.add.accumulate(u[i[n : n + (1 << 14)]] * v[j[n : n + (1 << 14)]], axis=1)[:, -1], 0.0, 2.0)
+        return dist, dist <= eps
+
     def near(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         own = not len(y)
         y = x if own else y.set_axis(x.columns, axis=1)
         if not len(x):
-            return pd.DataFrame({"a": plain_column(x.id), "b": plain_column(x.id), "dist": np.zeros(0)})
-        u, v, found = _numbers(x.v), _numbers(y.v), []
-        for k in range(0, len(u), 512):
-            i, j = np.nonzero(1 - u[k : k + 512] @ v.T <= eps + 1e-9)
+            return pd.DataFrame({"a": plain_column(x.id), "b": plain_column(x.id)} | ({} if spanning else {"dist": np.zeros(0)}))
+        u, v, found = _numbers(x.v), _numbers(y.v), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        node = 0 if own else len(u)  # of y's first vector
+        label, rng = np.arange(node + len(v)), np.random.default_rng(0)
+        single, slack = (u.astype(np.float32), v.astype(np.float32)), 1e-9 + (u.shape[1] + 4) * 2.0**-23  # more than single precision rounds
+        step = max(16, (1 << 22) // len(v))
+        for k in range(0, len(u), step):
+            far = 1 - single[0][k : k + step] @ single[1].T
+            i, j = np.nonzero(far <= np.float32(eps + slack))
+            far = far[i, j]
             i += k
             if own:
-                i, j = i[i < j], j[i < j]
-            for n in range(0, len(i), 1 << 14):  # what passes is summed again, term after term
-                p, q = i[n : n + (1 << 14)], j[n : n + (1 << 14)]
-                dist = np.clip(1 - np.add.accumulate(u[p] * v[q], axis=1)[:, -1], 0.0, 2.0)
-                ok = dist <= eps
-                found.append((p[ok], q[ok], dist[ok]))
-        i, j, dist = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
-        return pd.DataFrame({"a": plain_column(x.id.iloc[i]), "b": plain_column(y.id.iloc[j]), "dist": dist})
+                i, j, far = i[i < j], j[i < j], far[i < j]
+            if spanning:
+                new = label[i] != label[node + j]
+                i, j, far = i[new], j[new], far[new]
+                sure = far <= np.float32(eps - 2 * slack)
+                sure[~sure] = within(u, v, i[~sure], j[~sure])[1]
+                i, j = i[sure], j[sure]
+                at, label = _spanning(label, i, node + j, rng)
+                found.append((i[at], j[at], np.zeros(0)))
+            else:
+                dist, ok = within(u, v, i, j)
+                found.append((i[ok], j[ok], dist[ok]))
+        i, j, dist = (np.concatenate(z) for z in zip(*found, strict=True))
+        return pd.DataFrame({"a": plain_column(x.id.iloc[i]), "b": plain_column(y.id.iloc[j])} | ({} if spanning else {"dist": dist}))
 
     kind = df.schema[key].dataType.simpleString()
     left, right = side(pairs, "p", "p", "q", "id", "v"), side(pairs.where("p <> q"), "q", "p2", "q2", "id2", "v2")
-    found = left.groupBy("p", "q").cogroup(right.groupBy("p2", "q2")).applyInPandas(near, f"a {kind}, b {kind}, dist double")
-    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
+    found = left.groupBy("p", "q").cogroup(right.groupBy("p2", "q2")).applyInPandas(near, f"a {kind}, b {kind}" + ("" if spanning else ", dist double"))
+    return found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *([] if spanning else ["dist"]))
 
 
 def clusters(edges: DataFrame, cores: DataFrame) -> DataFrame:
@@ -238,7 +277,7 @@ def _nearest_by_parents(p: DataFrame, c: DataFrame, key: str, max_dist: float) -
 def group_by_similarity(vectors: DataFrame, key: str, vec: str, eps: float = 0.35, min_samples: int = 2, every: DataFrame | None = None) -> DataFrame:
     """(key, group_id): face_001, ... numbered by each cluster's first core, then noise (to the nearest cluster's mean within 1.5 eps, else groups of its own); keys of every without vectors: no_face."""
     m = kept(mean_vector(vectors.where(F.size(vec) > 0), key, vec))
-    pairs = kept(similar_pairs(m, key, vec, eps))
+    pairs = kept(similar_pairs(m, key, vec, eps, spanning=min_samples <= 2))  # with two samples whatever is in a pair is a core, so a forest of them does
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     cores = kept(ends.groupBy("id").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") >= min_samples).select("id"))
     root = clusters(pairs, cores)

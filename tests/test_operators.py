@@ -411,3 +411,18 @@ def test_patterns(spark):
     assert got(regex="clip1") == [names[0], names[2], names[3]]
     assert got(regex="clip1", glob="*.mov") == [names[0], names[2]]
     assert got() == names[:5] + [None]
+
+
+def test_forest_of_similar_pairs(spark):
+    """Copies of one vector make a pair each with all others; a forest of two blocks has fewer rows than vectors, and the same components."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate((np.repeat(rng.normal(size=(1, 8)), 300, 0), rng.normal(size=(200, 8))))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    every = [(r.a, r.b) for r in V.similar_pairs(d, "id", "v", 0.1).collect()]
+    forest = [(r.a, r.b) for r in V.similar_pairs(d, "id", "v", 0.1, pivots=1, spanning=True).collect()]
+    assert len(every) >= 300 * 299 // 2 and len(forest) < len(x) and set(forest) <= set(every)
+    assert {k for p in every for k in p} == {k for p in forest for k in p}
+    near = spark.createDataFrame(forest, "a long, b long"), spark.createDataFrame(every, "a long, b long")
+    cores = spark.createDataFrame([(k,) for k in sorted({k for p in every for k in p})], "id long")
+    got, want = ({(r.id, r.root) for r in V.clusters(p, cores).collect()} for p in near)
+    assert got == want
