@@ -45,6 +45,15 @@ def plain_column(values: pd.Series) -> pd.Series:
     return (values if pd.api.types.is_numeric_dtype(values) else values.astype(object)).reset_index(drop=True)
 
 
+#: Rows of a partition of a large table that tasks sort as a whole.
+TASK_ROWS = 1 << 17
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, of so many rows, by its keys in partitions of about TASK_ROWS rows: rows that are much alike are so small when shuffled that Spark would leave many more to a task."""
+    return df.repartition(-(-rows // TASK_ROWS), *keys) if rows > TASK_ROWS else df
+
+
 def with_ordinal(df: DataFrame, name: str = "_ord", order_by: list | None = None) -> DataFrame:
     """Row positions from 0, by order_by or as the rows come; no step gathers all rows in one task. The rows are written to the checkpoint folder, so that their partitions stay as they are counted."""
     d = kept(df.orderBy(*order_by) if order_by else df).withColumn("_place", F.monotonically_increasing_id())
@@ -92,7 +101,8 @@ def fill_section(df: DataFrame, partition: list, order: str, kind: Column, name:
 
 
 def first_identical_row_no(df: DataFrame, cols: list, order: str, name: str = "csv_row") -> DataFrame:
-    return df.withColumn(name, F.min(order).over(Window.partitionBy(*cols)) + 1)
+    """The number (order + 1) of the first of the rows that are equal in cols."""
+    return dealt(df, df.count(), *cols).withColumn(name, F.min(order).over(Window.partitionBy(*cols)) + 1)
 
 
 def sample_evenly(df: DataFrame, key: list, order: list, n: int) -> DataFrame:

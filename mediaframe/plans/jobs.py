@@ -60,7 +60,8 @@ def run_jobs(plan: DataFrame, video: str, audio: str, responses: DataFrame, mode
     """Records (csv_row, success, audio_s3, video_s3, job_id, error) of planned jobs and the responses (csv_row, job_id, error) to them; what failed has only its error, and a row without a response counts as failed. payload is what was to be asked."""
     ask = X.request_payload(TC.strip(video), TC.strip(audio), X.detection_options(F.col("auto_detect")), model)
     r = responses.select(F.col("csv_row").alias("_row"), "job_id", F.col("error").alias("_refused"))
-    d = plan.join(r, F.col("csv_row") == F.col("_row"), "left")
+    rows = plan.count()
+    d = O.dealt(plan, rows, "csv_row").join(O.dealt(r, rows, "_row"), F.col("csv_row") == F.col("_row"), "left")
     why = F.coalesce("error", "_refused", F.when(F.col("_row").isNull(), "No response"))
     d = d.select("csv_row", TC.strip(audio).alias("audio_s3"), TC.strip(video).alias("video_s3"), F.coalesce("job_id", F.lit("N/A")).alias("job_id"), why.alias("error"), F.when(F.col("error").isNull(), ask).alias("payload"))
     return J.merge_outcomes(d.where("error is null").drop("error"), d.where("error is not null").select("csv_row", "error", "payload"))

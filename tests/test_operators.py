@@ -426,3 +426,12 @@ def test_forest_of_similar_pairs(spark):
     cores = spark.createDataFrame([(k,) for k in sorted({k for p in every for k in p})], "id long")
     got, want = ({(r.id, r.root) for r in V.clusters(p, cores).collect()} for p in near)
     assert got == want
+
+
+def test_large_job_tables_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(O, "TASK_ROWS", 100, raising=False)
+    d = spark.range(1000).selectExpr("id + 1 as o", "id div 2 as k", "'s3://b/v' as video", "'https://x/a' as audio", "'no' as asd")
+    plan = P.plan_jobs(d, "video", "audio", "asd", "o", ["k"])
+    out = P.run_jobs(plan, "video", "audio", spark.range(1, 1001, 2).selectExpr("id as csv_row", "'j' as job_id", "cast(null as string) as error"), "m")
+    assert plan.rdd.getNumPartitions() == 10 and [r.csv_row for r in plan.orderBy("o").limit(4).collect()] == [1, 1, 3, 3]
+    assert out.where("success and job_id = 'j'").count() == 1000
