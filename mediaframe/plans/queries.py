@@ -502,9 +502,10 @@ def fps_parse(spark, d):
 
 @query(f"WITH {E}, f AS (SELECT event_id, {_FRAME} AS f, {_FRAME} + event_id % 100 - 20 AS g FROM e) SELECT event_id, f AS start_frame, g - f AS frames, round(f / 24.0, 6) AS start_sec, round((g - f) / 24.0, 6) AS duration_sec, round(CAST(trunc((f // 24) * {FILM_SQL} + f % 24) AS BIGINT) / {FILM_SQL}, 5) AS film_start FROM f")
 def clip_bounds(spark, d):
-    e = _events(spark, d).select("event_id", TC.frames_to_timecode(_frame()).alias("a"), TC.frames_to_timecode(_frame() + F.col("event_id") % 100 - 20).alias("b"))
+    tc = lambda n: TC.frames_to_timecode(n, floor=False)  # noqa: E731  # ends can stand before frame 0
+    e = _events(spark, d).select("event_id", tc(_frame()).alias("a"), tc(_frame() + F.col("event_id") % 100 - 20).alias("b"))
     c = TC.clip_bounds("a", "b")
-    return e.select("event_id", c["start_frame"].alias("start_frame"), c["frames"].alias("frames"), F.round(c["start_sec"], 6).alias("start_sec"), F.round(c["duration_sec"], 6).alias("duration_sec"), F.round(TC.clip_bounds_fractional("a", "b")["start_sec"], 5).alias("film_start"))
+    return e.select("event_id", c["start_frame"].alias("start_frame"), c["frames"].alias("frames"), F.round(c["start_sec"], 6).alias("start_sec"), F.round(c["duration_sec"], 6).alias("duration_sec"), TC.clip_bounds_fractional("a", "b", places=5)["start_sec"].alias("film_start"))
 
 
 @query("SELECT event_id, printf('%02d:%02d:%06.3f', CAST(floor(s / 3600) AS BIGINT), CAST(floor((s - 3600 * floor(s / 3600)) / 60) AS BIGINT), s - 60 * floor(s / 60)) AS t FROM (SELECT event_id, round(value * 1000, 2) + 0.0001 AS s FROM events)")

@@ -61,6 +61,17 @@ def test_negative_durations_as_in_sql(spark, tmp_path):
     assert len(rows) == 8 and events_as_in_sql(spark, tmp_path, "spots_convert", rows) == 8
 
 
+def test_clip_bounds_are_rounded_as_in_sql(spark, tmp_path):
+    # starts below 10 s, where five decimals are compared, and no end below zero
+    assert events_as_in_sql(spark, tmp_path, "clip_bounds", [(f, f // 24 * 1_000_000, 1, "view") for f in range(20, 240)]) == 220
+
+
+def test_clip_bounds_before_frame_0_as_in_sql(spark, tmp_path):
+    # in the first second of a day ends can be negative, before 2024 starts are too
+    rows = [(i, us, 1, "view") for i, us in enumerate([us for us in (0, 86400_000_000, -1, -1_000_000, -3_661_000_000) for _ in range(24)])]
+    assert events_as_in_sql(spark, tmp_path, "clip_bounds", rows) == 120
+
+
 def test_segments_are_rounded_as_in_sql(spark, tmp_path):
     half = [(a, b) for a in range(100_000_500, 100_900_000, 1_000) for b in [a + 98_837_829_500] if round(b / 1e6 - a / 1e6, 3) != round((b / 1e6 - a / 1e6) * 1000) / 1000][:20]
     assert half
